@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash_dedup
+from . import bpe, packing, simhash_dedup
 from .store import small_batches
 
 
@@ -33,7 +33,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in windows of up to 2048 tokens; each piece's ids as a checksum."""
+    found = packing.pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_group")
+
+
 QUERIES = {
+    "op9_packing": op9_packing,
     "op6_bpe": op6_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
