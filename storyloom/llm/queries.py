@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash_dedup
+from . import bpe, language_id, packing, quality, simhash_dedup
 from .store import small_batches
 
 
@@ -39,7 +39,29 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_group")
 
 
+def _remainder(by: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the rows whose remainder by 4 is not 2; predicted for all. A null doc_id is not held out."""
+    docs = _docs(spark, sf_dir)
+    model = language_id.fit(docs.filter(_remainder(4) != 2))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the labels of ids whose remainder by 5 is not 0; all texts are scored."""
+    docs = _docs(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(_remainder(5) != 0)
+    found = quality.score(docs, quality.fit(docs, labels))
+    return found.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op5_language_id": op5_language_id,
+    "op7_quality": op7_quality,
     "op9_packing": op9_packing,
     "op6_bpe": op6_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
