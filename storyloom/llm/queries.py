@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, quality, simhash_dedup
+from . import bpe, language_id, line_dedup, packing, quality, quality_rules, simhash_dedup
 from .store import small_batches
 
 
@@ -59,7 +59,24 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and its verdict by divergence from its language."""
+    return quality_rules.judge(_docs(spark, sf_dir))
+
+
+#: Sites on which a line is boilerplate.
+SITES = 10
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that at least SITES sources share."""
+    found = line_dedup.strip(_docs(spark, sf_dir), SITES)
+    return found.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES = {
+    "op4_line_dedup": op4_line_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op5_language_id": op5_language_id,
     "op7_quality": op7_quality,
     "op9_packing": op9_packing,
@@ -67,4 +84,11 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": f"""
+        WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+        b AS (SELECT trim(line, ' ') AS line FROM l WHERE trim(line, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {SITES}),
+        j AS (SELECT l.doc_id, l.line, l.k, b.line IS NOT NULL AS bad FROM l LEFT JOIN b ON trim(l.line, ' ') = b.line),
+        g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT bad), '') AS text FROM j GROUP BY doc_id)
+        SELECT doc_id, n_lines, n_removed, sha256(text) AS text_sha256 FROM g""",
+}
