@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding.
 
-A pattern cuts each text into pieces. The distinct pieces of a stretch of documents become arrays of bytes (a string
-with one character per byte), and higher-order functions fold the ranked merges over them: a fold's step finds the pair
-of least rank, joins it, and looks up the two pairs that are new. Ranks come from a literal: an array of small maps,
-addressed by a checksum, since a lookup in one large Spark map is a linear scan. Decoding maps ids to byte strings by a
-literal array and joins them.
+A pattern cuts each text into pieces. The distinct pieces of a stretch of documents become arrays of byte tokens, and
+higher-order functions fold the ranked merges over them: a step finds the pair of least rank, joins it, and looks up the
+two pairs that are new. Ranks come from a literal: a table of all pairs of tokens whose bytes together are a
+token, addressed by a perfect hash, so that a lookup is two array accesses. (One large Spark map would be scanned
+from its start at every lookup.) Decoding maps ids to byte strings by a literal array and joins them.
 
 A piece of over ``LONG`` bytes would make the fold quadratic; a heap of pairs, with the same ranks, merges it instead.
 """
@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +24,8 @@ from pyspark.sql import functions as F
 
 from . import pieces
 
-#: Buckets of the literal rank map; ranks above NONE don't exist.
-BUCKETS, NONE = 1 << 15, 1 << 30
+#: No rank: no such pair.
+NONE = 1 << 30
 #: Bytes of a piece that is folded.
 LONG = 256
 
@@ -38,13 +37,47 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+#: The prime that joins two tokens to a key, the buckets of keys, and the cells, with primes to scatter them.
+JOIN, BUCKETS, CELLS, PRIMES = 1_000_003, 32_749, 262_144, (262_139, 262_133, 262_127, 262_121, 262_111)
+
+
 @lru_cache(4)
-def _rank_literal(path: str) -> str:
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for token, rank in ranks(path).items():
-        key = token.decode("latin-1")
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    return json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))
+def pair_table(path: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """A perfect hash of the pairs of tokens whose bytes together are a token: hash and displace.
+
+    With key = a * JOIN + b, the pair (a, b) makes token t if cell (key % prime + shift[key % BUCKETS]) % CELLS is
+    key * 65536 + t. Buckets are placed from the fullest on, each at the first shift where its cells are free.
+    """
+    found = ranks(path)
+    keys, made = [], []
+    for token, rank in found.items():
+        for cut in range(1, len(token)):
+            if (a := found.get(token[:cut])) is not None and (b := found.get(token[cut:])) is not None:
+                keys.append(a * JOIN + b)
+                made.append(rank)
+    if len(keys) > CELLS // 2 or max(found.values()) >= 65535:
+        raise ValueError("a vocabulary this large needs more cells")
+    for prime in PRIMES:
+        rows: dict[int, list[int]] = {}
+        for i, key in enumerate(keys):
+            rows.setdefault(key % BUCKETS, []).append(i)
+        if any(len({keys[i] % prime for i in row}) < len(row) for row in rows.values()):
+            continue
+        shift, cells = [0] * BUCKETS, [-1] * CELLS
+        for bucket, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+            at = [keys[i] % prime for i in row]
+            d = next(d for d in range(CELLS) if all(cells[(h + d) % CELLS] < 0 for h in at))
+            shift[bucket] = d
+            for i, h in zip(row, at, strict=True):
+                cells[(h + d) % CELLS] = keys[i] * 65536 + made[i]
+        return np.array(shift), np.array(cells), prime
+    raise ValueError("no prime scatters the pairs")
+
+
+@lru_cache(4)
+def _pair_literal(path: str) -> str:
+    shift, cells, _ = pair_table(path)
+    return json.dumps({"s": shift.tolist(), "c": cells.tolist()}, separators=(",", ":"))
 
 
 @lru_cache(4)
@@ -61,43 +94,40 @@ def _let(value: Column, body) -> Column:  # noqa: ANN001
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold(words: Column, path: str) -> Column:
-    """Ids of each word of an array of words: array<array<int>>; null for a word of over LONG bytes."""
-    table = F.from_json(F.lit(_rank_literal(path)), "array<map<string,int>>")
-
-    def encode(word: Column, rank_map: Column) -> Column:
-        def rank(piece: Column) -> Column:
-            bucket = F.get(rank_map, F.pmod(F.crc32(piece.cast("binary")), F.lit(BUCKETS)).cast("int"))
-            return F.coalesce(F.element_at(bucket, piece), F.lit(NONE))
-
-        def step(state: Column, _: Column) -> Column:
-            p, r = state["p"], state["r"]
-
-            def merged(k: Column, new: Column) -> Column:
-                left = F.when(k > 1, F.array(rank(F.concat(F.get(p, k - 2), new)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(k + 1 < F.size(p), F.array(rank(F.concat(new, F.get(p, k + 1))))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), k - 1), F.array(new), F.slice(p, k + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(r) + 1)).alias("r"),
-                )
-
-            def at(least: Column) -> Column:
-                join = _let(F.array_position(r, least).cast("int"), lambda k: _let(F.concat(F.get(p, k - 1), F.get(p, k)), lambda new: merged(k, new)))
-                return F.when(F.coalesce(least, F.lit(NONE)) >= NONE, state).otherwise(join)
-
-            return _let(F.array_min(r), at)
-
-        def folded(chars: Column) -> Column:
-            pairs = F.transform(F.slice(chars, F.lit(2), F.size(chars)), lambda c, i: rank(F.concat(F.get(chars, i), c)))
-            start = F.struct(chars.alias("p"), pairs.alias("r"))
-            end = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(chars), F.lit(2))), start, step)
-            return F.transform(end["p"], rank)
+def fold(starts: Column, path: str) -> Column:
+    """Merge each array of tokens (at first those of a word's bytes) by rank: array<array<int>> to the same."""
+    prime = pair_table(path)[2]
+    literal = F.from_json(F.lit(_pair_literal(path)), "s array<int>, c array<bigint>")
+
+    none, last = F.lit(NONE << 16), F.lit(65535)
+
+    def one(start: Column, table: Column) -> Column:
+        # A state holds a cell for each token, rank << 16 | token, where the rank is that of the token with the next one,
+        # between two ends that have no rank; and the place of the pair to join (0: none is left).
+        def cell(a: Column, b: Column) -> Column:
+            key = a * F.lit(JOIN).cast("long") + b
+            found = F.get(table["c"], ((key % prime + F.get(table["s"], (key % BUCKETS).cast("int"))) % CELLS).cast("int"))
+            return F.when(F.shiftright(found, 16) == key, F.shiftleft(found.bitwiseAND(last), 16)).otherwise(none) + a
+
+        def step(state: Column, odd: Column) -> Column:
+            cells, at = state["cells"], state["at"]
+            new = F.shiftright(F.get(cells, at - 1), 16)
+            joined = F.concat(
+                F.slice(cells, F.lit(1), at - 2),
+                F.array(cell(F.get(cells, at - 2).bitwiseAND(last), new), cell(new, F.get(cells, at + 1).bitwiseAND(last))),
+                F.slice(cells, at + 2, F.size(cells)),
+            )
+            least = F.when(F.array_min(cells) < none, F.array_position(cells, F.array_min(cells)).cast("int")).otherwise(F.lit(0))
+            return F.when(at == 0, state).when(odd == 1, F.struct(cells.alias("cells"), least.alias("at"))).otherwise(F.struct(joined.alias("cells"), at.alias("at")))
 
-        text = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-        whole = lambda t: _let(rank(t), lambda id_: F.when(id_ < NONE, F.array(id_)).otherwise(folded(F.split(t, ""))))
-        return F.when(F.octet_length(word) <= LONG, _let(text, whole))
+        ends = F.array(none + last)
+        tokens = F.transform(start, lambda t, i: cell(t, F.coalesce(F.get(start, i + 1), F.lit(65535))))
+        first = F.struct(F.concat(ends, tokens, ends).alias("cells"), F.lit(-1).alias("at"))
+        steps = F.flatten(F.array_repeat(F.array(F.lit(1), F.lit(0)), F.size(start) - 1))
+        end = F.filter(F.aggregate(steps, first, step)["cells"], lambda c: c.bitwiseAND(last) < last)
+        return F.when((F.size(start) < 2) | (F.size(start) > LONG), start).otherwise(F.transform(end, lambda c: c.bitwiseAND(last).cast("int")))
 
-    return _let(table, lambda rank_map: F.transform(words, lambda w: encode(w, rank_map)))
+    return _let(literal, lambda table: F.transform(starts, lambda w: one(w, table)))
 
 
 def merge_long(word: bytes, found: dict[bytes, int]) -> list[int]:
@@ -133,20 +163,29 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     rows; other columns are not read. ``path`` is read by the driver only.
     """
 
+    found = ranks(path)
+    bytes_ids = np.array([found[bytes([i])] for i in range(256)], np.int32)
+
+    def start(word: bytes) -> list[int] | np.ndarray:
+        if word in found:
+            return [found[word]]
+        return bytes_ids[np.frombuffer(word, np.uint8)] if len(word) <= LONG else merge_long(word, found)
+
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = pieces.Numbers(most)
         for b in batches:
             values, lengths = pieces.flat(b.column(1))
             refs, fresh = numbers.number(values)
+            starts = [start(w.encode()) for w in fresh]
+            flat = np.concatenate([np.zeros(0, np.int32), *starts]).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, starts)]).astype(np.int32)), pa.array(flat))
             ends = np.r_[0, np.cumsum(lengths)].astype(np.int32)
             first = np.r_[0, np.full(b.num_rows, len(fresh))].astype(np.int32)  # the batch's new words go with its first row
             yield pa.record_batch(
-                [b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(refs)), pa.array(np.full(b.num_rows, numbers.stretch, np.int32)), pa.ListArray.from_arrays(pa.array(first), pa.array(fresh, pa.string()))],
+                [b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(refs)), pa.array(np.full(b.num_rows, numbers.stretch, np.int32)), pa.ListArray.from_arrays(pa.array(first), words)],
                 ["doc_id", "refs", "stretch", "fresh"],
             )
 
-    found = ranks(path)
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, stretch = pieces.Runs(), 0
         for b in batches:
@@ -159,11 +198,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 if stretches[lo] != stretch:
                     runs.clear()
                     stretch = stretches[lo]
-                folded, _ = pieces.flat(part.column(3))
-                rest = [merge_long(w.encode(), found) for w in part.column(4).flatten().to_pylist()]
-                if rest:
-                    folded = pa.array([x if x is not None else rest.pop(0) for x in folded.to_pylist()], pa.list_(pa.int32()))
-                values, lengths = pieces.flat(folded)
+                values, lengths = pieces.flat(part.column(3).flatten())
                 runs.add(values.to_numpy(zero_copy_only=False).astype(np.int32), lengths)
                 refs, per_doc = pieces.flat(part.column(1))
                 ids, n = pieces.gather(refs.to_numpy(zero_copy_only=False), *runs.tables())
@@ -171,8 +206,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 ends = total[np.r_[0, np.cumsum(per_doc)]].astype(np.int32)
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], ["doc_id", "ids"])
 
-    numbered = pieces.split(docs, pattern, id_col, text_col).mapInArrow(number, "doc_id long, refs array<int>, stretch int, fresh array<string>")
-    merged = numbered.select("doc_id", "refs", "stretch", fold(F.col("fresh"), path).alias("folded"), F.filter("fresh", lambda w: F.octet_length(w) > LONG).alias("rest"))
+    numbered = pieces.split(docs, pattern, id_col, text_col).mapInArrow(number, "doc_id long, refs array<int>, stretch int, fresh array<array<int>>")
+    merged = numbered.select("doc_id", "refs", "stretch", fold(F.col("fresh"), path).alias("folded"))
     return merged.mapInArrow(gather, "doc_id long, ids array<int>")
 
 
