@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, packing, quality, quality_rules, simhash_dedup
+from . import bpe, language_id, line_dedup, packing, quality, quality_rules, sharding, simhash_dedup
 from .store import small_batches
 
 
@@ -64,6 +64,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_docs(spark, sf_dir))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards whose row counts differ by at most one."""
+    found = sharding.assign(_docs(spark, sf_dir), 24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "links", "kept_links")
+
+
 #: Sites on which a line is boilerplate.
 SITES = 10
 
@@ -75,6 +81,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_sharding": op3_sharding,
     "op4_line_dedup": op4_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op5_language_id": op5_language_id,
