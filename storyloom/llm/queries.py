@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, packing, quality, quality_rules, sharding, simhash_dedup
+from . import bpe, language_id, line_dedup, media, packing, quality, quality_rules, sharding, simhash_dedup
 from .store import small_batches
 
 
@@ -64,6 +64,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_docs(spark, sf_dir))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text stored in an ISO media file and read back by its sample tables."""
+    return media.read_back(media.store_texts(_docs(spark, sf_dir)))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards whose row counts differ by at most one."""
     found = sharding.assign(_docs(spark, sf_dir), 24)
@@ -81,6 +86,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_media": op2_media,
     "op3_sharding": op3_sharding,
     "op4_line_dedup": op4_line_dedup,
     "op8_quality_rules": op8_quality_rules,

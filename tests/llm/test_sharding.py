@@ -26,9 +26,8 @@ def test_equal_counts_and_groups_stay_together(spark, n):
         groups[r.text_crc32][r.shard] += 1
     for r in got:
         assert r.links == sum(groups[r.text_crc32].values()) - 1 and r.kept_links == groups[r.text_crc32][r.shard] - 1
-    small = [c for c in groups.values() if sum(c.values()) > 1]
     if n > 100:
-        assert sum(len(c) == 1 for c in small) >= 0.9 * len(small)
+        assert sum(r.kept_links for r in got) >= 0.9 * sum(r.links for r in got)
 
 
 def test_a_group_larger_than_a_shard_fills_whole_shards(spark):
