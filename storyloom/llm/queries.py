@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_dedup, media, packing, quality, quality_rules, sharding, simhash_dedup
+from . import bpe, language_id, license_scan, line_dedup, media, packing, quality, quality_rules, sharding, simhash_dedup
 from .store import small_batches
 
 
@@ -64,6 +64,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_docs(spark, sf_dir))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph that is a licence text, with its family."""
+    docs = _docs(spark, sf_dir)
+    found = license_scan.scan(docs, license_scan.fit(docs))
+    return found.select("doc_id", "paragraph", "family", "probability", "similarity", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text stored in an ISO media file and read back by its sample tables."""
     return media.read_back(media.store_texts(_docs(spark, sf_dir)))
@@ -86,6 +93,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_media": op2_media,
     "op3_sharding": op3_sharding,
     "op4_line_dedup": op4_line_dedup,
