@@ -130,32 +130,46 @@ def fit(train: DataFrame, per_language: int = 512, clusters: int = 3, slack: flo
     return Model(languages, idf, np.array(centroids, np.float32).reshape(-1, 1 << BITS), np.array(owner, np.int64), np.array(floor), least)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score, rejected`` of every whole text.
+PREDICTION = "struct<lang_pred:string,score:double,rejected:boolean>"
+
+
+def prediction(model: Model, text: Column) -> Column:
+    """``struct<lang_pred, score, rejected>`` of a whole text.
 
     score is the cosine with the nearest centroid, from 0 to 1. Texts without a letter (null and empty ones among them)
-    are ``und``, score 0, rejected; so is everything if no language was learned. Equal texts get equal rows, other
-    columns are not read, a null doc_id stays null, an empty table gives no rows.
+    are ``und``, score 0, rejected; so is everything if no language was learned.
     """
     names = np.array([*model.languages, "und"], dtype=object)
+    names_of = ["lang_pred", "score", "rejected"]
+
+    def one(lettered: np.ndarray, data: np.ndarray, doc: np.ndarray) -> pa.StructArray:
+        n = len(lettered)
+        counts = _counts(data, doc, n)
+        if len(model.owner):
+            cosine = _vectors(counts, model.idf) @ model.centroids.T
+            best = cosine.argmax(axis=1)
+            score = np.clip(cosine[np.arange(n), best], 0, 1).astype(float)
+            lang = model.owner[best]
+            far = (score < model.floor[best]) & (counts.sum(axis=1) >= model.least)
+        else:
+            score, lang, far = np.zeros(n), np.full(n, -1), np.ones(n, bool)
+        lang, score = np.where(lettered, lang, -1), np.where(lettered, score, 0.0)
+        return pa.StructArray.from_arrays([pa.array(names[lang], pa.string()), pa.array(score), pa.array(far | ~lettered)], names_of)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lettered = b.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, data, doc in grams.chunks(b.column(2)):
-                counts = _counts(data, doc, hi - lo)
-                some = lettered[lo:hi]
-                if len(model.owner):
-                    cosine = _vectors(counts, model.idf) @ model.centroids.T
-                    best = cosine.argmax(axis=1)
-                    score = np.clip(cosine[np.arange(hi - lo), best], 0, 1).astype(float)
-                    lang = model.owner[best]
-                    far = (score < model.floor[best]) & (counts.sum(axis=1) >= model.least)
-                else:
-                    score, lang, far = np.zeros(hi - lo), np.full(hi - lo, -1), np.ones(hi - lo, bool)
-                lang = np.where(some, lang, -1)
-                score = np.where(some, score, 0.0)
-                yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array(names[lang], pa.string()), pa.array(score), pa.array(far | ~some)], ["doc_id", "lang_pred", "score", "rejected"])
-
-    has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), has_letter, _padded(F.col(text_col))).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    @F.arrow_udf(PREDICTION)
+    def predicted(lettered: pa.Array, texts: pa.Array) -> pa.Array:
+        some = lettered.to_numpy(zero_copy_only=False)
+        out = [one(some[lo:hi], data, doc) for lo, hi, data, doc in grams.chunks(texts)]
+        kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
+        return pa.concat_arrays([x.cast(kind) for x in out]) if out else pa.array([], kind)
+
+    return predicted(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), _padded(text))
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, lang_pred, score, rejected`` of every whole text: see :func:`prediction`.
+
+    Equal texts get equal rows, other columns are not read, a null doc_id stays null, an empty table gives no rows.
+    """
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), prediction(model, F.col(text_col)).alias("p"))
+    return found.select("doc_id", "p.*")

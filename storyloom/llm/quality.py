@@ -80,20 +80,24 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, rounds: int = 3, i
     return Model(w[:-1].astype(np.float32), float(w[-1]))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` of every whole text, from 0 to 1.
+def scored(model: Model, text: Column) -> Column:
+    """The score of a whole text, from 0 to 1. Null and empty texts have no features: theirs is that of the bias."""
 
-    Null and empty texts have no features: their score is that of the bias. Equal texts get equal scores, other columns
-    are not read, a null doc_id stays null, an empty table gives no rows.
-    """
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0)]
+        for lo, hi, data, doc in grams.chunks(texts):
+            at, bucket = grams.word_ngrams(data, doc, BITS)
+            dot = np.bincount(at, model.weights[bucket].astype(float), hi - lo)
+            out.append(_sigmoid(model.bias + SCALE * dot / np.maximum(np.bincount(at, minlength=hi - lo), 1)))
+        return pa.array(np.concatenate(out))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for lo, hi, data, doc in grams.chunks(b.column(1)):
-                at, bucket = grams.word_ngrams(data, doc, BITS)
-                dot = np.bincount(at, model.weights[bucket].astype(float), hi - lo)
-                out.append(_sigmoid(model.bias + SCALE * dot / np.maximum(np.bincount(at, minlength=hi - lo), 1)))
-            yield pa.record_batch([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "score"])
+    return scores(_bytes(text))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), _bytes(F.col(text_col))).mapInArrow(run, "doc_id long, score double")
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, score`` of every whole text: see :func:`scored`.
+
+    Equal texts get equal scores, other columns are not read, a null doc_id stays null, an empty table gives no rows.
+    """
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), scored(model, F.col(text_col)).alias("score"))
