@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from storyloom.plans import ingest
+
+QUERIES: dict = {**ingest.Q}
+ORACLES: dict[str, str] = {**ingest.SQL}
