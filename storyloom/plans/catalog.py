@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyloom.plans import ingest
+from storyloom.plans import ingest, scoring
 
-QUERIES: dict = {**ingest.Q}
-ORACLES: dict[str, str] = {**ingest.SQL}
+QUERIES: dict = {**ingest.Q, **scoring.Q}
+ORACLES: dict[str, str] = {**ingest.SQL, **scoring.SQL}
