@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyloom.plans import ingest, scoring
+from storyloom.plans import ingest, scoring, selection
 
-QUERIES: dict = {**ingest.Q, **scoring.Q}
-ORACLES: dict[str, str] = {**ingest.SQL, **scoring.SQL}
+QUERIES: dict = {**ingest.Q, **scoring.Q, **selection.Q}
+ORACLES: dict[str, str] = {**ingest.SQL, **scoring.SQL, **selection.SQL}
