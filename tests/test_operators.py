@@ -90,7 +90,7 @@ TEXT8 = "machine learning models and deep neural network training"
         ("a OR b AND c", "only a here", False),
         ("a OR b AND c", "b and c", True),
         ("art", "start", False),
-        ("term AND (x", "term with (x", True),
+        ("term AND (x", "term with (x", False),  # no word boundary before a parenthesis
         ("", "text", False),
         ("word", "", False),
         ("word", None, False),
