@@ -107,7 +107,9 @@ def _parts(rng: random.Random, text: str) -> str:
 
 def fit(docs: DataFrame, seed: int = 1, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Train on the templates against paragraphs of at most DOCUMENTS documents, picked by a hash of their text."""
-    some = docs.select(F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).orderBy("h", "text").limit(DOCUMENTS).collect()
+    texts = docs.select(F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    picked = [r["h"] for r in texts.groupBy("h").agg(F.count("*").alias("n")).orderBy("h").limit(DOCUMENTS).collect()]  # hashes alone: the driver gets few bytes of a task
+    some = texts.filter(F.col("h").isin(picked)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect() if picked else []
     known = {t for ts in TEMPLATES.values() for t in ts}
     others = sorted({line for r in some for line in r["text"].split("\n") if line.strip() and line.strip() not in known})
     rng = random.Random(seed)
