@@ -28,6 +28,8 @@ from .store import cut, drop
 
 #: (first bit, Hamming-coded bits, plain bits) of each block.
 BLOCKS = ((0, 15, 7), (22, 15, 6), (43, 15, 6))
+#: Ids of copies that are broadcast at most: 16 MB.
+SMALL = 1_000_000
 #: Pairs that one vector operation compares.
 CHUNK = 1 << 20
 
@@ -241,5 +243,7 @@ def keep_first(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
 
     Rows that share a doc_id count as one document. Rows without doc_id go: they can't be told from their copies.
     """
-    first = near_duplicates(docs, width, distance).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(cut(first, "firsts"), "doc_id", "left_semi").select(docs.columns)
+    rows = near_duplicates(docs, width, distance).filter("doc_id is not null")
+    copies = cut(rows.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).filter("not first").select("doc_id"), "copies")
+    side = F.broadcast(copies) if copies.count() <= SMALL else copies  # the copies are fewer than the documents that stay
+    return docs.filter("doc_id is not null").join(side, "doc_id", "left_anti").select(docs.columns)
