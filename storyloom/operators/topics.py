@@ -23,6 +23,11 @@ _PHRASE = re.compile(r'"([^"]+)"')
 _NEAR = re.compile(r"(\w+)\s+NEAR/(\d+)\s+(\w+)", re.IGNORECASE)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def phrase(words: str) -> Matcher:
     """A substring, in any case."""
     return lambda text: F.contains(F.lower(text), F.lit(words.lower()))
@@ -41,10 +46,14 @@ def near(a: str, n: int, b: str) -> Matcher:
         w = w.lower()
         return [w, w + "s", *([w[:-1]] if w.endswith("s") else [])]
 
+    def places(words: Column, w: str) -> Column:
+        return F.filter(F.transform(words, lambda t, i: F.when(t.isin(alike(w)), i).otherwise(-1)), lambda i: i >= 0)
+
+    def close(words: Column) -> Column:
+        return _let(places(words, a), lambda at: _let(places(words, b), lambda to: F.exists(at, lambda i: F.exists(to, lambda j: F.abs(i - j) <= n))))
+
     def match(text: Column) -> Column:
-        words = F.split(F.trim(F.lower(text)), r"(?U)\s+")
-        places = lambda w: F.filter(F.transform(words, lambda t, i: F.when(t.isin(alike(w)), i).otherwise(-1)), lambda i: i >= 0)
-        return F.exists(places(a), lambda i: F.exists(places(b), lambda j: F.abs(i - j) <= n))
+        return _let(F.split(F.trim(F.lower(text)), r"(?U)\s+"), close)
 
     return match
 

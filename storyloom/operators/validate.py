@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.functions.text import squeeze
+from storyloom.sources.shared import cut
 
 # Words of clickbait, of calls to act, and of section headings.
 CLICKBAIT = ["increíble", "impactante", "no vas a creer", "te sorprenderá", "secreto", "viral", "shocking", "bombazo"]
@@ -37,7 +38,7 @@ def support(claims: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
     asked = claims.select("claim_id", words(F.col("text")).alias("cw")).withColumn("n", F.size("cw"))
     each = asked.select("claim_id", "n", F.explode("cw").alias("w"))
     held = sources.select("source_id", words(F.col("text")).alias("sw"))
-    hits = held.select("source_id", F.explode("sw").alias("w")).join(each.select("w").distinct(), "w", "left_semi")
+    hits = cut(held.select("source_id", F.explode("sw").alias("w")).join(each.select("w").distinct(), "w", "left_semi"), "hits")
     common = hits.groupBy("w").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.coalesce("df", F.lit(0)), "w"))
     rare = each.join(common, "w", "left").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * limit) + 1)
