@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import dates, hashing, text, url
 from storyloom.operators import dedup, validate
-from storyloom.plans.items import AGE, ITEMS, NOW, items, now, table
+from storyloom.plans.items import ITEMS, NOW, items, now, table
+from storyloom.sources import feeds
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -266,3 +267,22 @@ def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
 def entry_validation(spark: SparkSession, d: str) -> DataFrame:
     x = items(spark, d).withColumn("url_sha1", url.sha1(F.col("url")))
     return x.select("item_id", F.coalesce(validate.valid_entry(), F.lit(False)).alias("valid"), url.safe(F.col("url")).alias("safe"))
+
+
+@query("SELECT doc_id AS id, unnest([0, 1]) AS place, CASE unnest([0, 1]) WHEN 0 THEN trim(string_split(text, chr(10))[1]) ELSE 'second' END AS title, 'http://x.org/' || doc_id AS link FROM documents WHERE trim(string_split(text, chr(10))[1]) <> ''")
+def feed_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Titles written into RSS and Atom bodies of two entries, and read again."""
+    docs = table(spark, d, "documents").withColumn("t", F.trim(F.get(F.split("text", "\n"), F.lit(0)))).filter("t <> ''")
+    safe = F.replace(F.replace(F.replace(F.col("t"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    link = F.concat(F.lit("http://x.org/"), "doc_id")
+    rss = F.format_string("<rss><channel><title>c</title><item><title>%s</title><link>%s</link></item><item><title>second</title><link>%s</link></item></channel></rss>", safe, link, link)
+    atom = F.format_string('<feed><title>c</title><entry><title>%s</title><link href="%s"/></entry><entry><title>second</title><link href="%s"/></entry></feed>', safe, link, link)
+    bodies = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, rss).otherwise(atom).alias("body"))
+    return feeds.entries(bodies, "doc_id", "body").select("id", "place", "title", "link")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE (props->>'k')::INT END AS k FROM events")
+def json_extract(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON object within other words; every seventh text has none."""
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit("Sure: "), F.when(F.col("event_id") % 7 != 0, F.col("props")).otherwise("none"), F.lit(" done")).alias("t"))
+    return e.select("event_id", feeds.embedded_json(F.col("t"), "k int")["k"].alias("k"))
