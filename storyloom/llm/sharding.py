@@ -38,7 +38,7 @@ def _spread(n: int) -> Column:
     return F.pmod(F.xxhash64("h", "doc_id", "copy"), F.lit(n)).cast("int")
 
 
-def assign(docs: DataFrame, shards: int = 24, rounds: int = 12, buckets: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign(docs: DataFrame, shards: int = 24, rounds: int = 20, buckets: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot, links, kept_links`` of every row.
 
     ``size`` is the text's UTF-8 bytes plus 8; ``slot`` counts from 0 without gaps in each shard; ``links`` is the number
@@ -59,9 +59,9 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 12, buckets: int = 2
     sizes = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     linked = cut(now.join(sizes, "h", "left_semi").select("h", "doc_id", "copy", "shard"), "linked")
     alone = cut(ranked(now.join(linked, "copy", "left_anti").select("h", "doc_id", "copy", "shard"), ["shard"], order, _spread(buckets), "rank").select("copy", "shard", "rank"), "alone")
-    room = {r["shard"]: r["n"] for r in alone.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    room = _sizes(alone)
     used = dict.fromkeys(range(shards), 0)
-    displaced = []
+    displaced: list[DataFrame] = []
     for _ in range(rounds):
         free = {s: room.get(s, 0) - used[s] for s in range(shards) if room.get(s, 0) > used[s]}
         moves = cut(_into_room(linked, free, buckets), "moves")
@@ -72,6 +72,11 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 12, buckets: int = 2
             displaced.append(cut(alone.join(left, ["shard", "rank"]).select("copy", "new"), "displaced"))
             for s, n in came.items():
                 used[s] += n
+        elif displaced:
+            # those that gave way may do so again from where they are now
+            alone, displaced = cut(ranked(_placed(alone, displaced), ["shard"], [F.col("copy")], F.pmod(F.xxhash64("copy"), F.lit(buckets)).cast("int"), "rank"), "alone"), []
+            room, used = _sizes(alone), dict.fromkeys(range(shards), 0)
+            continue
         else:
             moves = cut(_exchanged(_moves(linked, None), buckets), "moves")
             if moves.limit(1).count() == 0:
@@ -80,8 +85,7 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 12, buckets: int = 2
     held = linked.groupBy("h", "shard").agg(F.count("*").alias("here"))
     counts = linked.groupBy("h").agg(F.count("*").alias("all"))
     known = linked.join(held, ["h", "shard"]).join(counts, "h").select("copy", F.col("shard").alias("to"), "here", "all")
-    for d in displaced:
-        known = known.unionByName(d.select("copy", F.col("new").alias("to")), allowMissingColumns=True)
+    known = known.unionByName(_placed(alone, displaced).select("copy", F.col("shard").alias("to")), allowMissingColumns=True)
     done = now.join(known, "copy", "left").select(
         "doc_id", "size", "text_crc32", "h", "copy", F.coalesce("to", "shard").alias("shard"), F.coalesce(F.col("all") - 1, F.lit(0)).cast("long").alias("links"), F.coalesce(F.col("here") - 1, F.lit(0)).cast("long").alias("kept_links")
     )
@@ -89,6 +93,20 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 12, buckets: int = 2
     return slots.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), "links", "kept_links")
 
 
+def _sizes(alone: DataFrame) -> dict[int, int]:
+    return {r["shard"]: r["n"] for r in alone.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+
+
+def _placed(alone: DataFrame, displaced: list[DataFrame]) -> DataFrame:
+    """``copy, shard`` of the documents without links, where they are now. None is displaced twice between two calls."""
+    if not displaced:
+        return alone.select("copy", "shard")
+    moved = displaced[0]
+    for d in displaced[1:]:
+        moved = moved.unionByName(d)
+    return alone.join(moved, "copy", "left").select("copy", F.coalesce("new", "shard").alias("shard"))
+
+
 def _global_rank(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Rank all rows from 0, in the order of 65536 buckets by a hash of the row."""
     dealt = rows.withColumn("_b", _spread(1 << 16))
