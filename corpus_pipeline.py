@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import language_id, line_dedup, packing, quality, simhash_dedup
+from storyloom.llm import language_id, line_dedup, near_copies, packing, quality
 from storyloom.llm.queries import SITES
 from storyloom.llm.store import cut, small_batches
 
@@ -32,9 +32,9 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints stays: that of the smallest doc_id."""
+    """One document of each component of near copies (five-word shingles, similarity 0.8) stays: that of the smallest doc_id."""
     small_batches(spark)
-    return simhash_dedup.keep_first(docs)
+    return near_copies.keep_first(docs)
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
