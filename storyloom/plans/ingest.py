@@ -161,6 +161,17 @@ def keywords_topn(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("rank", rank).filter("rank <= 10").select("doc_id", "keyword", "n", "rank")
 
 
+@query()
+def keywords_all(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most frequent words of every text, in any script and whole, the first to come first among equals."""
+    from pyspark.sql.window import Window
+
+    found = table(spark, d, "documents").select("doc_id", F.posexplode(text.keyword_tokens(text.clean(F.col("text")))).alias("p", "keyword"))
+    counts = found.groupBy("doc_id", "keyword").agg(F.count("*").alias("n"), F.min("p").alias("p"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "p"))
+    return counts.withColumn("rank", rank).filter("rank <= 10").select("doc_id", "keyword", "n", "rank")
+
+
 _TITLE = "string_split(text, chr(10))[1]"
 
 
