@@ -16,6 +16,11 @@ def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), ts)
 
 
+def from_micros(value: Column) -> Column:
+    """The time without zone of microseconds since 1970."""
+    return F.timestamp_add("MICROSECOND", value, F.expr(EPOCH))
+
+
 def literal(text: str) -> Column:
     return F.expr(f"timestamp_ntz'{text}'")
 
@@ -50,3 +55,13 @@ def parse_relative(text: Column, now: Column) -> Column:
 
 def taiwan(ts: Column) -> Column:
     return ts + F.expr("interval 8 hours")
+
+
+def to_utc(ts: Column, offset_hours: Column, now: Column) -> Column:
+    """A local time with its offset (null: none given, so UTC) as UTC; a missing time is now."""
+    return F.coalesce(ts - F.make_dt_interval(hours=F.coalesce(offset_hours, F.lit(0))), now)
+
+
+def format_feed(ts: Column) -> Column:
+    """A time the way feeds show it."""
+    return F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))

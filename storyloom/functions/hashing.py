@@ -33,6 +33,11 @@ def to_hex(fingerprint: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
+def short_hex(fingerprint: Column) -> Column:
+    """The hex digits without leading zeros; of a missing text '0'."""
+    return F.coalesce(F.lower(F.hex(fingerprint)), F.lit("0"))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

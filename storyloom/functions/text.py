@@ -14,9 +14,8 @@ from pyspark.sql.types import StringType
 
 # Spanish words that are no keywords.
 STOPWORDS = (
-    "a al algo ante antes como con contra cual cuando de del desde donde durante e el ella ellas ellos en entre era eran es esa ese eso esta "
-    "este esto está están fue fueron ha han hasta hay la las le les lo los me mi mientras muy más más ni no nos o otra otro para pero poco por "
-    "porque que quien qué se ser si sin sobre son su sus sí también tan te tiene todo todos tras tu un una uno unos y ya yo"
+    "el la de que y a en un es se no te lo le da su por son con para al del los las una como "
+    "pero sus les me mi nos ni ya yo si muy más este esta esto ese esa eso aquel aquella aquello"
 ).split()
 
 
@@ -165,3 +164,63 @@ def guess_language(text: Column, fallback: Column) -> Column:
 
 def _hits(words: Column, mine: list[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(mine)))
+
+
+def detect_language(title: Column, summary: Column, fallback: Column) -> Column:
+    """The language of title and summary; the fallback where they are under 10 characters, or 20 when cleaned."""
+    whole = F.trim(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit(""))))
+    return F.when(F.length(whole) < 10, fallback).otherwise(guess_language(whole, fallback))
+
+
+def hard_slug(ascii_text: Column, most: int = 80) -> Column:
+    """A slug cut at ``most`` characters, wherever that is; the empty string where nothing is left."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(ascii_text, F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, most)
+
+
+def embedding_text(title: Column, summary: Column) -> Column:
+    """Title and summary for an embedding: joined by a space where there is a summary, then trimmed."""
+    t, s = F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit(""))
+    return F.trim(F.when(s != "", F.concat(t, F.lit(" "), s)).otherwise(t))
+
+
+def simhash_text(title: Column, summary: Column) -> Column:
+    """Title and summary for a fingerprint: with a space between, whatever they are."""
+    return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(summary, F.lit("")))
+
+
+# Tags that stay in sanitised HTML, and their attributes.
+ALLOWED = {
+    "p": [], "br": [], "strong": [], "b": [], "em": [], "i": [], "u": [], "ul": [], "ol": [], "li": [], "h2": [], "h3": [], "h4": [],
+    "blockquote": ["cite"], "a": ["href", "title", "rel"], "span": ["class"], "div": ["class"],
+}
+
+
+class _Allowed(HTMLParser):
+    def __init__(self, allowed: dict[str, list[str]]) -> None:
+        super().__init__(convert_charrefs=True)
+        self.allowed, self.parts = allowed, []
+
+    def handle_starttag(self, tag, attrs):  # noqa: ANN001, ANN201
+        if tag in self.allowed:
+            kept = "".join(f' {k}="{html.escape(v or "")}"' for k, v in attrs if k in self.allowed[tag] and not re.match(r"\s*(javascript|data|vbscript):", v or "", re.IGNORECASE))
+            self.parts.append(f"<{tag}{kept}>")
+
+    def handle_endtag(self, tag):  # noqa: ANN001, ANN201
+        if tag in self.allowed and tag != "br":
+            self.parts.append(f"</{tag}>")
+
+    def handle_data(self, data):  # noqa: ANN001, ANN201
+        self.parts.append(html.escape(data, quote=False))
+
+
+def sanitised_html(source: str | None, allowed: dict[str, list[str]] | None = None) -> str:
+    """HTML with the allowed tags and attributes alone; the text of other tags stays."""
+    parser = _Allowed(ALLOWED if allowed is None else allowed)
+    parser.feed(source or "")
+    parser.close()
+    return "".join(parser.parts)
+
+
+@F.pandas_udf(StringType())
+def sanitise(pages: pd.Series) -> pd.Series:
+    return pages.map(sanitised_html)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from storyloom.operators.dedup import first_independent
-from storyloom.sources.shared import cut
+from storyloom.functions.vectors import unit
+from storyloom.sources.shared import cut, drop
 
 #: Vectors in a block: a task compares two blocks at a time.
 BLOCK = 2048
@@ -26,27 +28,7 @@ def _blocked(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
     return vectors.select("id", "v").withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, size: int = BLOCK) -> DataFrame:
-    """``u, v, similarity`` (u < v) of the vectors (id, v) whose cosine reaches the threshold: exact, by pairs of blocks."""
-    dealt, n = _blocked(vectors, size)
-    pair = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least(F.col("_b"), o).alias("i"), F.greatest(F.col("_b"), o).alias("j")))
-    rows = dealt.withColumn("_p", F.explode(pair)).select("id", "v", "_b", "_p.i", "_p.j")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["_b"] == i], pdf[pdf["_b"] == j]
-        if left.empty or right.empty:
-            return pd.DataFrame({"u": [], "v": [], "similarity": []})
-        s = _unit(left["v"]) @ _unit(right["v"]).T
-        a, b = np.nonzero(s >= threshold)
-        u, v = left["id"].to_numpy()[a], right["id"].to_numpy()[b]
-        keep = u < v if i == j else u != v
-        return pd.DataFrame({"u": np.minimum(u, v)[keep], "v": np.maximum(u, v)[keep], "similarity": s[a, b][keep]})
-
-    return rows.groupBy("i", "j").applyInPandas(compare, "u long, v long, similarity double")
-
-
-def top_similar(queries: DataFrame, vectors: DataFrame, k: int, size: int = BLOCK) -> DataFrame:
+def top_similar(queries: DataFrame, vectors: DataFrame, k: int, size: int = BLOCK, exclude_self: bool = True) -> DataFrame:
     """``query, id, similarity, rank``: the k vectors of highest cosine for each query, itself excluded, by id among equals."""
     rows, n = _blocked(vectors, size)
     asked, m = _blocked(queries, size)
@@ -60,7 +42,8 @@ def top_similar(queries: DataFrame, vectors: DataFrame, k: int, size: int = BLOC
             s = np.round(_unit(q["v"]) @ _unit(r["v"]).T, 9)
             ids = r["id"].to_numpy()
             for row, own in zip(s, q["id"], strict=True):
-                row[ids == own] = -9
+                if exclude_self:
+                    row[ids == own] = -9
                 at = np.argsort(-row, kind="stable")[:k]
                 out.append(pd.DataFrame({"query": own, "id": ids[at], "similarity": row[at]})[row[at] > -9])
         return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "similarity": []})
@@ -70,15 +53,108 @@ def top_similar(queries: DataFrame, vectors: DataFrame, k: int, size: int = BLOC
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def leader_clusters(vectors: DataFrame, threshold: float, size: int = BLOCK) -> DataFrame:
-    """``id, leader, similarity``: a scan by id, in which a vector joins the best leader before it or leads itself.
-
-    The best has the highest cosine, the earliest among equals, and reaches the threshold; a leader's own similarity is 0.
+def _scan_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """The leaders of a few vectors scanned by rank, none of which joins an earlier leader."""
+    pdf = pdf.sort_values("rank")
+    x = _unit(pdf["v"])
+    near = np.round(x @ x.T, 9) >= threshold
+    leads: list[int] = []
+    for i in range(len(x)):
+        if not near[i, leads].any():
+            leads.append(i)
+    return pdf.iloc[leads][["id", "rank", "v"]]
+
+
+def scan_group(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """``id, leader, similarity`` of a few vectors (id, rank, v) scanned by rank."""
+    pdf = pdf.sort_values("rank")
+    x, ids = _unit(pdf["v"]), pdf["id"].to_numpy()
+    near = np.round(x @ x.T, 9)
+    leads: list[int] = []
+    leader, similarity = ids.copy(), np.zeros(len(x))
+    for i in range(len(x)):
+        best = max(leads, key=lambda j: near[i, j], default=None)
+        if best is not None and near[i, best] >= threshold:
+            leader[i], similarity[i] = ids[best], near[i, best]
+        else:
+            leads.append(i)
+    return pd.DataFrame({"id": ids, "leader": leader, "similarity": similarity})
+
+
+def leader_clusters(vectors: DataFrame, threshold: float, existing: DataFrame | None = None, size: int = BLOCK) -> DataFrame:
+    """``id, leader, similarity, new``: a scan of (id, v, rank; without rank, by id) by rank, in which a vector joins the best cluster so far.
+
+    The clusters are the ``existing`` ones (id, v), if any, and the vectors before it that lead one. The best has the
+    highest cosine, which must reach the threshold; among equals existing ones come first, then the earliest. A vector that
+    joins none leads its own cluster, ``new`` and with a similarity of 0.
+
+    Each round scans the first ``size`` undecided vectors in one task, and compares all others with the leaders found
+    there, ``size`` at most; the best of each vector is kept. So no pairs are written, and rounds go on until all is decided.
+    """
+    rows = vectors.select("id", "v", F.col("rank" if "rank" in vectors.columns else "id").alias("rank"))
+    if existing is None:
+        started = rows.withColumns({"s": F.lit(None).cast("double"), "l": F.lit(None).cast("long"), "place": F.lit(None).cast("long"), "lead": F.lit(False)})
+    else:
+        best = top_similar(rows.select("id", "v"), existing, 1, size, exclude_self=False).filter(F.col("similarity") >= threshold)
+        told = best.select(F.col("query").alias("id"), F.col("similarity").alias("s"), F.col("id").alias("l"), F.lit(-1).cast("long").alias("place"))
+        started = rows.join(told, "id", "left").select("id", "v", "rank", "s", "l", "place", F.lit(False).alias("lead"))
+    state = cut(started, "state")
+    schema = state.schema
+    while True:
+        head = state.filter("s is null and not lead").orderBy("rank").limit(size).groupBy(F.lit(0).alias("_all"))
+        found = head.applyInPandas(lambda pdf: _scan_block(pdf[["id", "rank", "v"]], threshold), rows.select("id", "rank", "v").schema).toPandas()  # ``size`` vectors at most
+        if found.empty:
+            break
+        ids, ranks, leaders = found["id"].to_numpy(), found["rank"].to_numpy(), _unit(found["v"])
+
+        def compare(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, ranks: np.ndarray = ranks, leaders: np.ndarray = leaders) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    s = np.round(_unit(pdf["v"]) @ leaders.T, 9)
+                    later = pdf["rank"].to_numpy()[:, None] > ranks[None, :]
+                    s = np.where(later, s, -9.0)  # leaders are in the order of their ranks: the first of equals counts
+                    at = s.argmax(axis=1)
+                    top = s[np.arange(len(s)), at]
+                    old = pdf["s"].astype(float).fillna(-9.0).to_numpy()
+                    own = np.isin(pdf["id"].to_numpy(), ids)
+                    better = (top >= threshold) & (top > old) & ~own & ~pdf["lead"].to_numpy()
+                    pdf["s"] = np.where(better, top, np.where(old > -9, old, np.nan))
+                    pdf["l"] = pd.array(np.where(better, ids[at], pdf["l"].fillna(0).astype("int64")), dtype="Int64").copy()
+                    pdf.loc[~better & (old <= -9), "l"] = pd.NA
+                    pdf["lead"] = pdf["lead"].to_numpy() | own
+                yield pdf
+
+        after = cut(state.mapInPandas(compare, schema), "state")
+        drop(state)
+        state = after
+    seed = F.col("lead")
+    return state.select("id", F.when(seed, F.col("id")).otherwise(F.col("l")).alias("leader"), F.when(seed, 0.0).otherwise(F.col("s")).alias("similarity"), seed.alias("new"))
+
+
+def cluster_rows(members: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+    """``cluster_id, items_count, first_seen, last_seen, domains, domains_count`` after a run.
+
+    ``members`` is (cluster_id, item_id, ts, domain, new): ``new`` marks the item that opened its cluster, whose domain counts
+    twice. Stored ``clusters`` (cluster_id, items_count, first_seen, last_seen, domains) go on from what they had. Items
+    whose domain is unknown count as items alone.
     """
-    near = cut(similar_pairs(vectors, threshold, size), "similar")
-    state = first_independent(vectors.select(F.col("id").alias("node"), F.col("id").alias("rank")), near.select("u", "v"))
-    leaders = state.filter("accepted").select(F.col("node").alias("u"))
-    # an edge's earlier end may lead its later end
-    best = near.join(leaders, "u", "left_semi").groupBy("v").agg(F.max(F.struct(F.round("similarity", 9).alias("s"), (-F.col("u")).alias("l"))).alias("b"))
-    joined = state.join(best, state["node"] == best["v"], "left")
-    return joined.select(F.col("node").alias("id"), F.when(F.col("accepted"), F.col("node")).otherwise(-F.col("b.l")).alias("leader"), F.when(F.col("accepted"), 0.0).otherwise(F.col("b.s")).alias("similarity"))
+    known = members.filter(F.coalesce("domain", F.lit("unknown")) != "unknown")
+    hosts = known.groupBy("cluster_id", "domain").agg((F.count("*") + F.count_if("new")).alias("n"))
+    sums = members.groupBy("cluster_id").agg(F.count("*").alias("items_count"), F.min(F.when(F.col("new"), F.col("ts"))).alias("first_seen"), F.max("ts").alias("last_seen"))
+    if clusters is not None:
+        hosts = hosts.unionByName(clusters.select("cluster_id", F.explode("domains").alias("domain", "n"))).groupBy("cluster_id", "domain").agg(F.sum("n").alias("n"))
+        both = sums.unionByName(clusters.select("cluster_id", "items_count", "first_seen", "last_seen"))
+        sums = both.groupBy("cluster_id").agg(F.sum("items_count").alias("items_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    maps = hosts.groupBy("cluster_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("domain", "n")))).alias("domains"), F.count("*").alias("domains_count"))
+    none = F.create_map().cast("map<string,bigint>")
+    return sums.join(maps, "cluster_id", "left").withColumns({"domains": F.coalesce("domains", none), "domains_count": F.coalesce("domains_count", F.lit(0))})
+
+
+def running_mean(centroid: Column, n: Column, vector: Column) -> Column:
+    """The mean of a centroid of n vectors and one more, brought to length one."""
+    return unit(F.zip_with(centroid, vector, lambda c, x: (c * n + x) / (n + 1)))
+
+
+def active_clusters(clusters: DataFrame, now: Column, hours: int) -> DataFrame:
+    """The open clusters with a centroid that were first seen within the hours."""
+    return clusters.filter((F.col("status") == "open") & (F.col("first_seen") >= now - F.expr(f"interval {hours} hours")) & F.col("centroid").isNotNull() & (F.size("centroid") > 0))

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.functions.hashing import hamming
-from storyloom.sources.shared import cut
+from storyloom.sources.shared import cut, drop
+
+
+def top_by(df: DataFrame, keys: list[str], order: list[Column], most: int, name: str = "_k") -> DataFrame:
+    """The first ``most`` rows of each key, ranked from 1. Rows are cut down within each task first, so no key fills one."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= most)
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key. Rows are first cut down within each task."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_k = 1").drop("_k")
+    """The first row of each key."""
+    return top_by(df, keys, order, 1).drop("_k")
 
 
 def new_only(batch: DataFrame, stored: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -59,36 +65,113 @@ def near_pairs(hashes: DataFrame, distance: int = 3, extra: int = 2) -> DataFram
     return near.select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
-def first_independent(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+#: Nodes or links that one task decides by the plain scan.
+LOCAL = 200_000
+
+
+def _greedy(links: pd.DataFrame) -> pd.DataFrame:
+    """The scan over all of a graph's nodes: links (u, v, ru, rv) with u before v."""
+    order = pd.concat([links[["u", "ru"]].set_axis(["node", "rank"], axis=1), links[["v", "rv"]].set_axis(["node", "rank"], axis=1)]).drop_duplicates("node").sort_values("rank")
+    before = links.groupby("v")["u"].agg(list).to_dict()
+    taken: set = set()
+    for node in order["node"]:
+        if not any(u in taken for u in before.get(node, ())):
+            taken.add(node)
+    return pd.DataFrame({"node": order["node"], "_mark": [n in taken for n in order["node"]]})
+
+
+def first_independent(nodes: DataFrame, edges: DataFrame, local: int = LOCAL) -> DataFrame:
     """The nodes that a scan in order accepts: those without an edge to an accepted node before them.
 
     ``nodes`` is (node, rank), ``edges`` is (u, v) once per pair. In each round every undecided node without an undecided
-    node before it is accepted, and its neighbours fall; the result is that of the scan. Returns (node, accepted).
+    node before it is accepted, and its neighbours fall. As soon as ``local`` edges at most are left, one task scans what
+    they join, so that a long chain of nodes takes no more rounds. The result is the scan's. Returns (node, accepted).
     """
     ranks = nodes.select(F.col("node").alias("_n"), F.col("rank").alias("_r"))
     both = edges.select("u", "v").union(edges.select("v", "u"))
-    later = both.join(ranks.toDF("u", "ru"), "u").join(ranks.toDF("v", "rv"), "v").filter("ru < rv").select("u", "v")
-    live = cut(later, "edges")
+    live = cut(both.join(ranks.toDF("u", "ru"), "u").join(ranks.toDF("v", "rv"), "v").filter("ru < rv").select("u", "v", "ru", "rv"), "edges")
     state = cut(nodes.select("node", F.lit(None).cast("boolean").alias("accepted")).filter("node is not null"), "nodes")
-    for _ in range(most):
-        open_ = state.filter("accepted is null").select("node")
-        if open_.limit(1).count() == 0:
-            return state
-        taken = open_.join(live.select(F.col("v").alias("node")).distinct(), "node", "left_anti")
+    kind = nodes.schema["node"].dataType.simpleString()
+    while (left := live.count()) > local:
+        taken = state.filter("accepted is null").select("node").join(live.select(F.col("v").alias("node")).distinct(), "node", "left_anti")
         fallen = live.join(taken.select(F.col("node").alias("u")), "u", "left_semi").select(F.col("v").alias("node")).distinct()
         marks = cut(taken.withColumn("_mark", F.lit(True)).union(fallen.withColumn("_mark", F.lit(False))), "marks")
-        state = cut(state.join(marks, "node", "left").select("node", F.coalesce("accepted", "_mark").alias("accepted")), "nodes")
+        new_state = cut(state.join(marks, "node", "left").select("node", F.coalesce("accepted", "_mark").alias("accepted")), "nodes")
         gone = marks.select("node")
-        live = cut(live.join(gone.toDF("u"), "u", "left_anti").join(gone.toDF("v"), "v", "left_anti"), "edges")
-    raise RuntimeError("the scan has not settled")
+        new_live = cut(live.join(gone.toDF("u"), "u", "left_anti").join(gone.toDF("v"), "v", "left_anti"), "edges")
+        for old in (state, live, marks):
+            drop(old)
+        state, live = new_state, new_live
+    if left:
+        marks = live.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda pdf: _greedy(pdf), f"node {kind}, _mark boolean")  # ``local`` edges
+        state = state.join(cut(marks, "marks"), "node", "left").select("node", F.coalesce("accepted", "_mark").alias("accepted"))
+    return state.select("node", F.coalesce("accepted", F.lit(True)).alias("accepted"))
+
+
+class Scanner:
+    """The plain scan: takes a hash and a URL in order, unless a taken hash is near or the URL was taken."""
+
+    def __init__(self, distance: int) -> None:
+        self.distance, self.bands, self.urls = distance, [{} for _ in range(distance + 1)], set()
+        self.blocks = _blocks(distance + 1)
+
+    def take(self, h: int, url: str | None) -> bool:
+        keys = [h >> at & ((1 << width) - 1) for at, width in self.blocks]  # a near hash agrees in one of these blocks
+        near = any((h ^ x).bit_count() <= self.distance for band, key in zip(self.bands, keys, strict=True) for x in band.get(key, ()))
+        if near or (url is not None and url in self.urls):
+            return False
+        for band, key in zip(self.bands, keys, strict=True):
+            band.setdefault(key, []).append(h)
+        if url is not None:
+            self.urls.add(url)
+        return True
+
+
+def scan(nodes: DataFrame, distance: int = 3, local: int = LOCAL) -> DataFrame:
+    """``node, taken``: a scan by rank over (node, h, url, rank), which takes a node if no taken one has its URL or a hash
+    within the distance. A null URL is like no other.
+
+    Each hash goes to the keys of its blocks of bits, and each URL is a key. A round takes every undecided node that is the
+    first of all its keys; then all that share a key with a taken node and conflict with it fall. So no pairs are formed
+    within a key, however many nodes it has. What is left is scanned by one task once it is ``local`` nodes at most.
+    """
+    blocks = _blocks(distance + 2)
+    bits = lambda k: F.shiftrightunsigned("h", blocks[k][0]).bitwiseAND(F.lit((1 << blocks[k][1]) - 1))
+    keys = [F.concat_ws(".", F.lit(str(i)), *[bits(k).cast("string") for k in c]) for i, c in enumerate(combinations(range(len(blocks)), 2))]
+    url_key = F.when(F.col("url").isNotNull(), F.concat(F.lit("u"), F.col("url")))
+    left = cut(nodes.select("node", F.col("h").cast("long").alias("h"), F.col("url").cast("string").alias("url"), "rank"), "undecided")
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema}
+    decided: list[DataFrame] = []
+    while left.count() > local:
+        spread = left.select("*", F.explode(F.array_compact(F.array(*keys, url_key))).alias("key"))
+        first = cut(spread.groupBy("key").agg(F.min(F.struct("rank", "node", "h", "url")).alias("f")), "first")
+        own = cut(spread.join(first.select("key", F.col("f.node").alias("first")), "key").groupBy("node").agg(F.min((F.col("node") == F.col("first")).cast("int")).alias("all")).filter("all = 1").select("node"), "taken")
+        taken = first.select("key", "f.*").join(own, "node").select("key", F.col("node").alias("_n"), F.col("h").alias("_h"), F.col("url").alias("_u"))
+        conflict = (hamming(F.col("h"), F.col("_h")) <= distance) | F.coalesce(F.col("url") == F.col("_u"), F.lit(False))
+        fallen = cut(spread.join(taken, "key").filter((F.col("node") != F.col("_n")) & conflict).select("node").distinct(), "fallen")
+        decided.append(cut(own.withColumn("taken", F.lit(True)).union(fallen.withColumn("taken", F.lit(False))), "decided"))
+        rest = cut(left.join(decided[-1].select("node"), "node", "left_anti"), "undecided")
+        for old in (left, first, own, fallen):
+            drop(old)
+        left = rest
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        scanner = Scanner(distance)
+        pdf = pdf.sort_values("rank")
+        return pd.DataFrame({"node": pdf["node"], "taken": [scanner.take(h & (1 << 64) - 1, u) for h, u in zip(pdf["h"].tolist(), pdf["url"], strict=True)]})
+
+    out = left.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda pdf: finish(pdf), f"node {kinds['node']}, taken boolean")  # ``local`` nodes
+    for d in decided:
+        out = out.unionByName(d)
+    return out
 
 
-def near_filter(rows: DataFrame, distance: int = 3) -> DataFrame:
+def near_filter(rows: DataFrame, distance: int = 3, local: int = LOCAL) -> DataFrame:
     """``item_id, h, kept`` of rows (item_id, h) scanned by item_id: a row goes if a kept one is within the distance.
 
     Equal hashes are one node, ranked by their first row; only that row can be kept.
     """
     nodes = cut(rows.groupBy("h").agg(F.min("item_id").alias("rank")), "hashes")
-    decided = first_independent(nodes.select(F.col("h").alias("node"), "rank"), near_pairs(nodes.select("h"), distance).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    first = nodes.join(decided.select(F.col("node").alias("h"), "accepted"), "h")
-    return rows.join(first, "h").select("item_id", "h", (F.col("accepted") & (F.col("item_id") == F.col("rank"))).alias("kept"))
+    decided = scan(nodes.select(F.col("h").alias("node"), "h", F.lit(None).cast("string").alias("url"), "rank"), distance, local)
+    kept = nodes.join(decided.filter("taken").select(F.col("node").alias("h")), "h").select(F.col("rank").alias("item_id"), F.lit(True).alias("_kept"))
+    return rows.join(kept, "item_id", "left").select("item_id", "h", F.coalesce("_kept", F.lit(False)).alias("kept"))

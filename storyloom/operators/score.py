@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.functions.dates import age_hours
+from storyloom.sources.shared import cut
 
 #: Weights of the three factors, and of the five.
 THREE = {"trend": 0.45, "diversity": 0.35, "fresh": 0.20}
@@ -65,8 +66,14 @@ def three_factors(items: DataFrame, history: DataFrame, now: Column, tau: float
     return scored.withColumn("total", sum((F.col(k) * w for k, w in THREE.items()), F.lit(0.0)))
 
 
+def open_only(clusters: DataFrame) -> DataFrame:
+    return clusters.filter(F.col("status") == "open")
+
+
 def rank_clusters(scored: DataFrame, k: int = 10, score: str = "total") -> DataFrame:
-    """The k best; a missing score is zero, the smaller cluster_id goes first among equals."""
+    """The k best, of the open ones where there is a status; a missing score is zero, the smaller cluster_id goes first among equals."""
+    if "status" in scored.columns:
+        scored = open_only(scored)
     return scored.orderBy(F.coalesce(F.col(score), F.lit(0.0)).desc(), "cluster_id").limit(k)
 
 
@@ -89,16 +96,24 @@ def item_quality() -> Column:
 
 def cluster_parts(items: DataFrame, now: Column) -> DataFrame:
     """One row of sums per cluster, from one pass over the items."""
+    return _sums(_slim(items, now))
+
+
+def _slim(items: DataFrame, now: Column) -> DataFrame:
+    """What the five factors need of an item: no texts."""
     age = F.coalesce(age_hours(F.col("published_at"), now), F.lit(0.0))
-    x = items.withColumn("_age", age).withColumn("_h", F.greatest(F.lit(0), age.cast("int")))
-    return x.groupBy("cluster_id").agg(
+    return items.select("cluster_id", "source_id", "domain", age.alias("_age"), F.greatest(F.lit(0), age.cast("int")).alias("_h"), item_quality().alias("_quality"))
+
+
+def _sums(slim: DataFrame) -> DataFrame:
+    return slim.groupBy("cluster_id").agg(
         F.count("*").alias("item_count"),
         F.avg("_age").alias("avg_age_hours"),
         F.count_if(F.col("_age") <= 6).alias("young"),
         F.count_if(F.col("_h") <= 6).alias("recent"),
         F.max(F.when(F.col("_h") <= 6, F.col("_h"))).alias("recent_max"),
         F.max("_h").alias("hour_max"),
-        F.avg(item_quality()).alias("quality"),
+        F.avg("_quality").alias("quality"),
     )
 
 
@@ -133,9 +148,10 @@ def volume(average: Column) -> Column:
 
 def five_factors(items: DataFrame, now: Column, least: int = 3) -> DataFrame:
     """All factors and ``composite``; a cluster of fewer than ``least`` items keeps its row, with zeros."""
-    parts = cluster_parts(items, now)
-    domains = histogram(items, "domain").groupBy("cluster_id").agg(F.count("*").alias("domains"))
-    joined = parts.join(entropy(items), "cluster_id", "left").join(domains, "cluster_id", "left")
+    slim = cut(_slim(items, now), "slim")  # the items are scanned once for all aggregates
+    parts = _sums(slim)
+    domains = histogram(slim, "domain").groupBy("cluster_id").agg(F.count("*").alias("domains"))
+    joined = parts.join(entropy(slim), "cluster_id", "left").join(domains, "cluster_id", "left")
     average = parts.agg(F.avg("item_count")).scalar()
     total = sum(FIVE.values())
     big = F.col("item_count") >= least

@@ -8,6 +8,11 @@ from pyspark.sql.window import Window
 
 from storyloom.functions.text import occurrences, shorten
 from storyloom.functions.vectors import cosine
+from storyloom.operators.dedup import top_by
+
+
+#: Picks of a run.
+PICKS = 20_000
 
 
 def global_picks(metrics: DataFrame, k: int = 50) -> DataFrame:
@@ -40,8 +45,11 @@ def _first_wins(a: str, b: str) -> Column:
 def without_overlap(picks: DataFrame, centroids: DataFrame, limit: float = 0.9) -> DataFrame:
     """The picks that lose to no other of cosine ``limit`` or more, global ones first, then topics by key, each by rank.
 
-    A pick that loses still beats others. Picks are bounded by the caps of their topics, and are compared pair by pair.
+    A pick that loses still beats others. Picks are bounded by the caps of their topics: PICKS at most are compared pair by
+    pair.
     """
+    if picks.limit(PICKS + 1).count() > PICKS:
+        raise ValueError(f"over {PICKS} picks: lower the caps of the topics")
     order = Window.orderBy(F.when(F.col("kind") == "global", 0).otherwise(1), F.coalesce("topic_key", F.lit("")), "rank")
     placed = picks.join(centroids, "cluster_id", "left").withColumn("pos", F.row_number().over(order))
     # one key for all: the picks of a run are some hundreds
@@ -70,6 +78,29 @@ def topic_trends(metrics: DataFrame, relevance: DataFrame, k: int, least: float
     return found.orderBy(F.desc("adjusted"), "cluster_id").limit(k)
 
 
+def selection_stats(picks: DataFrame) -> DataFrame:
+    """One row: picks in all, of each kind, and the topics that have some."""
+    topic = F.col("kind") == "topic"
+    return picks.agg(F.count("*").alias("total_picks"), F.count_if(~topic).alias("global_count"), F.count_if(topic).alias("topic_count"), F.count_distinct(F.when(topic, F.col("topic_key"))).alias("topics_represented"))
+
+
+def trend_stats(candidates: DataFrame, trends_: DataFrame, topical: DataFrame) -> DataFrame:
+    """One row: candidates, trends selected globally and for a topic, the best and the mean of the global ones."""
+    told = trends_.agg(F.count("*").alias("global_selected"), F.coalesce(F.max("adjusted"), F.lit(0.0)).alias("top_global_score"), F.coalesce(F.avg("adjusted"), F.lit(0.0)).alias("avg_global_score"))
+    return told.select(candidates.agg(F.count("*")).scalar().alias("total_candidates"), "global_selected", topical.agg(F.count("*")).scalar().alias("topic_selected"), "top_global_score", "avg_global_score")
+
+
+def first_items(items: DataFrame, most: int = 3) -> DataFrame:
+    """The newest items of each cluster, ``most`` of them, ranked."""
+    return top_by(items, ["cluster_id"], [F.desc("published_at"), F.col("item_id")], most, "rank")
+
+
+def domain_sets(items: DataFrame) -> DataFrame:
+    """``cluster_id, domains``: each cluster's distinct domains in order."""
+    pairs = items.filter(F.coalesce("domain", F.lit("")) != "").select("cluster_id", "domain").distinct()
+    return pairs.groupBy("cluster_id").agg(F.sort_array(F.collect_list("domain")).alias("domains"))
+
+
 def representatives(items: DataFrame) -> DataFrame:
     """``cluster_id, title, summary, domains, sources``: the longest title with fewest alarm words, the longest summary.
 

@@ -52,3 +52,51 @@ def history(counts: DataFrame, now: Column, most: int = 30, days: int = 30) -> D
     young = counts.filter(F.col("run_ts") >= now - F.expr(f"interval {days} days"))
     k = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("run_ts")))
     return young.withColumn("age_rank", k).filter(F.col("age_rank") <= most)
+
+
+def update(stored: DataFrame, changes: DataFrame, key: str, stamps: dict[str, Column] | None = None) -> DataFrame:
+    """The rows whose key is in ``changes`` (once each) take its values that aren't null, and the stamps; others stay."""
+    given = [c for c in changes.columns if c != key]
+    side = changes.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in given], F.lit(True).alias("_hit"))
+    joined = stored.join(side, key, "left")
+    out = []
+    for c in stored.columns:
+        value = F.coalesce(F.col(f"_new_{c}"), F.col(c)) if c in given else F.col(c)
+        if stamps and c in stamps:
+            value = F.when(F.col("_hit"), stamps[c]).otherwise(value)
+        out.append(value.cast(stored.schema[c].dataType).alias(c))
+    return joined.select(*out)
+
+
+def set_centroids(clusters: DataFrame, centroids: DataFrame, now: Column) -> DataFrame:
+    """New centroids (cluster_id, centroid), and when they came."""
+    return update(clusters, centroids, "cluster_id", {"updated_at": now})
+
+
+def set_scores(clusters: DataFrame, scores: DataFrame, now: Column) -> DataFrame:
+    """New scores by cluster_id: a component that is null keeps its old value."""
+    return update(clusters, scores, "cluster_id", {"updated_at": now, "last_scored_at": now})
+
+
+def mark_runs(topics: DataFrame, ran: DataFrame, now: Column) -> DataFrame:
+    """The topics (topic_key, last_run) that ran: now."""
+    return update(topics, ran.select("topic_key"), "topic_key", {"last_run": now})
+
+
+def insert_batch(batch: DataFrame, stored: DataFrame, order: list[Column]) -> DataFrame:
+    """The batch with ``created``: whether its row is the first of its ``url_sha1`` and isn't stored. Their count is exact."""
+    known = stored.select("url_sha1").distinct().withColumn("_known", F.lit(True))
+    ranked = batch.withColumn("_k", F.row_number().over(Window.partitionBy("url_sha1").orderBy(*order)))
+    return ranked.join(known, "url_sha1", "left").withColumn("created", (F.col("_k") == 1) & F.col("_known").isNull()).drop("_k", "_known")
+
+
+def append_history(stored: DataFrame, counts: DataFrame, now: Column, most: int = 30, days: int = 30) -> DataFrame:
+    """The history (cluster_id, run_ts, n) with the counts (cluster_id, n) of now, cut to the last ``most`` of the last days."""
+    return history(stored.select("cluster_id", "run_ts", "n").unionByName(counts.select("cluster_id", now.alias("run_ts"), "n")), now, most, days).drop("age_rank")
+
+
+def create_cluster(clusters: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """Clusters with new ones (cluster_id, centroid, ...) appended: open, seen first and last now."""
+    seen = {"status": F.lit("open"), "first_seen": now, "last_seen": now, "items_count": F.lit(0)}
+    full = [(F.coalesce(F.col(c), seen.get(c, F.lit(None))) if c in new.columns else seen.get(c, F.lit(None))).cast(clusters.schema[c].dataType).alias(c) for c in clusters.columns]
+    return clusters.unionByName(new.select(*full))

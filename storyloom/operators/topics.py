@@ -16,7 +16,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from storyloom.operators.dedup import top_by
 
 Matcher = Callable[[Column], Column]
 _PHRASE = re.compile(r'"([^"]+)"')
@@ -189,9 +190,54 @@ def match_topics(items: DataFrame, topics: list[Topic], semantics: str = "plain"
     on = [t for t in topics if t.enabled]
     each = F.array(*[F.struct(F.lit(t.key).alias("topic_key"), F.when(allowed_domain(t) & language(t), match_score(t, match_text(), semantics)).otherwise(0.0).alias("score"), F.lit(t.min_score).cast("double").alias("_least"), F.lit(t.max_posts_per_run).alias("_cap")) for t in on])
     found = items.select("item_id", F.explode(F.filter(each, lambda m: (m["score"] >= m["_least"]) & (m["score"] > 0))).alias("m")).select("item_id", "m.*")
-    rank = F.row_number().over(Window.partitionBy("topic_key").orderBy(F.desc("score"), "item_id"))
-    ranked = found.withColumn("rank", rank)
-    return (ranked.filter(F.col("rank") <= F.col("_cap")) if cap else ranked).select("item_id", "topic_key", "score", "rank")
+    if not cap:
+        return found.select("item_id", "topic_key", "score")
+    # the highest cap is a literal, so that tasks cut their rows down before a topic's rows meet
+    most = max((t.max_posts_per_run for t in on), default=0)
+    return top_by(found, ["topic_key"], [F.desc("score"), F.col("item_id")], most, "rank").filter(F.col("rank") <= F.col("_cap")).select("item_id", "topic_key", "score", "rank")
+
+
+def run_topics(items: DataFrame, topics: list[Topic], last_runs: DataFrame, now: Column, semantics: str = "plain") -> DataFrame:
+    """``topic_key, enabled, due, items_matched, clusters_updated, least, mean, most, processed, skip_reason`` of every topic.
+
+    A topic that isn't due (or is off) is skipped, and so is one without items. ``clusters_updated`` is the sorted list of
+    the clusters of its items; ``least``, ``mean`` and ``most`` are those of its scores. All topics are matched in one pass.
+    """
+    told = items.sparkSession.createDataFrame([(t.key, t.enabled, t.cadence_minutes) for t in topics], "topic_key string, enabled boolean, cadence_minutes int")
+    gated = told.join(last_runs.select("topic_key", "last_run"), "topic_key", "left").withColumn("due", due(F.col("last_run"), now))
+    capped = match_topics(items, topics, semantics)
+    hits = capped.join(items.select("item_id", "cluster_id"), "item_id")
+    sums = hits.groupBy("topic_key").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("cluster_id")).alias("c"), F.min("score").alias("least"), F.avg("score").alias("mean"), F.max("score").alias("most"))  # capped rows
+    joined = gated.join(sums, "topic_key", "left")
+    ran = F.col("due") & (F.coalesce("n", F.lit(0)) > 0)
+    none = F.array().cast("array<bigint>")
+    return joined.select(
+        "topic_key",
+        "enabled",
+        "due",
+        F.when(F.col("due"), F.coalesce("n", F.lit(0))).otherwise(0).alias("items_matched"),
+        F.when(ran, F.col("c").cast("array<bigint>")).otherwise(none).alias("clusters_updated"),
+        *[F.when(ran, F.col(c)).alias(c) for c in ("least", "mean", "most")],
+        ran.alias("processed"),
+        F.when(~F.col("due"), "cadence_not_met").when(~ran, "no_matching_items").alias("skip_reason"),
+    )
+
+
+def run_summary(runs: DataFrame) -> DataFrame:
+    """One row over the topics of a run: how many, processed, items, distinct clusters."""
+    clusters = F.size(F.array_distinct(F.flatten(F.collect_list("clusters_updated"))))  # a row per topic
+    return runs.agg(F.count("*").alias("total_topics"), F.count_if("processed").alias("topics_processed"), F.sum("items_matched").alias("total_items_matched"), clusters.alias("total_clusters_updated"))
+
+
+def clusters_by_topic(hits: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """``topic_key, id, leader, similarity``: leader clusters of each topic's items alone.
+
+    ``hits`` is (topic_key, item_id, rank), capped, so a topic's vectors are some dozens and are scanned in one task.
+    """
+    from storyloom.operators.cluster import scan_group
+
+    rows = hits.join(vectors.select(F.col("id").alias("item_id"), "v"), "item_id").select("topic_key", F.col("item_id").alias("id"), "rank", "v")
+    return rows.groupBy("topic_key").applyInPandas(lambda key, pdf: scan_group(pdf, threshold).assign(topic_key=key[0])[["topic_key", "id", "leader", "similarity"]], "topic_key string, id long, leader long, similarity double")
 
 
 def keyword_relevance(items: DataFrame, keywords: list[str]) -> DataFrame:
@@ -201,6 +247,6 @@ def keyword_relevance(items: DataFrame, keywords: list[str]) -> DataFrame:
     return items.filter(match_text() != "").groupBy("cluster_id").agg(F.avg(F.least(F.lit(1.0), hits / len(keywords))).alias("relevance"))
 
 
-def due(topics: DataFrame, now: Column) -> Column:
-    """Of (enabled, last_run, cadence_minutes): enabled, and never run or not within the cadence."""
-    return F.col("enabled") & F.coalesce(F.timestamp_diff("SECOND", F.col("last_run"), now) >= F.col("cadence_minutes") * 60, F.lit(True))
+def due(last_run: Column, now: Column) -> Column:
+    """Of (enabled, cadence_minutes) and a last run: enabled, and never run or not within the cadence."""
+    return F.col("enabled") & F.coalesce(F.timestamp_diff("SECOND", last_run, now) >= F.col("cadence_minutes") * 60, F.lit(True))

@@ -12,7 +12,7 @@ from storyloom.functions.text import squeeze
 from storyloom.sources.shared import cut
 
 # Words of clickbait, of calls to act, and of section headings.
-CLICKBAIT = ["increíble", "impactante", "no vas a creer", "te sorprenderá", "secreto", "viral", "shocking", "bombazo"]
+CLICKBAIT = ["increíble", "shocking", "no creerás", "secreto", "truco", "jamás imaginarías", "te sorprenderá", "nadie esperaba"]
 CALLS = ["conoce", "descubre", "aprende", "lee", "explora", "consulta"]
 INTRO, ANALYSIS = ["contexto", "antecedentes", "introducción"], ["análisis", "impacto", "consecuencias"]
 
@@ -35,16 +35,19 @@ def support(claims: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
     from those words alone, by equality, and common words never pair all claims with all sources; each candidate is then
     checked on all words.
     """
-    asked = claims.select("claim_id", words(F.col("text")).alias("cw")).withColumn("n", F.size("cw"))
-    each = asked.select("claim_id", "n", F.explode("cw").alias("w"))
-    held = sources.select("source_id", words(F.col("text")).alias("sw"))
-    hits = cut(held.select("source_id", F.explode("sw").alias("w")).join(each.select("w").distinct(), "w", "left_semi"), "hits")
+    hashed = lambda text: F.transform(words(text), lambda w: F.xxhash64(w))
+    asked = claims.select("claim_id", hashed(F.col("text")).alias("cw")).withColumn("n", F.size("cw"))
+    each = cut(asked.select("claim_id", "n", F.explode("cw").alias("w")), "words")
+    held = sources.select("source_id", F.explode(hashed(F.col("text"))).alias("w"))
+    hits = cut(held.join(each.select("w").distinct(), "w", "left_semi"), "hits")
     common = hits.groupBy("w").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.coalesce("df", F.lit(0)), "w"))
-    rare = each.join(common, "w", "left").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * limit) + 1)
-    pairs = hits.join(rare.select("claim_id", "w"), "w").select("claim_id", "source_id").distinct()
+    rare = cut(each.join(common, "w", "left").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * limit) + 1).select("claim_id", "w"), "rare")
+    # both sides are written tables: adaptive skew joins deal out a word that most sources have
+    pairs = cut(hits.join(rare, "w").select("claim_id", "source_id").distinct(), "pairs")
+    own = hits.groupBy("source_id").agg(F.collect_set("w").alias("sw"))  # of a source's words those of the claims
     share = F.size(F.array_intersect("cw", "sw")) / F.col("n")
-    good = pairs.join(asked, "claim_id").join(held, "source_id").withColumn("share", share).filter(F.col("share") >= limit)
+    good = pairs.join(asked, "claim_id").join(own, "source_id").withColumn("share", share).filter(F.col("share") >= limit)
     best = good.groupBy("claim_id").agg(F.max("share").alias("best"), F.count_distinct("source_id").alias("n_sources"))
     return asked.join(best, "claim_id", "left").select("claim_id", F.col("best").isNotNull().alias("supported"), "best", F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
 
@@ -54,11 +57,21 @@ def numbers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(\d+(?:[.,]\d+)*%?)"), F.lit(1)))
 
 
+def checked_numbers(text: Column) -> Column:
+    """Numbers between word boundaries, with decimals after a point: those that are looked up in sources."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)\b\d+(?:\.\d+)?%?\b"), F.lit(0)))
+
+
 def quotes(text: Column) -> Column:
     """Quotations of over 20 characters."""
     return F.filter(F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1)), lambda q: F.length(q) > 20)
 
 
+def dates(text: Column) -> Column:
+    """Dates written like '3 de mayo de 2024'."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)\b\d{1,2}\s+de\s+\w+\s+de\s+\d{4}\b"), F.lit(0))
+
+
 def _findings(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()]))
 

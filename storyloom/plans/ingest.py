@@ -135,41 +135,29 @@ def text_clean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.clean(F.col("text")).alias("text"))
 
 
-@query()
+_GUESS = ", ".join("{'n': len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in text.GUESS[k]) + f"))), 'l': '{k}'}}" for k in sorted(text.GUESS))
+
+
+@query(rf"""WITH d AS (SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n, string_split_regex(lower(regexp_replace(text, '[^\p{{L}}\s]', ' ', 'g')), '\s+') AS w FROM documents),
+    b AS (SELECT doc_id, n, list_max([{_GUESS}]) AS best FROM d) SELECT doc_id, CASE WHEN n >= 20 AND best.n > 0 THEN best.l ELSE 'en' END AS lang FROM b""")
 def detect_language(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return docs.select("doc_id", text.guess_language(F.col("text"), F.lit("en")).alias("lang"))
 
 
+_FLAT_NFC = r"trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))"
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 
 
-@query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE lang = 'en'),
-    l AS (SELECT d.doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) AS p FROM documents d WHERE NOT regexp_matches(text, '[^ -~\\n]')),
-    c AS (SELECT doc_id, w, count(*) AS n, min(p) AS p FROM l WHERE length(w) >= 3 AND w NOT IN ({_STOP}) GROUP BY ALL),
+@query(rf"""WITH l AS (SELECT doc_id, list_filter(regexp_extract_all(lower({_FLAT_NFC}), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-záéíóúñü]+') AND length(w) >= 3 AND w NOT IN ({_STOP})) AS l FROM documents),
+    u AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS p FROM l), c AS (SELECT doc_id, w, count(*) AS n, min(p) AS p FROM u GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS rank FROM c)
     SELECT doc_id, w AS keyword, n, rank FROM r WHERE rank <= 10""")
 def keywords_topn(spark: SparkSession, d: str) -> DataFrame:
-    """The ten most frequent words of every text of ASCII alone, the first to come first among equals."""
-    from pyspark.sql.window import Window
-
-    docs = table(spark, d, "documents").filter(~F.col("text").rlike(r"[^ -~\n]"))
-    plain = F.regexp_replace("text", "[0-9_]", "|")  # so that a digit parts words
-    found = docs.select("doc_id", F.posexplode(text.keyword_tokens(plain)).alias("p", "keyword"))
-    counts = found.groupBy("doc_id", "keyword").agg(F.count("*").alias("n"), F.min("p").alias("p"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "p"))
-    return counts.withColumn("rank", rank).filter("rank <= 10").select("doc_id", "keyword", "n", "rank")
-
-
-@query()
-def keywords_all(spark: SparkSession, d: str) -> DataFrame:
-    """The ten most frequent words of every text, in any script and whole, the first to come first among equals."""
-    from pyspark.sql.window import Window
-
+    """The ten most frequent words of every text, whole, the first to come first among equals."""
     found = table(spark, d, "documents").select("doc_id", F.posexplode(text.keyword_tokens(text.clean(F.col("text")))).alias("p", "keyword"))
     counts = found.groupBy("doc_id", "keyword").agg(F.count("*").alias("n"), F.min("p").alias("p"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "p"))
-    return counts.withColumn("rank", rank).filter("rank <= 10").select("doc_id", "keyword", "n", "rank")
+    return dedup.top_by(counts, ["doc_id"], [F.desc("n"), F.col("p")], 10, "rank").select("doc_id", "keyword", "n", "rank")
 
 
 _TITLE = "string_split(text, chr(10))[1]"
@@ -234,11 +222,11 @@ def hour_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH h AS (SELECT doc_id, sha1(text) AS s FROM documents), b AS (SELECT doc_id, list_transform(range(20), lambda i: ('0x' || substr(s, 2 * i + 1, 2))::INT / 255.0) AS v FROM h),
     n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x)) * 19 + list_sum(list_transform(v[1:4], lambda x: x * x))) AS norm FROM b)
-    SELECT doc_id, 384 AS size, round(v[1] / norm, 9) AS first, round(v[4] / norm, 9) AS last, round(v[20] / norm, 9) AS at_20 FROM n""")
+    SELECT doc_id, 384 AS size, round(v[1] / norm, 9) AS first, round(v[4] / norm, 9) AS last, round(v[20] / norm, 9) AS at_20, round(list_sum(list_transform(range(384), lambda i: v[i % 20 + 1] / norm * (i + 1))), 6) AS weighted FROM n""")
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "documents").select("doc_id", hashing.hash_embedding(F.col("text")).alias("v"))
     at = lambda i: F.round(F.get("v", F.lit(i)), 9)
-    return e.select("doc_id", F.size("v").alias("size"), at(0).alias("first"), at(383).alias("last"), at(19).alias("at_20"))
+    return e.select("doc_id", F.size("v").alias("size"), at(0).alias("first"), at(383).alias("last"), at(19).alias("at_20"), F.round(F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("weighted"))
 
 
 @query(f"WITH {ITEMS} SELECT item_id, lang, epoch_us(fetched_at) AS fetched_us FROM items WHERE fetched_at >= {NOW} - INTERVAL 720 HOUR")
@@ -260,19 +248,6 @@ def source_stats(spark: SparkSession, d: str) -> DataFrame:
     return stats.select("source_id", "total", "recent", dates.micros(F.col("_l")).alias("last_us"))
 
 
-@query(f"""WITH {ITEMS} SELECT i.item_id, o.outcome, count(*) OVER (PARTITION BY o.outcome) AS of_outcome FROM items i JOIN (SELECT item_id, CASE WHEN title = '' THEN 'error' WHEN url IS NULL THEN 'filtered' ELSE 'inserted' END AS outcome FROM items) o USING (item_id)""")
-def ingest_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """Each item's outcome, with the counter of its outcome, which is joined as a row per outcome."""
-    marked = items(spark, d).select("item_id", F.when(F.col("title") == "", "error").when(F.col("url").isNull(), "filtered").otherwise("inserted").alias("outcome"))
-    counters = marked.groupBy("outcome").agg(F.count("*").alias("of_outcome"))  # three rows at most
-    return marked.join(F.broadcast(counters), "outcome").select("item_id", "outcome", "of_outcome")
-
-
-@query(f"""WITH {ITEMS} SELECT CASE WHEN title = '' THEN 'error' WHEN url IS NULL THEN 'filtered' ELSE 'inserted' END AS outcome, count(*) AS n FROM items GROUP BY 1""")
-def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
-    return items(spark, d).groupBy(F.when(F.col("title") == "", "error").when(F.col("url").isNull(), "filtered").otherwise("inserted").alias("outcome")).agg(F.count("*").alias("n"))
-
-
 @query(f"""WITH {_NORMAL}, {ITEMS} SELECT i.item_id, (coalesce(i.title, '') <> '' AND coalesce(i.url, '') <> '' AND i.published_at IS NOT NULL AND regexp_matches(i.url, '^https?://')) IS TRUE AS valid,
     (regexp_matches(coalesce(i.url, ''), '^https?://') AND coalesce(i.domain, '') <> '' AND NOT contains(i.domain, 'localhost')) AS safe FROM items i""")
 def entry_validation(spark: SparkSession, d: str) -> DataFrame:

@@ -130,7 +130,7 @@ def scoring_summary(spark: SparkSession, d: str) -> DataFrame:
     return metrics(spark, d).agg(F.count("*").alias("clusters"), F.round(F.avg("composite"), 6).alias("mean"), F.round(F.max("composite"), 6).alias("best"), F.sum("item_count").alias("items"))
 
 
-@query(f"""WITH {ITEMS}, members AS (SELECT doc_id % 50 AS cluster_id, doc_id AS raw_item_id FROM documents WHERE doc_id % 4 <> 1)
+@query(f"""WITH {ITEMS}, members AS (SELECT doc_id % 50 AS cluster_id, doc_id AS raw_item_id FROM documents )
     SELECT m.cluster_id, i.item_id, epoch_us(i.published_at) AS published_us FROM members m JOIN items i ON i.item_id = m.raw_item_id""")
 def cluster_items_join(spark: SparkSession, d: str) -> DataFrame:
     """Items by membership."""
@@ -139,10 +139,11 @@ def cluster_items_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def members(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter("doc_id % 4 <> 1").select((F.col("doc_id") % 50).alias("cluster_id"), F.col("doc_id").alias("raw_item_id"))
+    """Every item in one cluster."""
+    return table(spark, d, "documents").select((F.col("doc_id") % 50).alias("cluster_id"), F.col("doc_id").alias("raw_item_id"))
 
 
-@query(f"""WITH {ITEMS}, members AS (SELECT doc_id % 50 AS cluster_id, doc_id AS raw_item_id FROM documents WHERE doc_id % 4 <> 1)
+@query(f"""WITH {ITEMS}, members AS (SELECT doc_id % 50 AS cluster_id, doc_id AS raw_item_id FROM documents)
     SELECT m.cluster_id, count(*) AS item_count, count(DISTINCT i.source_id) AS unique_sources, count(DISTINCT i.domain) AS domains, epoch_us(min(i.fetched_at)) AS first_us, epoch_us(max(i.fetched_at)) AS last_us
     FROM members m JOIN items i ON i.item_id = m.raw_item_id GROUP BY 1""")
 def cluster_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -177,8 +178,6 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
     p AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.3),
-    ids AS (SELECT list(vec_id ORDER BY vec_id) AS l FROM e),
-    g AS (SELECT list_reduce(l, lambda acc, x: acc, []::BIGINT[]) AS a FROM ids),
     n AS (SELECT v AS id, list(u) AS near FROM p GROUP BY 1),
     o AS (SELECT list([{'id': e.vec_id, 'near': coalesce(n.near, []::BIGINT[])}] ORDER BY e.vec_id) AS l FROM e LEFT JOIN n ON n.id = e.vec_id),
     k AS (SELECT list_transform(list_reduce(l, lambda a, b: CASE WHEN len(list_filter(a, lambda x: list_contains(b[1].near, x.id))) = 0 THEN list_concat(a, b) ELSE a END), lambda x: x.id) AS leaders FROM o),
@@ -188,5 +187,5 @@ def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Leaders in the order of their numbers, at a cosine of 0.3."""
     from storyloom.operators.cluster import leader_clusters as run
 
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("vec_id").alias("rank"))
     return run(v, 0.3).select("id", "leader", F.round("similarity", 6).alias("similarity"))

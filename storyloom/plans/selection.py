@@ -88,7 +88,7 @@ TOPIC_HITS = f"""x0 AS (SELECT item_id, cluster_id, lang, domain, url, {TEXT} AS
     hits AS (SELECT item_id, cluster_id, topic_key, score, cap, row_number() OVER (PARTITION BY topic_key ORDER BY score DESC, item_id) AS rank FROM m WHERE score >= least AND score > 0)"""
 
 
-@query(f"WITH {ITEMS}, {TOPIC_HITS} SELECT item_id, topic_key, score::DOUBLE AS score, rank FROM hits")
+@query(f"WITH {ITEMS}, {TOPIC_HITS} SELECT item_id, topic_key, score::DOUBLE AS score FROM hits")
 def topic_match(spark: SparkSession, d: str) -> DataFrame:
     """All items that the enabled topics take, in one pass."""
     return topics.match_topics(items(spark, d), TOPICS, cap=False)
@@ -117,13 +117,13 @@ def keyword_relevance(spark: SparkSession, d: str) -> DataFrame:
     return found.select("cluster_id", F.round("relevance", 6).alias("relevance"))
 
 
-@query(f"""WITH t(topic_key, enabled, minutes, cadence) AS (VALUES ('a', true, 30, 60), ('b', true, 60, 60), ('c', false, 600, 60), ('d', true, NULL, 60), ('e', true, 90, 120))
-    SELECT topic_key, enabled AND coalesce(minutes >= cadence, true) AS due FROM t""")
+@query(f"""WITH t AS (SELECT user_id || '.' || event_type AS topic_key, user_id % 2 = 0 AS enabled, 60 * (1 + user_id % 48) AS cadence, max(ts) AS last FROM events GROUP BY ALL)
+    SELECT topic_key, enabled AND date_diff('second', last, {NOW}) >= cadence * 60 AS due FROM t""")
 def cadence_gate(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("a", True, 30, 60), ("b", True, 60, 60), ("c", False, 600, 60), ("d", True, None, 60), ("e", True, 90, 120)]
-    t = spark.createDataFrame(rows, "topic_key string, enabled boolean, minutes int, cadence_minutes int")
-    last = t.withColumn("last_run", now() - F.make_dt_interval(mins=F.col("minutes")))
-    return last.select("topic_key", topics.due(last, now()).alias("due"))
+    """Every event type of every user as a topic: its last event is its last run; users of even number are enabled."""
+    e = table(spark, d, "events").withColumn("topic_key", F.concat_ws(".", "user_id", "event_type"))
+    last = e.groupBy("topic_key", (F.col("user_id") % 2 == 0).alias("enabled"), (60 * (1 + F.col("user_id") % 48)).alias("cadence_minutes")).agg(F.max("ts").cast("timestamp_ntz").alias("last_run"))
+    return last.select("topic_key", topics.due(F.col("last_run"), now()).alias("due"))
 
 
 # ---- selection
@@ -195,12 +195,13 @@ def best_title(spark: SparkSession, d: str) -> DataFrame:
     return select.representatives(items(spark, d))
 
 
-@query(f"""{FIVE}, picks AS (SELECT composite FROM metrics ORDER BY composite DESC, cluster_id LIMIT 20), m AS (SELECT count(*) AS n, avg(composite) AS a FROM picks), c AS (SELECT count(*) FILTER (WHERE url IS NOT NULL) / count(*)::DOUBLE AS r FROM items)
+@query(f"""{FIVE}, picks AS (SELECT composite FROM metrics ORDER BY composite DESC, cluster_id LIMIT 20), m AS (SELECT count(*) AS n, avg(composite) AS a FROM picks), c AS (SELECT count(DISTINCT item_id) FILTER (WHERE item_id IN (SELECT vec_id FROM embeddings)) / count(*)::DOUBLE AS r FROM items)
     SELECT n >= 10 AS enough_picks, a >= 0.2 AS good_scores, r >= 0.3 AS clustered, ((n >= 10)::INT + (a >= 0.2)::INT + (r >= 0.3)::INT) / 3.0::DOUBLE AS score FROM m, c""")
 def pipeline_qc(spark: SparkSession, d: str) -> DataFrame:
     """Whether a run gave half of its picks, of a fair score, from enough of the items."""
     picks = select.global_picks(metrics(spark, d), 20).agg(F.count("*").alias("n"), F.avg("adjusted").alias("a"))
-    rate = items(spark, d).agg(F.count_if(F.col("url").isNotNull()) / F.count("*")).scalar()
+    clustered = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id")).distinct().withColumn("hit", F.lit(True))  # items with a vector are clustered
+    rate = items(spark, d).join(clustered, "item_id", "left").agg(F.count("hit") / F.count("*")).scalar()
     checks = [F.col("n") >= 10, F.coalesce(F.col("a") >= 0.2, F.lit(False)), F.coalesce(rate >= 0.3, F.lit(False))]
     passed = sum((c.cast("int") for c in checks), F.lit(0))
     return picks.select(checks[0].alias("enough_picks"), checks[1].alias("good_scores"), checks[2].alias("clustered"), (passed / 3.0).cast("double").alias("score"))
@@ -318,11 +319,6 @@ def _stamp(c: str):  # noqa: ANN202
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
 
-def _closed(df: DataFrame, last: DataFrame) -> DataFrame:
-    """Windows that the watermark has passed: those that an append stream gives out."""
-    return df.filter(F.col("end") <= last.agg(F.max("ts") - F.expr("interval 10 minutes")).scalar())
-
-
 _LAST = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyloom.sources.shared import shared_dir
+
 
 def windowed(events: DataFrame, window: Column, late: str = "10 minutes") -> DataFrame:
     """Counts and sums per window and kind; a stream drops what comes later than ``late``."""
@@ -40,11 +41,7 @@ def drain(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
     The checkpoint lies beside it, so that a restarted query goes on where it stopped.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="storyloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/storyloom/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/storyloom/stream-{uuid.uuid4().hex}"
     running = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
