@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
+
+Nulls and empty texts go with the first stage, as they have no letter. Repeated rows and rows without doc_id are rows like any
+other until the near-duplicate stage, which keeps one row of each group. Very long texts are worked on whole, and columns
+beside those of ``documents`` are carried along up to the packing, whatever their names. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from pyspark.sql import functions as F
 
 from storyloom.llm import language_id, line_dedup, near_copies, packing, quality
 from storyloom.llm.queries import SITES
-from storyloom.llm.store import cut, small_batches
+from storyloom.llm.store import cut, drop, small_batches
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +37,11 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles, similarity 0.8) stays: that of the smallest doc_id."""
+    """One document of each component of near copies (five-word shingles, similarity 0.8) stays: that of the smallest doc_id.
+
+    The candidates are SimHash links by anchors (operator 10) and, as 0.8 lies beyond their reach, wider keys; see
+    :mod:`storyloom.llm.near_copies`.
+    """
     small_batches(spark)
     return near_copies.keep_first(docs)
 
@@ -59,5 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = cut(stage(spark, docs, sf_dir), f"stage{k}")
+        done = cut(stage(spark, docs, sf_dir), f"stage{k}")
+        drop(docs)  # the table of the stage before, which nothing reads any more
+        docs = done
     return docs
