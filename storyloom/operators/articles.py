@@ -48,10 +48,15 @@ def section_text() -> Column:
 # ---- claims
 
 
-def supported(claim: Column, sources: Column, limit: float) -> Column:
+def with_source_words(articles: DataFrame) -> DataFrame:
+    """The articles with ``source_words``: each source's distinct words, found once for all claims."""
+    return articles.withColumn("source_words", F.transform("sources", lambda s: words(s["text"])))
+
+
+def supported(claim: Column, source_words: Column, limit: float) -> Column:
     """Whether a source has at least this share of a claim's words. A claim without words is supported by none."""
-    share = lambda mine, s: F.size(F.array_intersect(mine, words(s["text"]))) / F.size(mine)
-    return _let(words(claim), lambda mine: (F.size(mine) > 0) & F.exists(sources, lambda s: share(mine, s) >= limit))
+    share = lambda mine, w: F.size(F.array_intersect(mine, w)) / F.size(mine)
+    return _let(words(claim), lambda mine: (F.size(mine) > 0) & F.exists(source_words, lambda w: share(mine, w) >= limit))
 
 
 def missing_in_sources(found: Column, sources: Column, name: str, any_case: bool = False) -> Column:
@@ -62,14 +67,17 @@ def missing_in_sources(found: Column, sources: Column, name: str, any_case: bool
 
 
 def claim_findings() -> tuple[Column, Column]:
-    """Errors and warnings: parts without support, quotations, numbers and dates that no source has, clickbait."""
-    sources = F.col("sources")
+    """Errors and warnings: parts without support, quotations, numbers and dates that no source has, clickbait.
+
+    Of articles with their sources' words.
+    """
+    sources, held = F.col("sources"), F.col("source_words")
     whole = F.concat_ws(" ", "title", "lead", section_text(), F.array_join(F.transform("faqs", lambda q: F.concat_ws(" ", q["question"], q["answer"])), " "))
     errors = F.concat(
-        _findings({"title_unsupported": ~supported(F.col("title"), sources, 0.3), "lead_unsupported": ~supported(F.col("lead"), sources, 0.4)}),
-        _numbered(F.col("key_points"), lambda p: ~supported(p, sources, 0.3), "point"),
-        _numbered(F.col("sections"), lambda s: ~supported(strip_tags(s["content"]), sources, 0.4), "section"),
-        _numbered(F.col("faqs"), lambda q: ~supported(q["answer"], sources, 0.4), "faq"),
+        _findings({"title_unsupported": ~supported(F.col("title"), held, 0.3), "lead_unsupported": ~supported(F.col("lead"), held, 0.4)}),
+        _numbered(F.col("key_points"), lambda p: ~supported(p, held, 0.3), "point"),
+        _numbered(F.col("sections"), lambda s: ~supported(strip_tags(s["content"]), held, 0.4), "section"),
+        _numbered(F.col("faqs"), lambda q: ~supported(q["answer"], held, 0.4), "faq"),
         missing_in_sources(quotes(whole), sources, "quote", any_case=True),
     )
     bait = _findings({f"clickbait:{w}": F.contains(F.lower("title"), F.lit(w)) for w in CLICKBAIT})

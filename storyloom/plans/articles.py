@@ -118,7 +118,7 @@ CLAIMS = f"claims AS (SELECT doc_id, {_CLAIM_ERRORS} AS errors, {_CLAIM_WARNINGS
 @query(f"WITH {ART}, {CLAIMS} SELECT doc_id, {_SORTED} FROM claims")
 def article_claims(spark: SparkSession, d: str) -> DataFrame:
     """Parts without support, and quotations, numbers and dates that no source has."""
-    return _told(article_rows(spark, d), articles.claim_findings())
+    return _told(articles.with_source_words(article_rows(spark, d)), articles.claim_findings())
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -217,7 +217,7 @@ _SUGGEST = _concat(*[x for n in ("claims", "seo", "quality") for x in (f"list_tr
     SELECT *, round(0.4 * claims_score + 0.35 * seo_score + 0.25 * quality_score, 6)::DOUBLE AS overall FROM v""")
 def article_validation(spark: SparkSession, d: str) -> DataFrame:
     """The three validators at once: scores, their weighted sum, and suggestions."""
-    rows = articles.with_keywords(article_rows(spark, d), "doc_id")
+    rows = articles.with_keywords(articles.with_source_words(article_rows(spark, d)), "doc_id")
     claims, seo, quality = articles.claim_findings(), articles.seo_findings(), articles.quality_findings()
     names = ("claims", "seo", "quality")
     held = rows.select("doc_id", *[c.alias(f"{n}_{k}") for n, f in zip(names, (claims, seo, quality), strict=True) for k, c in zip(("errors", "warnings"), f, strict=True)])

@@ -35,7 +35,7 @@ def article(**changes):
 @pytest.fixture(scope="module")
 def findings(spark):
     def run(column, **changes):
-        rows = A.with_keywords(spark.createDataFrame([article(**changes)], SCHEMA), "id")
+        rows = A.with_keywords(A.with_source_words(spark.createDataFrame([article(**changes)], SCHEMA)), "id")
         return rows.select(column().alias("c") if not isinstance(column(), tuple) else F.concat(*column()).alias("c")).first().c
 
     return run
