@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, drop
+from .store import cut, drop, heavy_join
 
 #: (first bit, Hamming-coded bits, plain bits) of each block.
 BLOCKS = ((0, 15, 7), (22, 15, 6), (43, 15, 6))
@@ -44,7 +44,11 @@ def fingerprint_of(text: bytes | None, width: int = 4) -> int:
     else:
         shingles = [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles))
+    return fingerprint_of_hashes(np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles)))
+
+
+def fingerprint_of_hashes(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes set; zero for none."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -199,25 +203,28 @@ def links(distinct: DataFrame, distance: int = 4, hot: int = 8192) -> DataFrame:
     return spread.mapInArrow(lambda batches: _links(batches, distance), "a long, b long")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """``node, root`` of every node of the links ``a, b``: the root is the component's smallest node."""
+def components(edges: DataFrame) -> DataFrame:
+    """``node, root`` of every node of the links ``a, b``: the root is the component's smallest node.
+
+    Alternating stars settle within a logarithmic number of rounds. What a node's neighbours are told is a written table,
+    so that an adaptive skew join can deal out a node of very many links.
+    """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(most):
+    while True:
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
         if mark == seen or mark[0] == 0:
             break
         seen = mark
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(small, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
         new = cut(star, "edges")
         drop(now)
+        drop(low)
         now = new
-    else:
-        raise RuntimeError("the components have not settled")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -229,21 +236,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, hot: int
     Columns other than the two named ones are not read.
     """
     fps = cut(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes, distance, hot))
-    named = roots.join(nodes, roots["node"] == nodes["fp"]).select("node", "root", "first")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = cut(named.join(least, "root").select(F.col("node").alias("fp"), "component_id"), "components")
-    own = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(own, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """The documents of which doc_id is the smallest of its component, with all their columns.
-
-    Rows that share a doc_id count as one document. Rows without doc_id go: they can't be told from their copies.
-    """
-    rows = near_duplicates(docs, width, distance).filter("doc_id is not null")
-    copies = cut(rows.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).filter("not first").select("doc_id"), "copies")
-    side = F.broadcast(copies) if copies.count() <= SMALL else copies  # the copies are fewer than the documents that stay
-    return docs.filter("doc_id is not null").join(side, "doc_id", "left_anti").select(docs.columns)
+    named = cut(roots.join(nodes, roots["node"] == nodes["fp"]).select("node", "root", "first"), "named")
+    least = cut(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "least")
+    linked = heavy_join(named, least, "root").select(F.col("node").alias("fp"), "component_id")
+    own = cut(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "components")
+    for t in (nodes, named, least):
+        drop(t)
+    return heavy_join(fps, own, "fp").select("doc_id", "fp", "component_id")

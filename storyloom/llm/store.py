@@ -1,45 +1,35 @@
-"""Tables that cut a plan's lineage, in the folder that the whole cluster shares."""
+"""Tables that cut a plan's lineage, joins on heavy keys, and the size of Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows a Python worker gets at once: a batch of whole texts then stays at some MB.
-ARROW_ROWS = 1000
+from storyloom.sources.shared import cut, drop, shared_dir
 
+__all__ = ["cut", "drop", "heavy_join", "shared_dir", "small_batches"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (a single machine), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="storyloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Rows a Python worker gets at once: a batch of whole texts then stays at some MB.
+ARROW_ROWS = 1000
+#: Keys that :func:`heavy_join` broadcasts at most, and rows that a key may have without being heavy.
+HEAVY, LIGHT = 10_000, 1000
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and return a frame that reads it.
+def heavy_join(rows: DataFrame, side: DataFrame, *key: str) -> DataFrame:
+    """``rows`` joined with ``side``, a written table with one row per key and the number ``n`` of its rows (left out).
 
-    Whatever comes later reads files that every executor can see, so a lost executor costs no recomputation.
+    A key of more than LIGHT rows and a share of 1 in HEAVY is heavy. There are HEAVY of those at most, so their rows of
+    ``side`` are broadcast and their ``rows`` stay where they are; the others meet by a shuffle. No key fills a task.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/storyloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._storyloom_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table made by :func:`cut` once nothing reads it any more."""
-    path = getattr(df, "_storyloom_path", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    keys = list(key)
+    total = side.agg(F.sum("n")).first()[0] or 0
+    most = max(LIGHT, total // HEAVY)
+    light = side.filter(F.col("n") <= most).drop("n")
+    heavy = side.filter(F.col("n") > most).drop("n")
+    if heavy.limit(1).count() == 0:
+        return rows.join(light, keys)
+    met = rows.join(F.broadcast(heavy), keys)
+    return rows.join(F.broadcast(heavy.select(keys)), keys, "left_anti").join(light, keys).select(met.columns).unionByName(met)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -82,8 +82,6 @@ def test_nulls_ties_long_texts_extra_columns(spark):
     assert len(got) == len(rows)
     by = {r.doc_id: r.component_id for r in got}
     assert by[3] == by[2] == 2 and by[5] == by[4] == 4 and by[9] == 9 and by[None] is None
-    kept = S.keep_first(df)
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 4, 9] and kept.columns == df.columns
 
 
 def df_lit():
@@ -94,4 +92,14 @@ def df_lit():
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], T.StructType().add("doc_id", "long").add("text", "string"))
-    assert S.near_duplicates(df).count() == 0 and S.keep_first(df).count() == 0
+    assert S.near_duplicates(df).count() == 0
+
+
+def test_a_heavy_fingerprint_is_split(spark):
+    """A third of the rows are copies of one text: their join broadcasts its row, and no exchange carries them."""
+    rows = [(i, "one text for all of these" if i % 3 == 0 else f"own words {i} of this text {i * 7}") for i in range(4500)]
+    found = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), distance=0)
+    plan = found._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "Union" in plan
+    got = {r.doc_id: r.component_id for r in found.collect()}
+    assert len(got) == len(rows) and all(got[i] == (0 if i % 3 == 0 else i) for i in got)
