@@ -4,7 +4,11 @@ A pattern cuts each text into pieces. The distinct pieces of a stretch of docume
 higher-order functions fold the ranked merges over them: a step finds the pair of least rank, joins it, and looks up the
 two pairs that are new. Ranks come from a literal: a table of all pairs of tokens whose bytes together are a
 token, addressed by a perfect hash, so that a lookup is two array accesses. (One large Spark map would be scanned
-from its start at every lookup.) Decoding maps ids to byte strings by a literal array and joins them.
+from its start at every lookup.) Decoding maps ids to binary pieces by a literal array and joins their bytes.
+
+Words that many documents share would be folded again by every task. So the words that a bounded sample of documents
+shows twice or more, ``COMMON`` at most, are folded first and go to all tasks with their ids. The sample decides only
+where a word is folded, never its ids: every other word is folded where it is found, and nothing is shuffled.
 
 A piece of over ``LONG`` bytes would make the fold quadratic; a heap of pairs, with the same ranks, merges it instead.
 """
@@ -23,9 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces
+from .store import cut, drop
 
 #: No rank: no such pair.
 NONE = 1 << 30
+#: Documents (about) whose words are looked at for common ones, and words that are folded beforehand at most.
+SAMPLE, COMMON = 40_000, 300_000
+#: Distinct words that a stretch holds.
+MOST = 250_000
 #: Bytes of a piece that is folded.
 LONG = 256
 
@@ -85,8 +94,8 @@ def _token_literal(path: str) -> str:
     found = ranks(path)
     tokens = [""] * (max(found.values()) + 1)
     for token, rank in found.items():
-        tokens[rank] = token.decode("latin-1")
-    return json.dumps(tokens, ensure_ascii=False, separators=(",", ":"))
+        tokens[rank] = base64.b64encode(token).decode()
+    return json.dumps(tokens, separators=(",", ":"))
 
 
 def _let(value: Column, body) -> Column:  # noqa: ANN001
@@ -95,37 +104,37 @@ def _let(value: Column, body) -> Column:  # noqa: ANN001
 
 
 def fold(starts: Column, path: str) -> Column:
-    """Merge each array of tokens (at first those of a word's bytes) by rank: array<array<int>> to the same."""
+    """Merge each array of tokens (at first those of a word's bytes) by rank: array<array<int>> to the same.
+
+    An array of one token, or whose first one is negative, stays as it is.
+    """
     prime = pair_table(path)[2]
     literal = F.from_json(F.lit(_pair_literal(path)), "s array<int>, c array<bigint>")
-
     none, last = F.lit(NONE << 16), F.lit(65535)
 
     def one(start: Column, table: Column) -> Column:
         # A state holds a cell for each token, rank << 16 | token, where the rank is that of the token with the next one,
-        # between two ends that have no rank; and the place of the pair to join (0: none is left).
+        # between two ends that have no rank. A rank is also the token that the pair makes.
         def cell(a: Column, b: Column) -> Column:
             key = a * F.lit(JOIN).cast("long") + b
             found = F.get(table["c"], ((key % prime + F.get(table["s"], (key % BUCKETS).cast("int"))) % CELLS).cast("int"))
             return F.when(F.shiftright(found, 16) == key, F.shiftleft(found.bitwiseAND(last), 16)).otherwise(none) + a
 
-        def step(state: Column, odd: Column) -> Column:
-            cells, at = state["cells"], state["at"]
-            new = F.shiftright(F.get(cells, at - 1), 16)
-            joined = F.concat(
-                F.slice(cells, F.lit(1), at - 2),
-                F.array(cell(F.get(cells, at - 2).bitwiseAND(last), new), cell(new, F.get(cells, at + 1).bitwiseAND(last))),
-                F.slice(cells, at + 2, F.size(cells)),
-            )
-            least = F.when(F.array_min(cells) < none, F.array_position(cells, F.array_min(cells)).cast("int")).otherwise(F.lit(0))
-            return F.when(at == 0, state).when(odd == 1, F.struct(cells.alias("cells"), least.alias("at"))).otherwise(F.struct(joined.alias("cells"), at.alias("at")))
+        def joined(cells: Column, least: Column) -> Column:
+            new = F.shiftright(least, 16)
+
+            def at_place(at: Column) -> Column:
+                around = F.array(cell(F.get(cells, at - 2).bitwiseAND(last), new), cell(new, F.get(cells, at + 1).bitwiseAND(last)))
+                return F.concat(F.slice(cells, F.lit(1), at - 2), around, F.slice(cells, at + 2, F.size(cells)))
+
+            return F.when(least < none, _let(F.array_position(cells, least).cast("int"), at_place)).otherwise(cells)
 
         ends = F.array(none + last)
         tokens = F.transform(start, lambda t, i: cell(t, F.coalesce(F.get(start, i + 1), F.lit(65535))))
-        first = F.struct(F.concat(ends, tokens, ends).alias("cells"), F.lit(-1).alias("at"))
-        steps = F.flatten(F.array_repeat(F.array(F.lit(1), F.lit(0)), F.size(start) - 1))
-        end = F.filter(F.aggregate(steps, first, step)["cells"], lambda c: c.bitwiseAND(last) < last)
-        return F.when((F.size(start) < 2) | (F.size(start) > LONG), start).otherwise(F.transform(end, lambda c: c.bitwiseAND(last).cast("int")))
+        merges = F.sequence(F.lit(2), F.size(start))
+        end = F.aggregate(merges, F.concat(ends, tokens, ends), lambda cells, _: _let(F.array_min(cells), lambda least: joined(cells, least)))
+        kept = F.transform(F.filter(end, lambda c: c.bitwiseAND(last) < last), lambda c: c.bitwiseAND(last).cast("int"))
+        return F.when((F.size(start) < 2) | (F.get(start, F.lit(0)) < 0), start).otherwise(kept)
 
     return _let(literal, lambda table: F.transform(starts, lambda w: one(w, table)))
 
@@ -156,29 +165,108 @@ def merge_long(word: bytes, found: dict[bytes, int]) -> list[int]:
     return out
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = pieces.MOST) -> DataFrame:
+class Starts:
+    """The arrays that the fold gets for words: their byte tokens; or their ids, the first as -1 - id, where they are known."""
+
+    def __init__(self, found: dict[bytes, int], words: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
+        self.found, self.words, self.ends = found, words, ends
+        self.ids = ids.copy()
+        first = ends[:-1][np.diff(ends) > 0]
+        self.ids[first] = -1 - self.ids[first]
+        whole = sorted((t.decode(), r) for t, r in found.items() if _is_text(t))
+        self.tokens, self.ranks = pa.array([t for t, _ in whole], pa.string()), np.array([r for _, r in whole], np.int32)
+        self.bytes_ids = np.array([found[bytes([i])] for i in range(256)], np.int32)
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The arrays of all words, one after another; and how long each is."""
+        data, ends = pieces.raw(words)
+        token, common = pieces.found_in(words, self.tokens), pieces.found_in(words, self.words)
+        size = np.diff(ends)
+        long = [(i, merge_long(data[ends[i] : ends[i + 1]].tobytes(), self.found)) for i in np.flatnonzero((size > LONG) & (token < 0) & (common < 0))]
+        merged = [np.array([-1 - ids[0], *ids[1:]], np.int32) for _, ids in long]
+        pool = np.concatenate([self.bytes_ids[data], self.ranks, self.ids, *merged])
+        starts, n = ends[:-1].copy(), size.copy()
+        one, many = token >= 0, (token < 0) & (common >= 0)
+        starts[one], n[one] = len(data) + token[one], 1
+        starts[many] = len(data) + len(self.ranks) + self.ends[common[many]]
+        n[many] = (self.ends[1:] - self.ends[:-1])[common[many]]
+        at = len(data) + len(self.ranks) + len(self.ids)
+        for (i, _), ids in zip(long, merged, strict=True):
+            starts[i], n[i] = at, len(ids)
+            at += len(ids)
+        return pieces.gather(np.arange(len(words)), starts, n, pool)
+
+
+def _is_text(token: bytes) -> bool:
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _none_known(found: dict[bytes, int]) -> Starts:
+    return Starts(found, pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64))
+
+
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def common_words(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = COMMON) -> Starts:
+    """The ids of words that a sample of about SAMPLE documents shows twice or more, the most frequent, at most ``most``."""
+    found = ranks(path)
+    none = _none_known(found)
+    total = docs.count()
+    some = docs.sample(min(1.0, SAMPLE / total), seed=1) if total > SAMPLE else docs
+
+    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            coded = b.column(1).flatten().dictionary_encode()
+            words = coded.dictionary
+            times = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(words)).astype(np.int64)
+            new = (pieces.found_in(words, none.tokens) < 0) & (np.diff(pieces.raw(words)[1]) <= LONG)
+            yield pa.record_batch([words.filter(pa.array(new)), pa.array(times[new])], ["word", "n"])
+
+    counts = pieces.split(some, pattern, id_col, text_col).mapInArrow(unknown, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+    kept = cut(counts, "words")
+    # words by the power of two that their count reaches: some dozens of rows
+    levels = kept.groupBy(F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()
+    taken, least = 0, 63
+    for row in levels:
+        taken += row["words"]
+        if taken > most:
+            break
+        least = row["level"]
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = _lists(*none.of(b.column(0)))
+            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1, dtype=np.int32)), each)], ["word", "start"])
+
+    told = kept.filter(F.col("n") >= 2.0**least).select("word").mapInArrow(starts, "word string, start array<array<int>>")
+    got = told.select("word", fold(F.col("start"), path)[0].alias("ids")).toArrow().combine_chunks()
+    drop(kept)
+    if not got.num_rows:
+        return none
+    ids, lengths = pieces.flat(got.column(1).chunk(0))
+    return Starts(found, got.column(0).chunk(0).cast(pa.string()), ids.to_numpy(zero_copy_only=False).astype(np.int32), np.r_[0, np.cumsum(lengths)])
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, common: int = COMMON) -> DataFrame:
     """``doc_id, ids`` of every whole text, by the ranks of a tiktoken file; special tokens are ordinary text.
 
     A null or empty text has no ids. Equal rows give equal rows; a null doc_id stays null; an empty table gives no
     rows; other columns are not read. ``path`` is read by the driver only.
     """
-
-    found = ranks(path)
-    bytes_ids = np.array([found[bytes([i])] for i in range(256)], np.int32)
-
-    def start(word: bytes) -> list[int] | np.ndarray:
-        if word in found:
-            return [found[word]]
-        return bytes_ids[np.frombuffer(word, np.uint8)] if len(word) <= LONG else merge_long(word, found)
+    known = common_words(docs, path, pattern, id_col, text_col, common)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = pieces.Numbers(most)
         for b in batches:
             values, lengths = pieces.flat(b.column(1))
             refs, fresh = numbers.number(values)
-            starts = [start(w.encode()) for w in fresh]
-            flat = np.concatenate([np.zeros(0, np.int32), *starts]).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, starts)]).astype(np.int32)), pa.array(flat))
+            words = _lists(*known.of(fresh))
             ends = np.r_[0, np.cumsum(lengths)].astype(np.int32)
             first = np.r_[0, np.full(b.num_rows, len(fresh))].astype(np.int32)  # the batch's new words go with its first row
             yield pa.record_batch(
@@ -199,7 +287,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     runs.clear()
                     stretch = stretches[lo]
                 values, lengths = pieces.flat(part.column(3).flatten())
-                runs.add(values.to_numpy(zero_copy_only=False).astype(np.int32), lengths)
+                ids = values.to_numpy(zero_copy_only=False).astype(np.int32)
+                runs.add(np.where(ids < 0, -1 - ids, ids), lengths)
                 refs, per_doc = pieces.flat(part.column(1))
                 ids, n = pieces.gather(refs.to_numpy(zero_copy_only=False), *runs.tables())
                 total = np.r_[0, np.cumsum(n)]
@@ -212,7 +301,6 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def decode(ids: Column, path: str) -> Column:
-    """The bytes of an array of ids."""
-    table = F.from_json(F.lit(_token_literal(path)), "array<string>")
-    joined = _let(table, lambda tokens: F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), ""))
-    return F.encode(joined, "ISO-8859-1")
+    """The bytes of an array of ids: binary pieces, one after another. (Spark joins strings alone, by their bytes as they are.)"""
+    table = F.from_json(F.lit(_token_literal(path)), "array<binary>")
+    return _let(table, lambda tokens: F.array_join(F.transform(ids, lambda i: F.get(tokens, i).cast("string")), "")).cast("binary")

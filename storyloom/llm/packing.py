@@ -41,6 +41,10 @@ def _vocabulary(path: str) -> dict[bytes, int]:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = {t["content"] for t in spec["added_tokens"]}
+    pairs = [m.split(" ", 1) if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    made = [spec["model"]["vocab"]["".join(m)] for m in pairs]
+    if made != sorted(made):
+        raise ValueError("the merges aren't in the order of the ids, so ids can't stand for ranks")
     return {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
 
 
@@ -120,7 +124,7 @@ def pack(docs: DataFrame, path: str, pattern: str, end_id: int = 1, tiers: tuple
     vocabulary = _vocabulary(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})._core_bpe.encode_single_piece
+        one = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=vocabulary, special_tokens={}).encode_ordinary  # a piece as a whole
         packer = Packer(tiers, base=TaskContext.get().partitionId() << 33)
         numbers, runs, stretch = pieces.Numbers(most), pieces.Runs(), 0
 
@@ -137,7 +141,7 @@ def pack(docs: DataFrame, path: str, pattern: str, end_id: int = 1, tiers: tuple
             if numbers.stretch != stretch:
                 runs.clear()
                 stretch = numbers.stretch
-            coded = [one(w.encode()) for w in fresh]
+            coded = [one(w) for w in fresh.to_pylist()]
             runs.add(np.fromiter((i for x in coded for i in x), np.int32), np.fromiter(map(len, coded), np.int64, len(coded)))
             ids, n = pieces.gather(refs, *runs.tables())
             bounds = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(lengths)]]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,24 +61,40 @@ class Runs:
 
 
 class Numbers:
-    """Numbers the distinct pieces of a stretch."""
+    """Numbers the distinct pieces of a stretch. They are held as one Arrow array."""
 
     def __init__(self, most: int = MOST) -> None:
-        self.most, self.known, self.stretch = most, {}, 0
+        self.most, self.known, self.stretch = most, pa.array([], pa.string()), 0
 
-    def number(self, pieces: pa.Array) -> tuple[np.ndarray, list[str]]:
+    def number(self, pieces: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """The number of each piece, and the pieces that are new, in the order of their numbers."""
         coded = pieces.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if self.known and len(self.known) + len(words) > self.most:
-            self.known.clear()
+        words = coded.dictionary
+        if not len(words):
+            return np.zeros(0, np.int32), words
+        at = found_in(words, self.known)
+        if len(self.known) + int((at < 0).sum()) > self.most and len(self.known):
+            self.known = words.slice(0, 0)
             self.stretch += 1
-        known, fresh = self.known, []
-        at = np.empty(len(words), np.int32)
-        for i, w in enumerate(words):
-            n = known.get(w)
-            if n is None:
-                n = known[w] = len(known)
-                fresh.append(w)
-            at[i] = n
-        return at[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int32), fresh
+            at[:] = -1
+        new = at < 0
+        fresh = words.filter(pa.array(new))
+        at[new] = len(self.known) + np.arange(len(fresh), dtype=np.int32)
+        self.known = pa.concat_arrays([self.known, fresh])
+        return at[coded.indices.to_numpy(zero_copy_only=False)], fresh
+
+
+def found_in(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place of each word among the known ones, or -1."""
+    if not len(known):
+        return np.full(len(words), -1, np.int32)
+    return pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+
+
+def raw(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words, and where each starts and the last one ends."""
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[ends[0] : ends[-1]], ends - ends[0]

@@ -23,11 +23,11 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("most", [400_000, 50])
-def test_same_ids_as_the_library_and_round_trip(spark, plain, most):
+@pytest.mark.parametrize(("most", "common"), [(400_000, 300_000), (50, 0)])
+def test_same_ids_as_the_library_and_round_trip(spark, plain, most, common):
     rows = [(i, t) for i, t in enumerate(texts())]
     df = spark.createDataFrame([*rows, (0, rows[0][1]), (None, "no id")], "doc_id long, text string").withColumn("ids", bpe.F.lit(1)).repartition(3)
-    enc = bpe.encode(df, RANKS, public_tokenizers.PATTERN, most=most)
+    enc = bpe.encode(df, RANKS, public_tokenizers.PATTERN, most=most, common=common)
     got = enc.select("doc_id", "ids", bpe.decode(bpe.F.col("ids"), RANKS).alias("back")).collect()
     assert len(got) == len(rows) + 2
     want = dict(rows) | {None: "no id"}
@@ -56,6 +56,16 @@ def test_query_on_a_small_table(spark, plain, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256((rows[r.doc_id][1] or "").encode()).hexdigest()
 
 
+def test_common_words_have_their_ids(spark, plain):
+    df = spark.createDataFrame([(i, "zqxthere unaccountablything zqxthere") for i in range(3)], "doc_id long, text string")
+    known = bpe.common_words(df, RANKS, public_tokenizers.PATTERN)
+    words = known.words.to_pylist()
+    assert {" unaccountablything", " zqxthere"} <= set(words)
+    for w in words:
+        ids, (n,) = known.of(bpe.pa.array([w]))
+        assert n == len(ids) and [-1 - ids[0], *ids[1:].tolist()] == plain.encode_ordinary(w)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(df, RANKS, public_tokenizers.PATTERN).count() == 0
