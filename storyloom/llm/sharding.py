@@ -4,13 +4,14 @@ Linked are the documents of equal text. A document's neighbours are the others o
 edge table: its group stands for them, and what a group has in each shard is one small aggregate. All start in shards of
 equal size by a hash of the row. In each round linked documents move towards the shard that holds most of their group,
 the greatest gains first and within the quotas: for each document that comes, one without links goes to where it came
-from; where no such documents are left, moves between two shards are accepted in equal numbers both ways. So the counts
-never change. A group that fills a shard goes on with the fullest one that has room. The rounds end when nobody moves.
+from; where no such documents are left, moves along cycles of shards are accepted in equal numbers. So the counts
+never change. A group that fills a shard goes on with the fullest one that has room. Every move unites documents that were
+apart, so the rounds end by themselves: when nobody can move, whichever of its equally full shards each group prefers.
 
 Scale. Only digests leave the scan. Documents without links take part only when they are displaced; the rounds shuffle
 linked rows alone. A huge group is counted per (group, shard) by partial aggregation. Ranks within a shard come from
-counts per small bucket plus ranks within the bucket, never from one task's sort of all rows. The driver sees counts per
-shard only.
+counts per small bucket plus ranks within the bucket, never from one task's sort of all rows. A group of a third of all
+rows meets its aggregate by a broadcast (``heavy_join``). The driver sees counts per shard, and per pair of shards, only.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import cut
+from .store import cut, drop, heavy_join
 
 
 def ranked(df: DataFrame, groups: list[str], order: list[Column], bucket: Column, name: str) -> DataFrame:
@@ -38,7 +39,11 @@ def _spread(n: int) -> Column:
     return F.pmod(F.xxhash64("h", "doc_id", "copy"), F.lit(n)).cast("int")
 
 
-def assign(docs: DataFrame, shards: int = 24, rounds: int = 20, buckets: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Preferences among equally full shards that are tried before the rounds end; rows of a bucket, about.
+TRIES, BUCKET = 4, 100_000
+
+
+def assign(docs: DataFrame, shards: int = 24, buckets: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot, links, kept_links`` of every row.
 
     ``size`` is the text's UTF-8 bytes plus 8; ``slot`` counts from 0 without gaps in each shard; ``links`` is the number
@@ -50,21 +55,23 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 20, buckets: int = 2
     digest = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text, F.crc32(text)).alias("h"))
     rows = cut(digest.withColumn("copy", F.monotonically_increasing_id()), "digests")
     total = rows.count()
+    buckets = max(buckets, total // shards // BUCKET)
     order = [F.col("h"), F.col("doc_id"), F.col("copy")]
     place = _global_rank(rows, order)
     low, more = divmod(total, shards)
     cutoff = more * (low + 1)
     shard = F.when(F.col("at") < cutoff, F.floor(F.col("at") / (low + 1))).otherwise(more + F.floor((F.col("at") - cutoff) / max(low, 1)))
     now = cut(place.select("doc_id", "size", "text_crc32", "h", "copy", shard.cast("int").alias("shard")), "shards")
-    sizes = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    linked = cut(now.join(sizes, "h", "left_semi").select("h", "doc_id", "copy", "shard"), "linked")
+    groups = cut(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "groups")
+    linked = cut(heavy_join(now.select("h", "doc_id", "copy", "shard"), groups, "h"), "linked")
     alone = cut(ranked(now.join(linked, "copy", "left_anti").select("h", "doc_id", "copy", "shard"), ["shard"], order, _spread(buckets), "rank").select("copy", "shard", "rank"), "alone")
     room = _sizes(alone)
     used = dict.fromkeys(range(shards), 0)
     displaced: list[DataFrame] = []
-    for _ in range(rounds):
+    salt = idle = 0
+    while idle < TRIES:
         free = {s: room.get(s, 0) - used[s] for s in range(shards) if room.get(s, 0) > used[s]}
-        moves = cut(_into_room(linked, free, buckets), "moves")
+        moves = cut(_into_room(linked, free, buckets, salt), "moves")
         came = {r["to"]: r["n"] for r in moves.groupBy("to").agg(F.count("*").alias("n")).collect()}
         if came:
             first = _table(used)
@@ -78,13 +85,18 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 20, buckets: int = 2
             room, used = _sizes(alone), dict.fromkeys(range(shards), 0)
             continue
         else:
-            moves = cut(_exchanged(_moves(linked, None), buckets), "moves")
+            moves = cut(_exchanged(cut(_moves(linked, None, salt), "wanted"), buckets, shards), "moves")
             if moves.limit(1).count() == 0:
-                break
+                salt, idle = salt + 1, idle + 1
+                continue
+        idle = 0
+        before = linked
         linked = cut(linked.join(moves.select("copy", "to"), "copy", "left").select("h", "doc_id", "copy", F.coalesce("to", "shard").alias("shard")), "linked")
+        drop(before)
+        drop(moves)
     held = linked.groupBy("h", "shard").agg(F.count("*").alias("here"))
-    counts = linked.groupBy("h").agg(F.count("*").alias("all"))
-    known = linked.join(held, ["h", "shard"]).join(counts, "h").select("copy", F.col("shard").alias("to"), "here", "all")
+    counts = cut(held.join(groups.withColumnRenamed("n", "all"), "h").withColumn("n", F.col("here")), "counts")
+    known = heavy_join(linked, counts, "h", "shard").select("copy", F.col("shard").alias("to"), "here", "all")
     known = known.unionByName(_placed(alone, displaced).select("copy", F.col("shard").alias("to")), allowMissingColumns=True)
     done = now.join(known, "copy", "left").select(
         "doc_id", "size", "text_crc32", "h", "copy", F.coalesce("to", "shard").alias("shard"), F.coalesce(F.col("all") - 1, F.lit(0)).cast("long").alias("links"), F.coalesce(F.col("here") - 1, F.lit(0)).cast("long").alias("kept_links")
@@ -123,14 +135,14 @@ def _table(values: dict[int, int]) -> Column:
     return F.create_map(*(F.lit(x).cast("int") if i % 2 == 0 else F.lit(x).cast("long") for k, v in values.items() for i, x in enumerate((k, v))))
 
 
-def _moves(linked: DataFrame, free: list[int] | None) -> DataFrame:
+def _moves(linked: DataFrame, free: list[int] | None, salt: int) -> DataFrame:
     """``h, doc_id, copy, shard, to, gain`` of every row that has more neighbours in its group's fullest shard (of ``free``)."""
     held = linked.groupBy("h", "shard").agg(F.count("*").alias("here"))
     open_ = held if free is None else held.filter(F.col("shard").isin(free))
     # of equal shards a hash picks one, lest all groups want the same
-    best = open_.groupBy("h").agg(F.max(F.struct("here", F.xxhash64("h", "shard"), "shard")).alias("best")).select("h", F.col("best.here").alias("most"), F.col("best.shard").alias("to"))
-    split = held.join(best, "h").filter((F.col("shard") != F.col("to")) & (F.col("here") <= F.col("most"))).select("h", "shard", "to", (F.col("most") - F.col("here") + 1).alias("gain"))
-    return linked.join(split, ["h", "shard"]).select("h", "doc_id", "copy", "shard", "to", "gain")
+    best = open_.groupBy("h").agg(F.max(F.struct("here", F.xxhash64("h", "shard", F.lit(salt)), "shard")).alias("best")).select("h", F.col("best.here").alias("most"), F.col("best.shard").alias("to"))
+    split = held.join(best, "h").filter((F.col("shard") != F.col("to")) & (F.col("here") <= F.col("most"))).select("h", "shard", "to", (F.col("most") - F.col("here") + 1).alias("gain"), F.col("here").alias("n"))
+    return heavy_join(linked, cut(split, "split"), "h", "shard").select("h", "doc_id", "copy", "shard", "to", "gain")
 
 
 def _by_gain(wanted: DataFrame, groups: list[str], buckets: int) -> DataFrame:
@@ -139,17 +151,51 @@ def _by_gain(wanted: DataFrame, groups: list[str], buckets: int) -> DataFrame:
     return ranked(wanted, groups, [F.desc("gain"), F.col("h"), F.col("doc_id"), F.col("copy")], (40 - level) * buckets + _spread(buckets), "rank")
 
 
-def _into_room(linked: DataFrame, free: dict[int, int], buckets: int) -> DataFrame:
+def _into_room(linked: DataFrame, free: dict[int, int], buckets: int, salt: int) -> DataFrame:
     """``copy, shard, to, rank``: the moves that documents without links can make room for."""
-    wanted = _moves(linked, sorted(free))
+    wanted = _moves(linked, sorted(free), salt)
     if not free:
         return wanted.select("copy", "shard", "to", F.lit(0).cast("long").alias("rank")).limit(0)
     return _by_gain(wanted, ["to"], buckets).filter(F.col("rank") < F.element_at(_table(free), F.col("to"))).select("copy", "shard", "to", "rank")
 
 
-def _exchanged(wanted: DataFrame, buckets: int) -> DataFrame:
-    """``copy, to``: as many moves from a to b as from b to a."""
-    demand = wanted.groupBy("shard", "to").agg(F.count("*").alias("n"))
-    back = demand.select(F.col("shard").alias("to"), F.col("to").alias("shard"), F.col("n").alias("back"))
-    quota = demand.join(back, ["shard", "to"]).select("shard", "to", F.least("n", "back").alias("quota"))
-    return _by_gain(wanted, ["shard", "to"], buckets).join(quota, ["shard", "to"]).filter(F.col("rank") < F.col("quota")).select("copy", "to")
+def _cycles(demand: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
+    """As much of a demand from shard to shard as leaves the counts alone: back and forth first, then around longer cycles."""
+    taken = {(a, b): min(n, demand.get((b, a), 0)) for (a, b), n in demand.items()}
+    left: dict[int, dict[int, int]] = {}
+    for (a, b), n in demand.items():
+        if n > taken[a, b]:
+            left.setdefault(a, {})[b] = n - taken[a, b]
+    for start in sorted(left):
+        while True:
+            back, todo = {start: start}, [start]
+            for a in todo:
+                for b in left.get(a, ()):
+                    if b not in back:
+                        back[b] = a
+                        todo.append(b)
+            last = next((a for a in todo if start in left.get(a, ())), None)  # the shortest way back
+            if last is None:
+                break
+            way = [(last, start)]
+            while last != start:
+                way.append((back[last], last))
+                last = back[last]
+            n = min(left[a][b] for a, b in way)
+            for a, b in way:
+                taken[a, b] += n
+                left[a][b] -= n
+                if not left[a][b]:
+                    del left[a][b]
+        left.pop(start, None)  # no cycle passes here any more
+    return taken
+
+
+def _exchanged(wanted: DataFrame, buckets: int, shards: int) -> DataFrame:
+    """``copy, to``: moves along cycles of shards, as many out of each shard as into it."""
+    demand = {(r["shard"], r["to"]): r["n"] for r in wanted.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}
+    quota = {a * shards + b: n for (a, b), n in _cycles(demand).items() if n}
+    if not quota:
+        return wanted.select("copy", "to").limit(0)
+    most = F.element_at(_table(quota), F.col("shard") * shards + F.col("to"))
+    return _by_gain(wanted, ["shard", "to"], buckets).filter(F.col("rank") < F.coalesce(most, F.lit(0))).select("copy", "to")
