@@ -5,13 +5,14 @@ sites that show it is built by partial aggregation and merged. Estimates far fro
 estimate lies within ``margin`` times the sketch's standard error of the threshold gets an exact distinct count of its
 sites. Lines on at least ``sites`` sites are boilerplate, and are taken out of every document.
 
-Skew. Lines are aggregated before anything is joined: the shuffles carry a row per line and task. A document's lines
-meet the boilerplate by hash; a very common line is one row there and is dealt out by adaptive skew joins, or by a
-broadcast where the set of boilerplate lines is counted and small.
+Skew. Lines are aggregated before anything is shuffled: a row per line, site and task. Texts are not shuffled: up to
+``small`` boilerplate lines (counted) are a table of hashes in the plan, and each document is stripped where it is read. A
+larger set of them is joined with the lines of the distinct texts, a row per text that has some.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -21,21 +22,26 @@ from .store import cut
 
 #: Sketches have 2**LG_K registers.
 LG_K = 10
-#: Boilerplate lines that are broadcast at most: 16 MB.
-SMALL = 1_000_000
+#: Boilerplate lines that the plan holds at most: 4 MB.
+SMALL = 500_000
+#: White space around a line. (A line ends at its line feed.)
+SPACE = " \t\x0b\x0c\r"
+
+
+def _bare(line: Column) -> Column:
+    return F.trim(line, F.lit(SPACE))
 
 
 def _hash(line: Column) -> Column:
-    return F.xxhash64(F.trim(line))
+    return F.xxhash64(_bare(line))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """``doc_id, site, line`` (the hash): each of a document's lines that is not blank, once."""
-    kept = F.array_distinct(F.transform(F.filter(F.split(F.col(text_col), "\n"), lambda x: F.trim(x) != ""), _hash))
-    return docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(site_col).alias("site"), F.explode(kept).alias("line"))
+def _lines(text: Column) -> Column:
+    """The hashes of a text's lines that aren't blank, each once."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: _bare(x) != ""), _hash))
 
 
-def spread(docs: DataFrame, sites: int, margin: float = 3.0, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def spread(docs: DataFrame, sites: int, margin: float = 3.0, text_col: str = "text", site_col: str = "source") -> DataFrame:
     """``line, docs, estimate, exact, sites`` of the lines on at least ``sites`` sites.
 
     ``exact`` is null where the estimate was far enough from the threshold; ``sites`` is the exact count or else the
@@ -43,9 +49,9 @@ def spread(docs: DataFrame, sites: int, margin: float = 3.0, id_col: str = "doc_
     """
     error = margin * 1.04 / math.sqrt(1 << LG_K)
     low, high = sites * (1 - error) - 0.5, sites * (1 + error) + 0.5
-    lines = _lines(docs, id_col, text_col, site_col)
+    lines = docs.filter(F.col(text_col).isNotNull()).select(F.col(site_col).alias("site"), F.explode(_lines(F.col(text_col))).alias("line"))
     # two levels: (line, site) pairs are few for any line, so that no line's documents meet in one task
-    pairs = lines.groupBy("line", "site").agg(F.count("*").alias("n"))
+    pairs = cut(lines.groupBy("line", "site").agg(F.count("*").alias("n")), "pairs")
     merged = pairs.groupBy("line").agg(F.sum("n").alias("docs"), F.hll_sketch_agg("site", LG_K).alias("sketch"))
     many = cut(merged.filter(F.col("docs") >= sites).select("line", "docs", F.hll_sketch_estimate("sketch").alias("estimate")).filter(F.col("estimate") >= low), "spread")
     near = many.filter(F.col("estimate") < high).select("line")
@@ -53,20 +59,36 @@ def spread(docs: DataFrame, sites: int, margin: float = 3.0, id_col: str = "doc_
     return many.join(exact, "line", "left").withColumn("sites", F.coalesce("exact", F.round("estimate").cast("long"))).filter(F.col("sites") >= sites)
 
 
-def strip(docs: DataFrame, sites: int = 10, margin: float = 3.0, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def _table(common: DataFrame, slots: int) -> Column:
+    """The hashes by their low bits, as an array of arrays that the plan holds."""
+    rows: list[list[int]] = [[] for _ in range(slots)]
+    for r in common.select("line").orderBy("line").collect():
+        rows[r["line"] % slots].append(r["line"])
+    return F.from_json(F.lit(json.dumps(rows, separators=(",", ":"))), "array<array<bigint>>")
+
+
+def strip(docs: DataFrame, sites: int = 10, margin: float = 3.0, text_col: str = "text", site_col: str = "source", small: int = SMALL) -> DataFrame:
     """The documents, with all their columns, without boilerplate lines; new columns ``_lines`` and ``_removed`` count.
 
-    All rows stay; a text of which nothing is left becomes empty. Null texts stay null, empty and blank lines stay as
-    they are. Rows that share a doc_id are treated alike, and a row without doc_id keeps all its lines. Equal rows get
-    equal results; an empty table gives no rows. A column named ``_bad``, ``_lines`` or ``_removed`` is replaced.
+    All rows stay; a text of which nothing is left becomes empty. Null texts stay null and have no lines; empty and blank
+    lines stay as they are, and so do the ends of the lines that stay (a carriage return, say). Ids are not read, so rows
+    that share one or have none are treated like others. Equal rows get equal results; an empty table gives no rows. A
+    column named ``_bad``, ``_lines`` or ``_removed`` is replaced.
     """
-    common = cut(spread(docs, sites, margin, id_col, text_col, site_col).select("line"), "boilerplate")
-    side = F.broadcast(common) if common.count() <= SMALL else common
-    lines = _lines(docs, id_col, text_col, site_col).select("doc_id", "line")
-    bad = lines.join(side, "line", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("_bad")).withColumnRenamed("doc_id", "_id")
-    joined = docs.drop("_bad", "_lines", "_removed").join(bad, F.col(id_col) == F.col("_id"), "left")
-    parts = F.split(F.col(text_col), "\n")
-    left = F.filter(parts, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_bad"), _hash(x)))
-    columns = [F.when(F.col("_bad").isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(c) for c in joined.columns if c not in ("_bad", "_id")]
-    removed = F.when(F.col("_bad").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(left))
-    return joined.select(*columns, F.size(parts).alias("_lines"), removed.alias("_removed"))
+    common = cut(spread(docs, sites, margin, text_col, site_col).select("line"), "boilerplate")
+    n = common.count()
+    columns = [c for c in docs.columns if c not in ("_bad", "_lines", "_removed")]
+    held = docs.select(F.struct(*columns).alias("_row"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_hash"))
+    if n <= small:
+        slots = 1 << n.bit_length()
+        table = _table(common, slots)
+        bad = lambda x: F.array_contains(F.get(table, F.pmod(_hash(x), F.lit(slots)).cast("int")), _hash(x))
+    else:
+        lines = held.filter("_text is not null").select("_hash", F.explode(_lines(F.col("_text"))).alias("line")).distinct()
+        some = cut(lines.join(common, "line", "left_semi").groupBy("_hash").agg(F.collect_set("line").alias("_bad")), "texts")
+        held = held.join(some, "_hash", "left")
+        bad = lambda x: F.coalesce(F.array_contains("_bad", _hash(x)), F.lit(False))
+    parts = F.split("_text", "\n")
+    kept = held.select("_row", parts.alias("_parts"), F.filter(parts, lambda x: (_bare(x) == "") | ~bad(x)).alias("_left"))
+    out = [F.array_join("_left", "\n").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in columns]
+    return kept.select(*out, F.coalesce(F.size("_parts"), F.lit(0)).alias("_lines"), F.coalesce(F.size("_parts") - F.size("_left"), F.lit(0)).alias("_removed"))
