@@ -2,14 +2,15 @@
 
 A text is the TF-IDF vector of its hashed letter trigrams (logarithmic counts), of length one. Document frequencies come
 from all training rows. The vectors of a bounded sample of training rows, at most ``per_language`` of each language and
-picked by a hash of their ids, are clustered by spherical k-means into ``clusters`` centroids per language. A text gets
-the language of the centroid of highest cosine. It is rejected if that is below ``slack`` times the first percentile of
+picked by a hash of their ids, are clustered by spherical k-means into ``clusters`` centroids per language. A language's
+sample is clustered in one task, and the driver gets its centroids alone: 96 KB a language. A text gets the language of the centroid of highest cosine. It is rejected if that is below ``slack`` times the first percentile of
 the centroid's own long members, that is, if it is far from everything learned; a text of under ``least`` letter
 trigrams is too short to be rejected for its distance.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +23,6 @@ from pyspark.sql.window import Window
 from . import grams
 
 BITS = 13
-#: Languages that are learned at most, the most frequent first.
-LANGUAGES = 64
 
 
 @dataclass
@@ -72,12 +71,12 @@ def document_frequencies(texts: DataFrame, text_col: str = "text") -> tuple[int,
     return n, out
 
 
-def sample(train: DataFrame, per_group: int, group_col: str, id_col: str = "doc_id", groups: int = LANGUAGES) -> DataFrame:
+def sample(train: DataFrame, per_group: int, group_col: str, id_col: str = "doc_id") -> DataFrame:
     """At most ``per_group`` ids of each group, by the order of a hash of the id. Only the two columns are read."""
     ids = train.select(F.col(id_col).alias("doc_id"), F.col(group_col).alias("_group"))
-    sizes = ids.groupBy("_group").count().orderBy(F.desc("count"), "_group").limit(groups).collect()
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["_group"]), F.lit(3.0 * per_group / r["count"])))) if sizes else F.create_map().cast("map<string,double>")
-    hashed = ids.withColumn("_h", F.xxhash64("doc_id")).filter(F.pmod(F.col("_h"), F.lit(1 << 20)) < F.coalesce(F.element_at(share, F.col("_group")), F.lit(0.0)) * (1 << 20))
+    sizes = ids.groupBy("_group").count().collect()  # a row for each language
+    share = F.from_json(F.lit(json.dumps({r["_group"]: 3.0 * per_group / r["count"] for r in sizes})), "map<string,double>")
+    hashed = ids.withColumn("_h", F.xxhash64("doc_id")).filter(F.pmod(F.col("_h"), F.lit(1 << 20)) < F.element_at(share, F.col("_group")) * (1 << 20))
     rank = F.row_number().over(Window.partitionBy("_group").orderBy("_h", "doc_id"))
     return hashed.withColumn("_rank", rank).filter(F.col("_rank") <= per_group).select("doc_id").distinct()
 
@@ -108,26 +107,31 @@ def fit(train: DataFrame, per_language: int = 512, clusters: int = 3, slack: flo
         for b in batches:
             for lo, hi, data, doc in grams.chunks(b.column(2)):
                 counts = _counts(data, doc, hi - lo)
-                rows = [v.tobytes() for v in _vectors(counts, idf).astype(np.float16)]
+                vectors = _vectors(counts, idf)
+                row, at = np.nonzero(vectors)
+                ends = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32))
                 part = b.slice(lo, hi - lo)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(counts.sum(axis=1)), pa.array(rows)], ["doc_id", "lang", "size", "vector"])
+                sparse = [pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(vectors[row, at]))]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(counts.sum(axis=1)), *sparse], ["doc_id", "lang", "size", "at", "value"])
+
+    def cluster(table: pa.Table) -> pa.Table:
+        rows = sorted(((r["doc_id"] or 0, r["at"], r["value"], r["size"]) for r in table.to_pylist()), key=lambda r: r[:3])
+        x = np.zeros((len(rows), 1 << BITS), np.float32)
+        for i, (_, at, value, _) in enumerate(rows):
+            x[i, at] = value
+        long = np.array([r[3] >= least for r in rows])
+        c, own = _kmeans(x, clusters)
+        near = [(x @ c[j])[(own == j) & long] for j in range(len(c))]
+        floor = [slack * float(np.quantile(n, 0.01)) if len(n) >= 20 else 0.0 for n in near]
+        return pa.table({"lang": [table.column("lang")[0].as_py()] * len(c), "place": list(range(len(c))), "floor": floor, "centroid": [v.astype(np.float32).tobytes() for v in c]}, pa.schema([("lang", pa.string()), ("place", pa.int32()), ("floor", pa.float64()), ("centroid", pa.binary())]))
 
     rows = known.join(F.broadcast(picked), known[id_col] == picked["doc_id"], "left_semi").select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), _padded(F.col(text_col)))
-    got = rows.mapInArrow(run, "doc_id long, lang string, size long, vector binary").toArrow().to_pydict()
-    order = sorted((i for i in range(len(got["lang"])) if got["size"][i] > 0), key=lambda i: (got["lang"][i], got["doc_id"][i] or 0, got["vector"][i]))
-    languages = sorted({got["lang"][i] for i in order})
-    centroids, owner, floor = [], [], []
-    for k, lang in enumerate(languages):
-        mine = [i for i in order if got["lang"][i] == lang]
-        x = np.stack([np.frombuffer(got["vector"][i], np.float16) for i in mine]).astype(np.float32)
-        long = np.array([got["size"][i] >= least for i in mine])
-        c, own = _kmeans(x, clusters)
-        for j in range(len(c)):
-            near = (x @ c[j])[(own == j) & long]
-            centroids.append(c[j])
-            owner.append(k)
-            floor.append(slack * float(np.quantile(near, 0.01)) if len(near) >= 20 else 0.0)
-    return Model(languages, idf, np.array(centroids, np.float32).reshape(-1, 1 << BITS), np.array(owner, np.int64), np.array(floor), least)
+    vectors = rows.mapInArrow(run, "doc_id long, lang string, size long, at array<int>, value array<float>").filter("size > 0")
+    got = sorted(vectors.groupBy("lang").applyInArrow(cluster, "lang string, place int, floor double, centroid binary").toArrow().to_pylist(), key=lambda r: (r["lang"], r["place"]))
+    languages = sorted({r["lang"] for r in got})
+    owner = np.array([languages.index(r["lang"]) for r in got], np.int64)
+    centroids = np.array([np.frombuffer(r["centroid"], np.float32) for r in got], np.float32).reshape(-1, 1 << BITS)
+    return Model(languages, idf, centroids, owner, np.array([r["floor"] for r in got]), least)
 
 
 PREDICTION = "struct<lang_pred:string,score:double,rejected:boolean>"
