@@ -10,6 +10,7 @@ def model(spark):
     return L.fit(spark.read.parquet(f"{CORPUS}/documents.parquet"))
 
 
+# The notices that the tables hold.
 NOTICES = {
     "Licensed under the Apache License, Version 2.0.": "apache-2.0",
     "Released under the MIT License.": "mit",
@@ -45,3 +46,64 @@ def test_edges(spark, model):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert L.scan(empty, L.fit(empty, rounds=1)).count() == 0
     assert "temperature" in L.describe(model)
+
+
+# Notices in other words than the templates', and wrapped ones.
+HELD_OUT = {
+    "apache-2.0": ["The code in this repository is available under the Apache License, Version 2.0.", "Distributed under the Apache License 2.0; see the file LICENSE for details.", "Licensed to you under the Apache License, Version 2.0."],
+    "mit": ["This library is released under the MIT License, see LICENSE.", "Code is licensed under the MIT license.", "Distributed under the terms of the MIT License.", "MIT License"],
+    "gpl-3.0": ["This software is released under the GNU General Public License version 3 or later.", "Licensed under the terms of the GNU General Public License, version 3."],
+    "gpl-2.0": ["This module is licensed under the GNU General Public License, version 2."],
+    "lgpl": ["You may use this library under the terms of the GNU Lesser General Public License.", "Released under the GNU Lesser General Public License, version 2.1."],
+    "bsd": ["Use of this code is governed by a BSD-style license.", "Released under the BSD 3-Clause license, see the file.", "Redistribution and use in source and binary forms are permitted provided that these conditions are met."],
+    "mpl-2.0": ["This file is subject to the terms of the Mozilla Public License, version 2.0."],
+    "cc-by-sa": ["Content is available under the Creative Commons Attribution-ShareAlike 4.0 License.", "Photos are licensed under CC BY-SA 4.0."],
+    "cc-by-nc": ["Images are licensed under CC BY-NC 4.0."],
+    "public-domain": ["This code is released into the public domain.", "The author has waived all copyright to this work under CC0 1.0."],
+    "all-rights-reserved": ["Copyright 2021 Example Press. All rights reserved.", "No part of this book may be reproduced without the written permission of the publisher."],
+}
+
+
+def test_held_out_notices_are_found(spark, model):
+    rows = [(f, t) for f, ts in HELD_OUT.items() for t in ts]
+    known = {t for ts in L.TEMPLATES.values() for t in ts}
+    assert not known & {t for _, t in rows}
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame([(i, f"Prose of no note stands here.\n\n{t}\n\nMore of it.") for i, (_, t) in enumerate(rows)], "doc_id long, text string"), model).collect()}
+    right = [f for i, (f, _) in enumerate(rows) if i in got and got[i].family == f]
+    assert len(right) >= 0.9 * len(rows), [t for i, (f, t) in enumerate(rows) if i not in got or got[i].family != f]
+
+
+@pytest.mark.parametrize("alone", [True, False])
+def test_a_wrapped_notice_is_one_hit(spark, model, alone):
+    import textwrap
+
+    whole = {"mit": " ".join(L.TEMPLATES["mit"][4:]), "gpl-2.0": L.TEMPLATES["gpl-2.0"][1], "bsd": " ".join(L.TEMPLATES["bsd"][2:5])}
+    for width in (50, 72):
+        rows = [(i, "Eight words of prose stand here before it\n" + "\n" * alone + textwrap.fill(t, width) + "\n" * alone + "\nand nine more words of prose stand after it") for i, t in enumerate(whole.values())]
+        got = L.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+        for i, (family, t) in enumerate(whole.items()):
+            mine = [r for r in got if r.doc_id == i and r.family == family]
+            assert sum(len(r.text) for r in mine) >= 0.85 * len(t) and len(mine) <= 2
+            assert all(r.text == "\n".join(rows[i][1].split("\n")[r.paragraph : r.paragraph + r.lines]) for r in mine)
+
+
+def test_scores_against_brute_force(spark, model):
+    """Each line scored by itself, word by word, gives the hits' probabilities."""
+    docs = spark.read.parquet(f"{CORPUS}/documents.parquet").limit(300)
+    got = {(r.doc_id, r.paragraph): r for r in L.scan(docs, model).collect() if r.lines == 1}
+    last = len(L.FAMILIES)
+    for r in docs.collect():
+        lines = r.text.split("\n")
+        p = L.classify(lines, model)
+        for k, line in enumerate(lines):
+            if (r.doc_id, k) in got:
+                hit = got[r.doc_id, k]
+                assert hit.text == line and abs(hit.probability - p[k, :last].max()) < 1e-4
+            elif p[k, last] < 0.49 and L._pairs(line) & set().union(*L._family_pairs().values()):
+                raise AssertionError((r.doc_id, k, line))
+
+
+def test_families_that_tie(spark):
+    flat = L.Model(L.np.zeros((1 << L.BITS, len(L.FAMILIES) + 1), L.np.float32), L.np.array([2.0] * len(L.FAMILIES) + [-9.0], L.np.float32), 1.0)
+    got = L.scan(spark.createDataFrame([(1, "the software"), (1, "the software")], "doc_id long, text string"), flat, sure=0.0, alike=0.0).collect()
+    assert [r.family for r in got] == [L.FAMILIES[0]] * 2
