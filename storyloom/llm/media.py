@@ -1,7 +1,9 @@
 """ISO media containers (MP4, MOV and kin): boxes, sample tables, keyframe ranges; nothing of the payload is decoded.
 
 ``probe`` walks the nested boxes of a binary column and turns the sample tables of each track into codec, duration and
-the byte ranges of its keyframes. ``mux`` stores a payload losslessly as a track of raw 8-bit frames, and ``samples``
+the byte ranges of its keyframes. Sizes may stand in a plain table, a compact one (``stz2``), or in movie fragments
+(``moof``), whose runs of samples follow those of the tables. The duration is that of the media header, or else the sum of
+the samples' own. Edit lists and composition offsets change neither samples nor ranges and are not read. ``mux`` stores a payload losslessly as a track of raw 8-bit frames, and ``samples``
 reads a track's bytes back by its tables.
 """
 
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Boxes that hold boxes.
-NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
+NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf"}
 #: A frame of ``mux``: 8 x 8 samples of 8 bits. Every KEY-th frame is a keyframe; CHUNK frames lie together.
 FRAME, KEY, CHUNK, SCALE = 64, 16, 32, 25
 
@@ -28,6 +30,7 @@ FRAME, KEY, CHUNK, SCALE = 64, 16, 32, 25
 class Track:
     handler: str = ""
     codec: str = ""
+    number: int = 0
     timescale: int = 0
     duration: int = 0
     width: int = 0
@@ -35,6 +38,7 @@ class Track:
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    fragments: int = 0
 
     def ranges(self, some: np.ndarray | None = None) -> list[tuple[int, int]]:
         """(offset, length) of the samples with these numbers (from 0), neighbours in the file joined."""
@@ -80,6 +84,9 @@ def _track(data: memoryview, at: int, end: int) -> Track:
     if b"mdhd" in found:
         a, _ = found[b"mdhd"]
         track.timescale, track.duration = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
+    if b"tkhd" in found:
+        a, _ = found[b"tkhd"]
+        (track.number,) = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))
     if b"hdlr" in found:
         track.handler = bytes(data[found[b"hdlr"][0] + 8 : found[b"hdlr"][0] + 12]).decode("latin-1")
     if b"stsd" in found:
@@ -98,6 +105,10 @@ def _track(data: memoryview, at: int, end: int) -> Track:
             track.sizes = np.full(n, fixed, np.int64)
         else:
             raise ValueError("the samples are longer than the file")
+    elif b"stz2" in found:
+        track.sizes = _compact_sizes(data, *found[b"stz2"])
+    if not track.duration and b"stts" in found:
+        track.duration = int(_table(data, *found[b"stts"], 2).prod(axis=1).sum())
     n = len(track.sizes)
     chunks = _table(data, *found[b"stco"], 1)[:, 0] if b"stco" in found else _table(data, *found[b"co64"], 1, ">u8")[:, 0] if b"co64" in found else np.zeros(0, np.int64)
     if n:
@@ -115,15 +126,100 @@ def _track(data: memoryview, at: int, end: int) -> Track:
     return track
 
 
+def _compact_sizes(data: memoryview, at: int, end: int) -> np.ndarray:
+    """Sizes of 4, 8 or 16 bits."""
+    bits, (n,) = data[at + 7], struct.unpack_from(">I", data, at + 8)
+    width = -(-n * bits // 8)
+    if bits not in (4, 8, 16) or at + 12 + width > end:
+        raise ValueError("a table of compact sizes does not fit")
+    if bits == 16:
+        return np.frombuffer(data, ">u2", n, at + 12).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8, width, at + 12).astype(np.int64)
+    return raw if bits == 8 else np.stack([raw >> 4, raw & 15], axis=1).reshape(-1)[:n]
+
+
+def _flags(data: memoryview, at: int) -> int:
+    return struct.unpack_from(">I", data, at)[0] & 0xFFFFFF
+
+
+def _fields(data: memoryview, at: int, flags: int, wanted: tuple[tuple[int, str], ...]) -> tuple[list[int | None], int]:
+    """The optional fields that the flags announce, and where the next one starts."""
+    out: list[int | None] = []
+    for bit, kind in wanted:
+        if flags & bit:
+            out.append(struct.unpack_from(kind, data, at)[0])
+            at += struct.calcsize(kind)
+        else:
+            out.append(None)
+    return out, at
+
+
+def _fragment(data: memoryview, at: int, end: int, moof: int, defaults: dict[int, tuple[int, int, int]], tracks: dict[int, Track], base: int) -> int:
+    """Add the samples of one ``traf`` to its track; the end of its data. ``moof`` is where its fragment starts."""
+    inner = list(boxes(data, at, end))
+    head = next((a for k, a, _ in inner if k == b"tfhd"), None)
+    if head is None:
+        raise ValueError("a fragment names no track")
+    flags, (number,) = _flags(data, head), struct.unpack_from(">I", data, head + 4)
+    if number not in tracks:
+        raise ValueError(f"a fragment of track {number}, which there is not")
+    (first, _, duration, size, kind), _ = _fields(data, head + 8, flags, ((0x1, ">Q"), (0x2, ">I"), (0x8, ">I"), (0x10, ">I"), (0x20, ">I")))
+    own = defaults.get(number, (0, 0, 0))
+    duration, size, kind = (x if x is not None else d for x, d in zip((duration, size, kind), own, strict=True))
+    start = first if first is not None else moof if flags & 0x20000 else base
+    track, place = tracks[number], start
+    for name, a, b in inner:
+        if name != b"trun":
+            continue
+        flags, (n,) = _flags(data, a), struct.unpack_from(">I", data, a + 4)
+        (shift, lead), a = _fields(data, a + 8, flags, ((0x1, ">i"), (0x4, ">I")))
+        columns = [c for c, bit in (("duration", 0x100), ("size", 0x200), ("flags", 0x400), ("shown", 0x800)) if flags & bit]
+        if a + 4 * n * len(columns) > b:
+            raise ValueError("a run of samples is longer than its box")
+        rows = np.frombuffer(data, ">u4", n * len(columns), a).astype(np.int64).reshape(n, len(columns))
+        column = lambda c, d, rows=rows, columns=columns, n=n: rows[:, columns.index(c)] if c in columns else np.full(n, d, np.int64)
+        if n > len(data):
+            raise ValueError("more samples than bytes")
+        sizes, kinds = column("size", size), column("flags", kind)
+        if lead is not None and n:
+            kinds = np.r_[lead, kinds[1:]]
+        place = start + shift if shift is not None else place
+        offsets = place + np.cumsum(sizes) - sizes
+        if n and ((offsets < 0).any() or (offsets + sizes > len(data)).any()):
+            raise ValueError("a sample lies outside the file")
+        track.keys = np.r_[track.keys, len(track.sizes) + np.flatnonzero(kinds & 0x10000 == 0)]
+        track.sizes, track.offsets = np.r_[track.sizes, sizes], np.r_[track.offsets, offsets]
+        track.fragments += int(column("duration", duration).sum())
+        place += int(sizes.sum())
+    return place
+
+
 def parse(media: bytes) -> tuple[str, list[Track]]:
     """The brand and the tracks of a file; ValueError for what isn't one."""
     data, brand, tracks = memoryview(media), "", []
+    defaults: dict[int, tuple[int, int, int]] = {}
     try:
-        for kind, a, b in boxes(data, 0, len(data)):
+        top = list(boxes(data, 0, len(data)))
+        for kind, a, b in top:
             if kind == b"ftyp":
                 brand = bytes(data[a : a + 4]).decode("latin-1")
             elif kind == b"moov":
                 tracks += [_track(data, x, y) for k, x, y in boxes(data, a, b) if k == b"trak"]
+                for k, x, y in boxes(data, a, b):
+                    if k == b"mvex":
+                        for e, p, _ in boxes(data, x, y):
+                            if e == b"trex":
+                                number, _, *rest = struct.unpack_from(">5I", data, p + 4)
+                                defaults[number] = tuple(rest)
+        by = {t.number: t for t in tracks}
+        for kind, a, b in top:
+            if kind == b"moof":
+                base = a - 8
+                for k, x, y in boxes(data, a, b):
+                    if k == b"traf":
+                        base = _fragment(data, x, y, a - 8, defaults, by, base)
+        for t in tracks:
+            t.duration = t.duration or t.fragments
     except (struct.error, KeyError, IndexError) as e:
         raise ValueError(f"broken box: {e!r}") from None
     if not brand and not tracks:
@@ -222,7 +318,9 @@ def payload_of(text: bytes) -> bytes:
     return text + bytes(-len(text) % FRAME if text else FRAME)
 
 
-STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, seconds double, keyframes array<struct<start:long,length:long>>"
+
+NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "seconds", "keyframes"]
 
 
 def _bytes(text: Column) -> Column:
@@ -242,7 +340,8 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """Digests of what ``store_texts`` stored, read back through the sample tables."""
+    """Digests of what ``store_texts`` stored, read back through the sample tables; codec, duration, keyframe byte ranges."""
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,9 +350,9 @@ def read_back(stored: DataFrame) -> DataFrame:
                 data = media.as_py()
                 (track,) = parse(data)[1]
                 back = samples(data, track)
-                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), len(data), hashlib.sha256(data).hexdigest(), feature(track)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in STORED.split(", ")])
+                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), len(data), hashlib.sha256(data).hexdigest(), feature(track), track.codec.strip(), track.duration / track.timescale, [{"start": a, "length": n} for a, n in track.ranges(track.keys)]))
+            columns = list(zip(*rows, strict=True)) or [[]] * 10
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), spans]
+            yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], NAMES)
 
     return stored.select("doc_id", F.octet_length("text").cast("long"), "media").mapInArrow(run, STORED)

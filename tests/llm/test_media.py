@@ -73,3 +73,56 @@ def test_query(spark, tmp_path):
         assert (r.media_bytes, r.media_sha256) == (len(media.mux(payload)), hashlib.sha256(media.mux(payload)).hexdigest())
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert media.read_back(media.store_texts(empty)).count() == 0
+
+
+def _moov(number, sizes_box, extra=b""):
+    """A movie box of one track with the given box of sizes, and chunks of one sample each where there are some."""
+    mdhd = media._full(b"mdhd", media.struct.pack(">IIIIHH", 0, 0, 25, 0, 0x55C4, 0))
+    stts = media._full(b"stts", media.struct.pack(">III", 1, 3, 50))
+    stbl = media._box(b"stbl", media._full(b"stsd", media.struct.pack(">I", 0)), stts, sizes_box, extra)
+    tkhd = media._box(b"tkhd", b"\0\0\0\7", media.struct.pack(">IIIII", 0, 0, number, 0, 0))
+    mdia = media._box(b"mdia", mdhd, media._full(b"hdlr", bytes(4), b"vide", bytes(13)), media._box(b"minf", stbl))
+    return media._box(b"trak", tkhd, mdia)
+
+
+@pytest.mark.parametrize(("bits", "table"), [(4, b"\x35\x70"), (8, b"\x03\x05\x07"), (16, b"\0\3\0\5\0\7")])
+def test_compact_sizes(bits, table):
+    pack = media.struct.pack
+    head = media._box(b"ftyp", b"isom", pack(">I", 0))
+
+    def whole(first):
+        sizes = media._full(b"stz2", pack(">I", bits), pack(">I", 3), table)
+        chunks = media._full(b"stco", pack(">II", 1, first)) + media._full(b"stsc", pack(">IIII", 1, 1, 3, 1))
+        return head + media._box(b"moov", _moov(1, sizes, chunks)) + media._box(b"mdat", b"abcdefghijklmno")
+
+    data = whole(0)
+    data = whole(data.index(b"mdat") + 4)
+    (track,) = media.parse(data)[1]
+    assert track.sizes.tolist() == [3, 5, 7] and media.samples(data, track) == b"abcdefghijklmno" and track.duration == 150
+    with pytest.raises(ValueError, match="compact"):
+        media.parse(data.replace(pack(">I", bits) + pack(">I", 3), pack(">I", bits) + pack(">I", 3000)))
+
+
+def test_fragments():
+    """Two fragments of a track: sizes of their own, default sizes; the second and fifth samples are no keyframes."""
+    pack = media.struct.pack
+    head = media._box(b"ftyp", b"iso5", pack(">I", 0))
+    moov = media._box(b"moov", _moov(7, media._full(b"stsz", pack(">II", 0, 0))), media._box(b"mvex", media._full(b"trex", pack(">IIIII", 7, 1, 10, 4, 0))))
+    moov = moov.replace(media._full(b"stts", pack(">III", 1, 3, 50)), media._full(b"stts", pack(">III", 1, 0, 50)))
+
+    def moof(run_flags, run, shift):
+        tfhd = media._box(b"tfhd", pack(">I", 0x20000), pack(">I", 7))
+        trun = media._box(b"trun", pack(">I", run_flags | 1), run[:4], pack(">i", shift), run[4:])
+        return media._box(b"moof", media._full(b"mfhd", pack(">I", 1)), media._box(b"traf", tfhd, trun))
+
+    own = pack(">I", 3) + pack(">IIIIII", 3, 0, 5, 0x10000, 7, 0)
+    first = moof(0x600, own, 0)
+    first = moof(0x600, own, len(first) + 8) + media._box(b"mdat", b"abcdefghijklmno")
+    second = moof(0x4, pack(">I", 2) + pack(">I", 0x10000), 0)
+    second = moof(0x4, pack(">I", 2) + pack(">I", 0x10000), len(second) + 8) + media._box(b"mdat", b"ABCDEFGH")
+    data = head + moov + first + second
+    (track,) = media.parse(data)[1]
+    assert track.sizes.tolist() == [3, 5, 7, 4, 4] and track.keys.tolist() == [0, 2, 4]
+    assert media.samples(data, track) == b"abcdefghijklmnoABCDEFGH" and track.duration == 50
+    with pytest.raises(ValueError, match="track 9"):
+        media.parse(data.replace(pack(">I", 0x20000) + pack(">I", 7), pack(">I", 0x20000) + pack(">I", 9)))
