@@ -3,7 +3,8 @@
 Two histograms describe a document: the shares of six character classes, and the shares of its language's common words
 among its words (with one bin for all others). A language's reference is the mean histogram of all its documents that
 pass the base rules. A document fails if the Jensen-Shannon distance (base 2, so from 0 to 1) of a histogram from the
-reference exceeds the histogram's limit, and it has enough words for that histogram to be judged.
+reference exceeds the histogram's limit, and it has enough words for that histogram to be judged. The means are over the documents at hand: what most of them are
+like is usual, so a table of bad documents alone has no good reference.
 """
 
 from __future__ import annotations
@@ -74,8 +75,10 @@ def _common(found: Column, lang: Column) -> Column:
     def of(language: str) -> Column:
         mine = COMMON[language]
         few = F.filter(F.transform(found, bare), lambda w: w.isin(mine))
-        times = lambda some, m: F.size(F.filter(some, lambda x: x == m))
-        return _let(few, lambda some: F.array(*[times(some, m) for m in mine], F.size(found) - F.size(some)))
+        # the words as one string, each between spaces of its own: counting one is a search in that string
+        joined = lambda some: F.concat(F.lit(" "), F.array_join(some, "  "), F.lit(" "))
+        times = lambda line, m: F.floor((F.length(line) - F.length(F.replace(line, F.lit(f" {m} "), F.lit("")))) / (len(m) + 2)).cast("int")
+        return _let(few, lambda some: _let(joined(some), lambda line: F.array(*[times(line, m) for m in mine], F.size(found) - F.size(some))))
 
     return reduce(lambda out, k: out.when(lang == k, of(k)), list(COMMON)[1:], F.when(lang == next(iter(COMMON)), of(next(iter(COMMON)))))
 

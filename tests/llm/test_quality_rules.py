@@ -84,3 +84,11 @@ def test_clean_documents_stay_and_no_python_runs(spark):
 
 def test_empty_table(spark):
     assert Q.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_bad_documents_that_pass_the_base_rules(spark):
+    d = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = [r for r in Q.judge(spark.read.parquet(f"{d}/documents.parquet")).collect() if not r.base_failed and r.doc_id in labels]
+    bad, good = ([r.kept for r in rows if labels[r.doc_id] == q] for q in (0, 1))
+    assert sum(good) >= 0.99 * len(good) and len(bad) > 20 and sum(bad) <= 0.25 * len(bad)
