@@ -1,13 +1,18 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies by the exact Jaccard similarity of word shingles, over the links of SimHash anchors and wider keys.
 
 Two texts are linked if their sets of five-word shingles have a similarity of at least ``limit`` (0.8); linked documents
 form components. Texts of equal sets are one node.
 
-Candidate search. A similarity of 0.8 leaves about ten of 64 SimHash bits different, farther than anchors can cover. So
-each set has ``BANDS`` keys of ``ROWS`` minimum hashes, and sets that share a key are candidates: at 0.8 a pair shares none
-with a chance of 3 in 100,000, and less above. Candidates are told as a star per key, never as all pairs, and the stars'
-components are formed first. Each of these goes to one task, which compares the whole sets of any two members that are not
-yet joined, so that only true links leave it, as a spanning forest.
+Candidate search. The anchors of :mod:`simhash_dedup` link all fingerprints of at most four different bits. A similarity of
+0.8 leaves about ten of 64 bits different, farther than a covering code of 64 bits can reach. So each set also has ``BANDS``
+keys of ``ROWS`` minimum hashes, and sets that share a key are candidates: at 0.8 a pair shares none with a chance of 3 in
+100,000, and less above. Candidates are told as a star per key, never as all pairs, and the stars' components are formed.
+
+Check. The sets of a candidate component go to one task, where any two members that are not yet joined are compared; only
+true links leave it, as a spanning forest. A component of over ``group`` members or ``SHINGLES`` shingles is dealt to parts
+of that size. Then one member of each part's components meets those of the other parts, which joins what most copies are
+like. What is still apart from the component's largest set of joined members is compared, in blocks, with all the others.
+So nothing is lost, and the work grows with the members times those few.
 """
 
 from __future__ import annotations
@@ -17,24 +22,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .simhash_dedup import SMALL, components
-from .store import cut
+from .simhash_dedup import SMALL, components, fingerprint_of_hashes, links
+from .store import cut, drop, heavy_join
 
 BANDS, ROWS = 20, 4
+#: Members and shingles (8 bytes each) that a task compares at once; members of a block of those that are still apart.
+GROUP, SHINGLES, BLOCK = 500, 1 << 20, 128
 _RNG = np.random.default_rng(42)
 _MASK = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 _FACTOR = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
-def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
-    """Distinct shingle hashes of one UTF-8 text, in order; a shorter text is one shingle."""
+def shingle_hashes(text: bytes | None, width: int = 5) -> np.ndarray:
+    """Hashes of the shingles of one UTF-8 text, repeats included; a shorter text is one shingle."""
     words = (text or b"").lower().split()
     digest = xxhash.xxh64_intdigest
     n = max(1, len(words) - width + 1) if words else 0
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n))
+    return np.fromiter((digest(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n)
+
+
+def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
+    """Distinct shingle hashes of one UTF-8 text, in order."""
+    return np.unique(shingle_hashes(text, width))
 
 
 def node_of(found: np.ndarray) -> int:
@@ -63,75 +75,151 @@ def alike(a: np.ndarray, b: np.ndarray, limit: float) -> bool:
     return both >= limit * (len(a) + len(b) - both)
 
 
-def forest(nodes: list[int], sets: list[np.ndarray], limit: float) -> list[tuple[int, int]]:
-    """Links that span the components of the nodes: a pair within one component need not be compared."""
-    parts: list[list[int]] = []
+def forest(rows: list[tuple[bool, int, int, np.ndarray]], limit: float) -> list[tuple[int, int]]:
+    """Links that span the components of rows (asks, label, node, set).
+
+    Those of equal label are joined already. One that asks is compared with all that it isn't joined with yet; one that
+    doesn't ask, with those that ask only.
+    """
+    parts: dict[int, list[tuple[int, np.ndarray]]] = {}
+    own = {}  # the part that a label is in
     out = []
-    for i, own in enumerate(sets):
-        joined, apart = [i], []
-        for part in parts:
-            m = next((m for m in part if alike(own, sets[m], limit)), None)
-            if m is None:
-                apart.append(part)
-            else:
-                out.append((nodes[i], nodes[m]))
-                joined = part + joined
-        parts = [*apart, joined]
+    for asks, label, node, found in sorted(rows, key=lambda r: r[0]):
+        mine = own.setdefault(label, label)
+        if asks:
+            for key in [k for k in parts if k != mine]:
+                m = next((m for m, other in parts[key] if alike(found, other, limit)), None)
+                if m is not None:
+                    out.append((node, m))
+                    parts.setdefault(mine, []).extend(parts.pop(key))
+                    own = {a: mine if k == key else k for a, k in own.items()}
+        parts.setdefault(mine, []).append((node, found))
     return out
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingles(t.as_py(), width) for t in b.column(1)]
-        keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-        yield pa.record_batch([b.column(0), pa.array([node_of(s) for s in sets], pa.int64()), keys], ["doc_id", "node", "bands"])
+        hashes = [shingle_hashes(t.as_py(), width) for t in b.column(2)]
+        sets = [np.unique(h) for h in hashes]
+        fps = np.fromiter((fingerprint_of_hashes(h) for h in hashes), np.uint64, len(hashes)).view(np.int64)
+        columns = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+        yield pa.record_batch([b.column(0), b.column(1), *columns], ["doc_id", "h", "node", "size", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows (root, node, text) to rows (root, node, the set), where the text is the node's."""
+    """Rows (root, parts, node, text) to rows (root, parts, node, the set)."""
     for b in batches:
-        rows = [(r, n, s.tobytes()) for r, n, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if node_of(s := shingles(t, width)) == n]
-        yield pa.record_batch([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["root", "node", "found"])
+        yield pa.record_batch([*b.columns[:3], pa.array([shingles(t.as_py(), width).tobytes() for t in b.column(3)], pa.binary())], ["root", "parts", "node", "found"])
 
 
-def _links(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
-    """Rows (root, node, set) sorted by root: the links of each root's nodes."""
-    root, group = None, {}
+def _compared(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
+    """Rows (root, block, chunk, asks, label, node, set), sorted by the first three: the links of each of their groups."""
+    at, group = None, []
 
     def done() -> pa.RecordBatch:
-        pairs = forest(list(group), list(group.values()), limit)
+        pairs = forest(group, limit)
         return pa.record_batch([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for b in batches:
-        for r, n, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if r != root:
+        for root, block, chunk, asks, label, node, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (root, block, chunk) != at:
                 yield done()
-                root, group = r, {}
-            group.setdefault(n, np.frombuffer(s, np.uint64))
+                at, group = (root, block, chunk), []
+            group.append((asks, label, node, np.frombuffer(found, np.uint64)))
     yield done()
 
 
-def keep_first(docs: DataFrame, width: int = 5, limit: float = 0.8) -> DataFrame:
-    """The documents of which doc_id is the smallest of its component, with all their columns.
+def compared(rows: DataFrame, limit: float) -> DataFrame:
+    """Links ``a, b`` within the groups (root, block, chunk) of rows (root, block, chunk, asks, label, node, found)."""
+    columns = ["root", "block", "chunk", "asks", "label", "node", "found"]
+    return rows.select(columns).repartition("root", "block", "chunk").sortWithinPartitions("root", "block", "chunk").mapInArrow(lambda b: _compared(b, limit), "a long, b long")
 
-    Texts without words are alike. Rows that share a doc_id count as one document. Rows without doc_id go: they can't be
-    told from their copies.
-    """
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    seen = cut(rows.mapInArrow(lambda b: _sketches(b, width), "doc_id long, node long, bands array<long>"), "sketches")
-    nodes = cut(seen.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("bands").alias("bands")), "nodes")
+
+def _deal(n: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), n).cast("int")
+
+
+def _small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A written table, broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that span whatever may be alike: a star per key, and the anchors' links of fingerprints."""
     keys = nodes.select("node", F.explode("bands").alias("band"))
     shared = cut(keys.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band", "low"), "bands")
-    side = F.broadcast(shared) if shared.count() <= SMALL // 4 else shared
-    stars = keys.join(side, "band").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    asked = components(stars).join(nodes.select("node", "first"), "node").select("root", "node", F.col("first").alias("doc_id"))
-    sets = asked.join(rows, "doc_id").select("root", "node", "text").mapInArrow(lambda b: _sets(b, width), "root long, node long, found binary")
-    links = sets.repartition("root").sortWithinPartitions("root", "node").mapInArrow(lambda b: _links(b, limit), "a long, b long")
-    named = cut(components(links).join(nodes.select("node", "first"), "node"), "components")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = named.join(least, "root").select("node", "component_id")
-    own = nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    told = seen.select("doc_id", "node").join(own, "node")
-    copies = cut(told.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).filter("not first").select("doc_id"), "copies")
-    side = F.broadcast(copies) if copies.count() <= SMALL else copies  # the copies are fewer than the documents that stay
-    return docs.filter("doc_id is not null").join(side, "doc_id", "left_anti").select(docs.columns)
+    stars = keys.join(_small(shared, SMALL // 4), "band").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    worded = nodes.filter("size > 0")
+    first = cut(worded.groupBy("fp").agg(F.min("node").alias("low")), "fingerprints")
+    same = worded.join(first, "fp").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    near = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("low").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("low").alias("y")), "b")
+    return stars.union(same).union(near.select("x", "y")).distinct()
+
+
+def _spanning(sets: DataFrame, limit: float, group: int, block: int) -> DataFrame:
+    """All links ``a, b`` (spanning) within the candidate components of ``sets`` (root, parts, node, found)."""
+    alone = sets.withColumns({"block": _deal(F.col("parts")), "chunk": F.lit(0), "asks": F.lit(True), "label": F.col("node")})
+    inner = cut(compared(alone, limit), "links")
+    large = sets.filter("parts > 1")
+    if large.limit(1).count() == 0:
+        return inner
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        named = components(edges).withColumnRenamed("root", "_l")
+        return large.join(named, "node", "left").select("root", "node", "found", F.coalesce("_l", "node").alias("label"))
+
+    heads = cut(labelled(inner).filter("label = node"), "heads")
+    counts = cut(heads.groupBy("root").agg(F.ceil(F.count("*") / group).cast("int").alias("n")), "counts")
+    met = heads.join(_small(counts), "root").withColumns({"block": _deal(F.col("n")), "chunk": F.lit(0), "asks": F.lit(True)})
+    inner = cut(inner.union(compared(met, limit)), "links")
+    now = cut(labelled(inner), "labelled")
+    sizes = now.groupBy("root", "label").agg(F.count("*").alias("n"))
+    told = sizes.groupBy("root").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    apart = cut(told.filter("all > most").select("root", "largest", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("blocks"), F.ceil(F.col("all") / group).cast("int").alias("chunks")), "apart")
+    if apart.limit(1).count() == 0:
+        return inner
+    members = now.join(_small(apart), "root").withColumn("asks", F.col("label") != F.col("largest"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = members.filter("asks").withColumns({"block": _deal(F.col("blocks")), "chunk": each("chunks")})
+    others = members.withColumn("chunk", _deal(F.col("chunks"))).withColumn("block", each("blocks"))
+    others = others.filter(~(F.col("asks") & (F.col("block") == _deal(F.col("blocks"))))).withColumn("asks", F.lit(False))
+    return inner.union(compared(asking.unionByName(others), limit))
+
+
+def keep_first(docs: DataFrame, width: int = 5, limit: float = 0.8, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+    """One row of each component of near copies, with all its columns: that of the smallest doc_id, null being the last.
+
+    Null and empty texts, and those without words, are alike. Of rows without doc_id, and of rows that share one, the text's
+    hash decides, and of equal rows any one stays. An empty table gives no rows. Other columns are carried along; only
+    ``doc_id`` and ``text`` are read.
+    """
+    h = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), h.alias("h"), F.col("text").cast("binary").alias("text"))
+    seen = cut(rows.mapInArrow(lambda b: _sketches(b, width), "doc_id long, h long, node long, size long, fp long, bands array<long>"), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_no"), F.col("doc_id"), F.col("h")))
+    nodes = cut(seen.groupBy("node").agg(first.alias("first"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "nodes")
+    asked = cut(components(_candidates(nodes)).join(nodes.select("node", "first", "size"), "node"), "asked")
+    parts = F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("size") / SHINGLES)).cast("int")
+    many = cut(asked.groupBy("root").agg(parts.alias("parts")).filter("parts > 1"), "many")
+    named = asked.join(_small(many), "root", "left").select("root", F.coalesce("parts", F.lit(1)).alias("parts"), "node", F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
+    texts = rows.join(_small(cut(named, "named")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("root", "parts", "node", "text").dropDuplicates(["node"])
+    sets = cut(texts.mapInArrow(lambda b: _sets(b, width), "root long, parts int, node long, found binary"), "sets")
+    linked = cut(components(_spanning(sets, limit, group, block)).join(nodes.select("node", "first"), "node"), "components")
+    least = cut(linked.groupBy("root").agg(F.min("first").alias("kept"), F.count("*").alias("n")), "least")
+    told = heavy_join(linked.select("root", "node"), least, "root")
+    own = cut(nodes.join(told.select("node", "kept"), "node", "left").filter("n > 1 or kept is not null").select("node", "n", F.coalesce("kept", "first").alias("kept")), "kept")
+    copies = heavy_join(seen.select("doc_id", "h", "node"), own, "node")
+    same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("h") == F.col("kept.h"))
+    judged = cut(copies.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.any_value(same).alias("stays"), F.count("*").alias("times")).filter("not stays or times > 1"), "judged")
+    for t in (nodes, asked, sets, linked, least, own):
+        drop(t)
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), h.alias("_h"), F.col("doc_id").cast("long").alias("_id"))
+    on = lambda side: keyed["_id"].eqNullSafe(side["_id"]) & (keyed["_h"] == side["_h"])
+    gone = _small(judged.select("_id", "_h"))
+    left = keyed.join(gone, on(gone), "left_anti").select("_row.*")
+    repeated = judged.filter("stays")
+    if repeated.limit(1).count() == 0:
+        return left
+    some = _small(repeated.select("_id", "_h"))
+    once = keyed.join(some, on(some), "left_semi").dropDuplicates(["_id", "_h"]).select("_row.*")
+    return left.unionByName(once)

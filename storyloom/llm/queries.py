@@ -65,10 +65,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph that is a licence text, with its family."""
+    """Every licence text, alone or within a paragraph, with its family."""
     docs = _docs(spark, sf_dir)
     found = license_scan.scan(docs, license_scan.fit(docs))
-    return found.select("doc_id", "paragraph", "family", "probability", "similarity", F.sha2("text", 256).alias("text_sha256"))
+    return found.select("doc_id", "paragraph", "lines", "family", "probability", "similarity", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +108,9 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_line_dedup": f"""
         WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
-        b AS (SELECT trim(line, ' ') AS line FROM l WHERE trim(line, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {SITES}),
-        j AS (SELECT l.doc_id, l.line, l.k, b.line IS NOT NULL AS bad FROM l LEFT JOIN b ON trim(l.line, ' ') = b.line),
+        t AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
+        b AS (SELECT bare FROM t WHERE bare <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {SITES}),
+        j AS (SELECT t.doc_id, t.line, t.k, b.bare IS NOT NULL AS bad FROM t LEFT JOIN b USING (bare)),
         g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT bad), '') AS text FROM j GROUP BY doc_id)
-        SELECT doc_id, n_lines, n_removed, sha256(text) AS text_sha256 FROM g""",
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(g.text) AS text_sha256 FROM documents d LEFT JOIN g USING (doc_id)""",
 }

@@ -2,8 +2,8 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from test_near_copies import first_of_each
 from test_packing import check
-from test_simhash_dedup import brute, plain_fingerprint
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -21,7 +21,7 @@ def test_stages_against_brute_force(spark):
     good = P.stage_quality(spark, kept, DIR).cache()
     ids = {r.doc_id for r in good.collect()}
     assert good.columns == columns and {i for i, q in labels.items() if q == 1} <= ids
-    assert sum(i in ids for i, q in labels.items() if q == 0) <= 0.3 * sum(q == 0 for q in labels.values())
+    assert sum(i in ids for i, q in labels.items() if q == 0) <= 0.1 * sum(q == 0 for q in labels.values())
 
     lines = P.stage_lines(spark, good, DIR).cache()
     rows = {r.doc_id: r for r in good.collect()}
@@ -35,9 +35,7 @@ def test_stages_against_brute_force(spark):
     assert all(r.n_chars == len(r.text) for i, r in got.items() if r.text != rows[i].text)
 
     near = P.stage_near_dedup(spark, lines, DIR).cache()
-    order = sorted(want)
-    component = brute([plain_fingerprint(want[i]) for i in order], order)
-    assert near.columns == columns and sorted(r.doc_id for r in near.collect()) == sorted(set(component.values()))
+    assert near.columns == columns and sorted(r.doc_id for r in near.collect()) == first_of_each(want)
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
@@ -57,4 +55,21 @@ def test_odd_rows_and_an_empty_table(spark, tmp_path):
         spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame([(3, 1)] if some else [], "doc_id long, quality int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         got = P.run(spark, f"{tmp_path}/{name}").collect()
-        assert {r.doc_id for r in got} == ({3} if some else set())
+        assert sorted((r.doc_id is None, r.doc_id) for r in got) == ([(False, 3), (True, None)] if some else [])
+
+
+def test_clashing_columns_and_a_very_long_text(spark, tmp_path):
+    """Columns of the operators' own names come through; a text of 1.5 MB is packed whole."""
+    words = "the of and to in is that for it was with on as are this".split()
+    long = " ".join(words[i * i % 13] + str(i % 977) for i in range(200_000))
+    rows = [(i, " ".join(words[(i * 7 + k * k) % 15] for k in range(80)), "en", f"s{i}", 0) for i in range(30)] + [(99, long, "en", "s", 0)]
+    extra = "*, 1 _row, 'x' node, 2 _h, 'y' bands, 3 _lines, 'z' h, 4 label"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr(*extra.split(", ")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(30)] + [(99, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in P.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert [c for c in docs.columns if c not in ("_lines",)] == [c for c in spark.read.parquet(f"{tmp_path}/documents.parquet").columns if c not in ("_lines",)]
+    assert {99} <= {r.doc_id for r in docs.select("doc_id").collect()}
+    packed = [r for r in P.stage_packing(spark, docs, "").select("doc_id", "length", "doc_tokens").collect() if r.doc_id == 99]
+    assert sum(r.length for r in packed) == packed[0].doc_tokens > 200_000
