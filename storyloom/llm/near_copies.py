@@ -25,10 +25,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .simhash_dedup import SMALL, components, fingerprint_of_hashes, links
+from .simhash_dedup import components, fingerprint_of_hashes, links
 from .store import cut, drop, heavy_join
 
 BANDS, ROWS = 20, 4
+#: Rows that are broadcast at most: some 20 MB as a hash table.
+SMALL = 200_000
 #: Members and shingles (8 bytes each) that a task compares at once; members of a block of those that are still apart.
 GROUP, SHINGLES, BLOCK = 500, 1 << 20, 128
 _RNG = np.random.default_rng(42)
@@ -139,16 +141,16 @@ def _deal(n: Column) -> Column:
     return F.pmod(F.xxhash64("node"), n).cast("int")
 
 
-def _small(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """A written table, broadcast if it has at most ``most`` rows."""
-    return F.broadcast(df) if df.count() <= most else df
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, broadcast if it has at most SMALL rows."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
     """Pairs ``a, b`` that span whatever may be alike: a star per key, and the anchors' links of fingerprints."""
     keys = nodes.select("node", F.explode("bands").alias("band"))
     shared = cut(keys.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band", "low"), "bands")
-    stars = keys.join(_small(shared, SMALL // 4), "band").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    stars = keys.join(_small(shared), "band").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     worded = nodes.filter("size > 0")
     first = cut(worded.groupBy("fp").agg(F.min("node").alias("low")), "fingerprints")
     same = worded.join(first, "fp").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))

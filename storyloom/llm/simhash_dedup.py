@@ -28,8 +28,6 @@ from .store import cut, drop, heavy_join
 
 #: (first bit, Hamming-coded bits, plain bits) of each block.
 BLOCKS = ((0, 15, 7), (22, 15, 6), (43, 15, 6))
-#: Ids of copies that are broadcast at most: 16 MB.
-SMALL = 1_000_000
 #: Pairs that one vector operation compares.
 CHUNK = 1 << 20
 
