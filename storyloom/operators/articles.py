@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from storyloom.functions.text import STOPWORDS, keyword_tokens, squeeze, strip_tags
+from storyloom.functions.text import STOPWORDS, keyword_tokens, shorten, squeeze, strip_tags
 from storyloom.functions.url import authority
 from storyloom.operators.validate import ANALYSIS, CLICKBAIT, INTRO, checked_numbers, dates, quotes, seo, sentence_length, words
 
@@ -49,8 +49,14 @@ def section_text() -> Column:
 
 
 def with_source_words(articles: DataFrame) -> DataFrame:
-    """The articles with ``source_words``: each source's distinct words, found once for all claims."""
-    return articles.withColumn("source_words", F.transform("sources", lambda s: words(s["text"])))
+    """The articles with ``source_words``: of each source those distinct words that the article's claims have.
+
+    So a source's own words are gone through once, and not for every claim.
+    """
+    answers = F.array_join(F.transform("faqs", lambda q: q["answer"]), " ")
+    asked = words(F.concat_ws(" ", "title", "lead", F.array_join("key_points", " "), section_text(), answers))
+    told = articles.withColumn("_asked", asked)
+    return told.withColumn("source_words", F.transform("sources", lambda s: F.array_intersect(F.col("_asked"), words(s["text"])))).drop("_asked")
 
 
 def supported(claim: Column, source_words: Column, limit: float) -> Column:
@@ -267,3 +273,13 @@ def prepared_sources(sources: Column) -> Column:
     plain = lambda x: squeeze(F.coalesce(x, F.lit("")))
     kept = F.filter(sources, lambda s: F.coalesce(s["url"], F.lit("")) != "")
     return F.transform(kept, lambda s: F.struct(s["url"].alias("url"), plain(s["title"]).alias("title"), plain(s["text"]).alias("text"), authority(s["url"]).alias("domain")))
+
+
+DRAFT = "title string, lead string, key_points array<string>"
+
+
+def draft(answer: Column, topic: Column, summary: Column) -> Column:
+    """The article that a model's answer holds as JSON; where there is none with a title, one of topic and summary alone."""
+    found = F.from_json(F.regexp_extract(F.coalesce(answer, F.lit("")), r"(?s)(\{.*\})", 1), DRAFT)
+    plain = F.struct(topic.alias("title"), shorten(F.coalesce(summary, F.lit(""))).alias("lead"), F.array().cast("array<string>").alias("key_points"))
+    return F.when(F.coalesce(found["title"], F.lit("")) != "", found).otherwise(plain)

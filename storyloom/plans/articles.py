@@ -291,3 +291,13 @@ def article_sources(spark: SparkSession, d: str) -> DataFrame:
     """The cleaned sources of every article."""
     rows = article_rows(spark, d).select("doc_id", F.posexplode(articles.prepared_sources(F.col("sources"))).alias("place", "s"))
     return rows.select("doc_id", "place", "s.url", "s.title", "s.domain", F.length("s.text").alias("n"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE 'Title ' || doc_id END AS title, CASE WHEN doc_id % 3 <> 0 THEN 'x' WHEN length(text) > 300 THEN left(text, 297) || '...' ELSE text END AS lead, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2 END AS points FROM documents""")
+def article_draft(spark: SparkSession, d: str) -> DataFrame:
+    """Drafts from answers that hold JSON amid other words; every third holds none."""
+    docs = table(spark, d, "documents")
+    said = F.concat(F.lit('Sure. {"title": "Title '), "doc_id", F.lit('", "lead": "x", "key_points": ["a", "b"]} Done.'))
+    answer = F.when(F.col("doc_id") % 3 != 0, said).otherwise("I cannot {write} that.")
+    found = docs.select("doc_id", articles.draft(answer, F.col("source"), F.col("text")).alias("a"))
+    return found.select("doc_id", "a.title", "a.lead", F.size("a.key_points").alias("points"))

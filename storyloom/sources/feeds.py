@@ -28,6 +28,11 @@ def entries(bodies: DataFrame, id_col: str, body_col: str) -> DataFrame:
     return found.select("id", "place", "e.*")
 
 
+def read_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """``id, body`` of fetched feeds: every file of a folder whole, by its path. Fetching itself is not Spark's."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("id"), F.col("value").alias("body"))
+
+
 def embedded_json(text: Column, schema: str) -> Column:
     """What stands between a text's first and last brace, as JSON; null if that can't be read."""
     return F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), schema)

@@ -28,3 +28,11 @@ def test_headers_and_json(spark):
     got = row.select(feeds.conditional_headers(F.col("e"), F.col("m"), F.lit(datetime(2024, 1, 2, 3, 4, 5))).alias("h"), feeds.embedded_json(F.col("t"), "k int")["k"].alias("k")).collect()
     assert got[0].h == {"If-None-Match": '"e"', "If-Modified-Since": "Tue, 02 Jan 2024 03:04:05 GMT"} and got[0].k == 1
     assert got[1].h == {} and got[1].k is None
+
+
+def test_fetched_bodies_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<rss><channel>\n<item><title>One</title><link>http://a.org/1</link></item>\n<item><title>Two</title></item></channel></rss>")
+    (tmp_path / "b.xml").write_text("not a feed")
+    bodies = feeds.read_bodies(spark, str(tmp_path))
+    assert bodies.count() == 2
+    assert sorted(r.title for r in feeds.entries(bodies, "id", "body").collect()) == ["One", "Two"]
