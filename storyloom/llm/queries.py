@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, license_scan, line_dedup, media, packing, quality, quality_rules, sharding, simhash_dedup
+from . import bpe, fill_in_middle, language_id, license_scan, line_dedup, media, packing, quality, quality_rules, sharding, simhash_dedup, token_counts, whitening
 from .store import small_batches
 
 
@@ -92,6 +92,35 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
+#: Tokens that a text may have.
+LIMIT = 1024
+
+
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token count of every whole text, and how much of it LIMIT tokens hold, both from the counts of its prefixes."""
+    stored = token_counts.prefix_steps(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return token_counts.within(stored, LIMIT)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text in its form, and what is restored from that; both as digests."""
+    found = fill_in_middle.transform(_docs(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        F.length("prefix").cast("long").alias("prefix_chars"),
+        F.length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the 16 first components of their covariance."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 16)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_media": op2_media,
@@ -103,6 +132,9 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op6_bpe": op6_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_token_counts": op11_token_counts,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
@@ -113,4 +145,11 @@ ORACLES: dict[str, str] = {
         j AS (SELECT t.doc_id, t.line, t.k, b.bare IS NOT NULL AS bad FROM t LEFT JOIN b USING (bare)),
         g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT bad), '') AS text FROM j GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(g.text) AS text_sha256 FROM documents d LEFT JOIN g USING (doc_id)""",
+    "op12_fill_in_middle": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || doc_id) AS x FROM documents),
+        h AS (SELECT doc_id, text, u, len(u) AS n, ('0x' || x[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || x[9:16])::BIGINT % (len(u) + 1) AS b, ('0x' || x[17:24])::BIGINT AS c, ('0x' || x[25:32])::BIGINT AS d FROM t),
+        f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c % 100 >= 50 THEN 'plain' WHEN d % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT doc_id, text, n, form, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
 }
