@@ -17,21 +17,21 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces
-from .bpe import merge_long
 from .packing import _vocabulary
 
-_BLANKS = regex.compile(r"\p{White_Space}+")
 #: Pairs of tokens whose answer a worker remembers.
-PAIRS = 2_000_000
+PAIRS = 400_000
 
 
 @lru_cache(2)
@@ -48,13 +48,14 @@ class Prefixes:
     """Counts the tokens of all prefixes of a piece."""
 
     def __init__(self, vocabulary: dict[bytes, int], pattern: str) -> None:
-        self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
+        self.pattern = regex.compile(pattern)
         self.bytes_of = {i: t for t, i in vocabulary.items()}
         self.size = max(vocabulary.values()) + 1
+        self.merged = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})._encode_single_piece
         self.child: dict[int, int] = {}
         self.token = [-1]
         for word, i in vocabulary.items():
-            if merge_long(word, vocabulary) != [i]:
+            if self.merged(word) != [i]:
                 continue  # no text is encoded as this token
             node = 0
             for b in reversed(word):
@@ -67,17 +68,15 @@ class Prefixes:
         self.pairs: dict[int, bool] = {}
 
     def _together(self, a: int, b: int) -> bool:
-        key = a * self.size + b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = merge_long(self.bytes_of[a] + self.bytes_of[b], self.vocabulary) == [a, b]
+        """Whether two tokens stand beside each other in the encoding of their joined bytes."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        known = self.pairs[a * self.size + b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
     def counts(self, word: bytes) -> list[int]:
         """The count of tokens of each prefix of a piece, by bytes; the first is that of no byte."""
-        child, token, together = self.child, self.token, self._together
+        child, token, known, size = self.child, self.token, self.pairs.get, self.size
         last, count = [-1], [0]
         for i in range(1, len(word) + 1):
             node, j = 0, i
@@ -87,20 +86,24 @@ class Prefixes:
                 if node is None:
                     raise ValueError("the vocabulary doesn't make this piece")
                 t = token[node]
-                if t >= 0 and (j == 0 or together(last[j], t)):
-                    break
+                if t >= 0:
+                    if not j:
+                        break
+                    good = known(last[j] * size + t)
+                    if good or (good is None and self._together(last[j], t)):
+                        break
             last.append(t)
             count.append(count[j] + 1)
         return count
 
-    def steps(self, word: bytes) -> np.ndarray:
+    def steps(self, word: bytes) -> list[int]:
         """How the count changes with each code point of a piece. Part of a contraction is cut as a quote and a letter."""
         count = self.counts(word)
         if len(word) == 3 and word[:1] == b"'" and len(self.pattern.findall(word[:2].decode(errors="replace"))) == 2:
             count[2] = count[1] + 1
-        starts = np.frombuffer(word, np.uint8) & 0xC0 != 0x80
-        ends = np.r_[np.flatnonzero(starts)[1:], len(word)] if len(word) else np.zeros(0, np.int64)
-        return np.diff(np.r_[0, np.array(count)[ends]]).astype(np.int32)
+        if not word.isascii():  # a prefix ends before a byte that begins a code point, or at the end
+            count = [0, *(count[k] for k in range(1, len(word)) if word[k] & 0xC0 != 0x80), count[-1]]
+        return [b - a for a, b in zip(count, count[1:], strict=False)]
 
     def total(self, text: str) -> int:
         """The count of tokens of a short text, cut by the pattern."""
@@ -137,6 +140,7 @@ def prefix_steps(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     gives no rows; other columns are not read. A text of any length is worked on whole.
     """
     vocabulary, special = _vocabulary(path), next(iter(special_tokens(path)), None)
+    special_bytes = special.encode() if special is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _prefixes(path, pattern, vocabulary)
@@ -151,12 +155,13 @@ def prefix_steps(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 blank, lead, tokens, words, stretch = blank[:0], lead[:0], tokens[:0], [], numbers.stretch
             new = [w.encode() for w in fresh.to_pylist()]
             # what a special token adds to each of its prefixes depends on what stands before it: its steps are set below
-            each = [np.eye(1, len(w), dtype=np.int32)[0] if special is not None and w == special.encode() else made.steps(w) for w in new]
-            runs.add(np.concatenate(each) if each else np.zeros(0, np.int32), np.array([len(x) for x in each], np.int64))
+            each = [[1] + [0] * (len(w) - 1) if w == special_bytes else made.steps(w) for w in new]
+            runs.add(np.fromiter(chain.from_iterable(each), np.int32), np.fromiter(map(len, each), np.int64, len(each)))
             words += new
-            blank = np.r_[blank, [_BLANKS.fullmatch(w.decode()) is not None for w in new]].astype(bool)
-            lead = np.r_[lead, [_BLANKS.match(w.decode()) is not None for w in new]].astype(bool)
-            tokens = np.r_[tokens, [int(x.sum()) for x in each]].astype(np.int64)
+            # a blank is one of Unicode, as in the pattern
+            lead = np.r_[lead, pc.match_substring_regex(fresh, r"^[\s\p{Z}\x0b\x85]").to_numpy(zero_copy_only=False)].astype(bool)
+            blank = np.r_[blank, pc.match_substring_regex(fresh, r"^[\s\p{Z}\x0b\x85]+$").to_numpy(zero_copy_only=False)].astype(bool)
+            tokens = np.r_[tokens, np.fromiter(map(sum, each), np.int64, len(each))]
             steps, n = pieces.gather(refs, *runs.tables())
             steps = steps.copy()
             ends = np.cumsum(n)

@@ -58,7 +58,7 @@ def test_prefixes_of_any_piece(library, text):
     made = token_counts._prefixes(PATH, PATTERN, _vocabulary(PATH))
     for piece in made.pattern.findall(text):
         total = 0
-        for k, step in enumerate(made.steps(piece.encode()).tolist(), 1):
+        for k, step in enumerate(made.steps(piece.encode()), 1):
             total += step
             assert total == library(piece[:k])
 
