@@ -5,7 +5,8 @@ sites that show it is built by partial aggregation and merged. Estimates far fro
 estimate lies within ``margin`` times the sketch's standard error of the threshold gets an exact distinct count of its
 sites. Lines on at least ``sites`` sites are boilerplate, and are taken out of every document.
 
-Skew. Lines are aggregated before anything is shuffled: a row per line, site and task. Texts are not shuffled: up to
+Skew. Lines are aggregated to sketches before anything is shuffled: a row per line and task. Pairs of line and site are
+made for lines near the threshold alone, and are made distinct before they meet. Texts are not shuffled: up to
 ``small`` boilerplate lines (counted) are a table of hashes in the plan, and each document is stripped where it is read. A
 larger set of them is joined with the lines of the distinct texts, a row per text that has some.
 """
@@ -50,12 +51,15 @@ def spread(docs: DataFrame, sites: int, margin: float = 3.0, text_col: str = "te
     error = margin * 1.04 / math.sqrt(1 << LG_K)
     low, high = sites * (1 - error) - 0.5, sites * (1 + error) + 0.5
     lines = docs.filter(F.col(text_col).isNotNull()).select(F.col(site_col).alias("site"), F.explode(_lines(F.col(text_col))).alias("line"))
-    # two levels: (line, site) pairs are few for any line, so that no line's documents meet in one task
-    pairs = cut(lines.groupBy("line", "site").agg(F.count("*").alias("n")), "pairs")
-    merged = pairs.groupBy("line").agg(F.sum("n").alias("docs"), F.hll_sketch_agg("site", LG_K).alias("sketch"))
+    merged = lines.groupBy("line").agg(F.count("*").alias("docs"), F.hll_sketch_agg("site", LG_K).alias("sketch"))
     many = cut(merged.filter(F.col("docs") >= sites).select("line", "docs", F.hll_sketch_estimate("sketch").alias("estimate")).filter(F.col("estimate") >= low), "spread")
     near = many.filter(F.col("estimate") < high).select("line")
-    exact = pairs.join(near, "line", "left_semi").filter(F.col("site").isNotNull()).groupBy("line").agg(F.count("*").alias("exact"))
+    known = lines.filter(F.col("site").isNotNull())
+    if near.count() <= SMALL:
+        pairs = known.join(F.broadcast(near), "line", "left_semi").distinct()
+    else:  # pairs of line and site are few for any line, however many documents show it
+        pairs = known.distinct().join(near, "line", "left_semi")
+    exact = pairs.groupBy("line").agg(F.count("*").alias("exact"))
     return many.join(exact, "line", "left").withColumn("sites", F.coalesce("exact", F.round("estimate").cast("long"))).filter(F.col("sites") >= sites)
 
 
@@ -67,18 +71,32 @@ def _table(common: DataFrame, slots: int) -> Column:
     return F.from_json(F.lit(json.dumps(rows, separators=(",", ":"))), "array<array<bigint>>")
 
 
-def strip(docs: DataFrame, sites: int = 10, margin: float = 3.0, text_col: str = "text", site_col: str = "source", small: int = SMALL) -> DataFrame:
-    """The documents, with all their columns, without boilerplate lines; new columns ``_lines`` and ``_removed`` count.
+def _named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
 
-    All rows stay; a text of which nothing is left becomes empty. Null texts stay null and have no lines; empty and blank
-    lines stay as they are, and so do the ends of the lines that stay (a carriage return, say). Ids are not read, so rows
-    that share one or have none are treated like others. Equal rows get equal results; an empty table gives no rows. A
-    column named ``_bad``, ``_lines`` or ``_removed`` is replaced.
+
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with as many lines below it as make it none of the columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def strip(docs: DataFrame, sites: int = 10, margin: float = 3.0, text_col: str = "text", site_col: str = "source", small: int = SMALL, counts: str | None = None) -> DataFrame:
+    """The documents, with all their columns, without boilerplate lines.
+
+    ``counts`` names a further column, none of the documents' own, with a struct of the number of ``lines`` and of those
+    ``removed``. All rows stay; a text of which nothing is left becomes empty. Null texts stay null and have no lines; empty
+    and blank lines stay as they are, and so do the ends of the lines that stay (a carriage return, say). Ids are not read, so
+    rows that share one or have none are treated like others. Equal rows get equal results; an empty table gives no rows.
+    Columns of any other name are carried along as they are.
     """
+    if counts is not None and counts != free_name(counts, docs.columns):
+        raise ValueError(f"{counts} is a column of the documents")
     common = cut(spread(docs, sites, margin, text_col, site_col).select("line"), "boilerplate")
     n = common.count()
-    columns = [c for c in docs.columns if c not in ("_bad", "_lines", "_removed")]
-    held = docs.select(F.struct(*columns).alias("_row"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_hash"))
+    columns = docs.columns
+    held = docs.select(F.struct(*[_named(c) for c in columns]).alias("_row"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_hash"))
     if n <= small:
         slots = 1 << n.bit_length()
         table = _table(common, slots)
@@ -91,4 +109,6 @@ def strip(docs: DataFrame, sites: int = 10, margin: float = 3.0, text_col: str =
     parts = F.split("_text", "\n")
     kept = held.select("_row", parts.alias("_parts"), F.filter(parts, lambda x: (_bare(x) == "") | ~bad(x)).alias("_left"))
     out = [F.array_join("_left", "\n").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in columns]
-    return kept.select(*out, F.coalesce(F.size("_parts"), F.lit(0)).alias("_lines"), F.coalesce(F.size("_parts") - F.size("_left"), F.lit(0)).alias("_removed"))
+    lines, left = F.coalesce(F.size("_parts"), F.lit(0)), F.coalesce(F.size("_left"), F.lit(0))
+    told = [] if counts is None else [F.struct(lines.cast("long").alias("lines"), (lines - left).cast("long").alias("removed")).alias(counts)]
+    return kept.select(*out, *told)

@@ -88,8 +88,10 @@ SITES = 10
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that at least SITES sources share."""
-    found = line_dedup.strip(_docs(spark, sf_dir), SITES)
-    return found.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+    docs = _docs(spark, sf_dir)
+    counts = line_dedup.free_name("counts", docs.columns)
+    found = line_dedup.strip(docs, SITES, counts=counts)
+    return found.select("doc_id", F.col(counts)["lines"].alias("n_lines"), F.col(counts)["removed"].alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
 #: Tokens that a text may have.

@@ -47,9 +47,9 @@ def test_against_brute_force(spark, sites, small):
     rows = rows_of(sites)
     ids = [None if i % 5 == 0 else i // 2 for i in range(len(rows))]  # some without, some shared
     df = spark.createDataFrame([(i, *r, k) for k, (i, r) in enumerate(zip(ids, rows, strict=True))], "doc_id long, text string, source string, k int")
-    got = L.strip(df.repartition(3), sites, small=small)
-    assert got.columns == [*df.columns, "_lines", "_removed"]
-    found = {r.k: (r.text, r._lines, r._removed) for r in got.collect()}
+    got = L.strip(df.repartition(3), sites, small=small, counts="told")
+    assert got.columns == [*df.columns, "told"]
+    found = {r.k: (r.text, r.told.lines, r.told.removed) for r in got.collect()}
     assert [found[k] for k in range(len(rows))] == brute(rows, sites)
 
 
@@ -62,11 +62,17 @@ def test_only_lines_near_the_threshold_are_counted_exactly(spark):
 
 
 def test_empty_table_clashing_columns_and_native(spark):
-    df = spark.createDataFrame([("a\nb", "x", 1, "y", 2, 3)], "text string, source string, _bad int, line string, _lines int, _t int")
-    got = L.strip(df, 1)
-    assert got.columns == ["text", "source", "line", "_t", "_lines", "_removed"]
-    assert [tuple(r) for r in got.collect()] == [("", "x", "y", 3, 2, 2)]
+    names = ["_bad", "line", "_lines", "_removed", "_t", "_row", "_parts", "_left", "_hash", "_text", "counts", "a.b", "site"]
+    df = spark.createDataFrame([("a\nb", "x", *range(13))], "text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    for small in (L.SMALL, 0):
+        got = L.strip(df, 1, small=small, counts="told")
+        assert got.columns == [*df.columns, "told"]
+        assert [tuple(r) for r in got.collect()] == [("", "x", *range(13), (2, 2))]
+        assert L.strip(df, 2, small=small).collect() == df.collect()
     assert L.strip(df.limit(0), 1).count() == 0
+    assert L.free_name("Counts", df.columns) == "Counts_"
+    with pytest.raises(ValueError, match="counts"):
+        L.strip(df, 1, counts="counts")
     for small in (L.SMALL, 0):
         plan = L.strip(spark.createDataFrame(rows_of(5), "text string, source string"), 5, small=small)._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan
