@@ -158,7 +158,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return stars.union(same).union(near.select("x", "y")).distinct()
 
 
-def _spanning(sets: DataFrame, limit: float, group: int, block: int) -> DataFrame:
+def _spanning(sets: DataFrame, limit: float, group: int, block: int, shingles: int = SHINGLES) -> DataFrame:
     """All links ``a, b`` (spanning) within the candidate components of ``sets`` (root, parts, node, found)."""
     alone = sets.withColumns({"block": _deal(F.col("parts")), "chunk": F.lit(0), "asks": F.lit(True), "label": F.col("node")})
     inner = cut(compared(alone, limit), "links")
@@ -168,16 +168,18 @@ def _spanning(sets: DataFrame, limit: float, group: int, block: int) -> DataFram
 
     def labelled(edges: DataFrame) -> DataFrame:
         named = components(edges).withColumnRenamed("root", "_l")
-        return large.join(named, "node", "left").select("root", "node", "found", F.coalesce("_l", "node").alias("label"))
+        return large.join(named, "node", "left").select("root", "node", "found", (F.octet_length("found") / 8).alias("_size"), F.coalesce("_l", "node").alias("label"))
 
     heads = cut(labelled(inner).filter("label = node"), "heads")
-    counts = cut(heads.groupBy("root").agg(F.ceil(F.count("*") / group).cast("int").alias("n")), "counts")
+    dealt = lambda members, size, most: F.greatest(F.ceil(members / most), F.ceil(size / shingles)).cast("int")
+    counts = cut(heads.groupBy("root").agg(dealt(F.count("*"), F.sum("_size"), group).alias("n")), "counts")
     met = heads.join(_small(counts), "root").withColumns({"block": _deal(F.col("n")), "chunk": F.lit(0), "asks": F.lit(True)})
     inner = cut(inner.union(compared(met, limit)), "links")
     now = cut(labelled(inner), "labelled")
-    sizes = now.groupBy("root", "label").agg(F.count("*").alias("n"))
-    told = sizes.groupBy("root").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    apart = cut(told.filter("all > most").select("root", "largest", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("blocks"), F.ceil(F.col("all") / group).cast("int").alias("chunks")), "apart")
+    sizes = now.groupBy("root", "label").agg(F.count("*").alias("n"), F.sum("_size").alias("size"))
+    told = sizes.groupBy("root").agg(F.max(F.struct("n", "label", "size")).alias("top"), F.sum("n").alias("all"), F.sum("size").alias("size"))
+    blocks = dealt(F.col("all") - F.col("top.n"), F.col("size") - F.col("top.size"), block)
+    apart = cut(told.filter("all > top.n").select("root", F.col("top.label").alias("largest"), blocks.alias("blocks"), dealt(F.col("all"), F.col("size"), group).alias("chunks")), "apart")
     if apart.limit(1).count() == 0:
         return inner
     members = now.join(_small(apart), "root").withColumn("asks", F.col("label") != F.col("largest"))
@@ -188,7 +190,11 @@ def _spanning(sets: DataFrame, limit: float, group: int, block: int) -> DataFram
     return inner.union(compared(asking.unionByName(others), limit))
 
 
-def keep_first(docs: DataFrame, width: int = 5, limit: float = 0.8, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+def _named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def keep_first(docs: DataFrame, width: int = 5, limit: float = 0.8, group: int = GROUP, block: int = BLOCK, shingles: int = SHINGLES) -> DataFrame:
     """One row of each component of near copies, with all its columns: that of the smallest doc_id, null being the last.
 
     Null and empty texts, and those without words, are alike. Of rows without doc_id, and of rows that share one, the text's
@@ -201,12 +207,12 @@ def keep_first(docs: DataFrame, width: int = 5, limit: float = 0.8, group: int =
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_no"), F.col("doc_id"), F.col("h")))
     nodes = cut(seen.groupBy("node").agg(first.alias("first"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "nodes")
     asked = cut(components(_candidates(nodes)).join(nodes.select("node", "first", "size"), "node"), "asked")
-    parts = F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("size") / SHINGLES)).cast("int")
+    parts = F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("size") / shingles)).cast("int")
     many = cut(asked.groupBy("root").agg(parts.alias("parts")).filter("parts > 1"), "many")
     named = asked.join(_small(many), "root", "left").select("root", F.coalesce("parts", F.lit(1)).alias("parts"), "node", F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
     texts = rows.join(_small(cut(named, "named")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("root", "parts", "node", "text").dropDuplicates(["node"])
     sets = cut(texts.mapInArrow(lambda b: _sets(b, width), "root long, parts int, node long, found binary"), "sets")
-    linked = cut(components(_spanning(sets, limit, group, block)).join(nodes.select("node", "first"), "node"), "components")
+    linked = cut(components(_spanning(sets, limit, group, block, shingles)).join(nodes.select("node", "first"), "node"), "components")
     least = cut(linked.groupBy("root").agg(F.min("first").alias("kept"), F.count("*").alias("n")), "least")
     told = heavy_join(linked.select("root", "node"), least, "root")
     own = cut(nodes.join(told.select("node", "kept"), "node", "left").filter("n > 1 or kept is not null").select("node", "n", F.coalesce("kept", "first").alias("kept")), "kept")
@@ -215,7 +221,7 @@ def keep_first(docs: DataFrame, width: int = 5, limit: float = 0.8, group: int =
     judged = cut(copies.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.any_value(same).alias("stays"), F.count("*").alias("times")).filter("not stays or times > 1"), "judged")
     for t in (nodes, asked, sets, linked, least, own):
         drop(t)
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), h.alias("_h"), F.col("doc_id").cast("long").alias("_id"))
+    keyed = docs.select(F.struct(*[_named(c) for c in docs.columns]).alias("_row"), h.alias("_h"), F.col("doc_id").cast("long").alias("_id"))
     on = lambda side: keyed["_id"].eqNullSafe(side["_id"]) & (keyed["_h"] == side["_h"])
     gone = _small(judged.select("_id", "_h"))
     left = keyed.join(gone, on(gone), "left_anti").select("_row.*")

@@ -53,8 +53,8 @@ def test_stage_removes_near_copies_of_any_length(spark):
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == first_of_each(dict(enumerate(texts)))
 
 
-@pytest.mark.parametrize("group", [5, 40])
-def test_a_large_group_is_dealt_out_and_loses_no_link(spark, group):
+@pytest.mark.parametrize(("group", "shingles"), [(5, N.SHINGLES), (40, N.SHINGLES), (10**6, 1000)])
+def test_a_large_group_is_dealt_out_and_loses_no_link(spark, group, shingles):
     """Chains of copies, each somewhat farther from the first: components of texts that are unlike each other at their ends."""
     rng = random.Random(3)
     texts = []
@@ -66,14 +66,32 @@ def test_a_large_group_is_dealt_out_and_loses_no_link(spark, group):
                 w[i] = f"x{rng.randrange(9000)}"
     rng.shuffle(texts)
     df = spark.createDataFrame([(i, t, "x", "a", len(t)) for i, t in enumerate(texts)], DOC)
-    got = N.keep_first(df.repartition(3), group=group, block=4)
+    got = N.keep_first(df.repartition(3), group=group, block=4, shingles=shingles)
     assert sorted(r.doc_id for r in got.collect()) == first_of_each(dict(enumerate(texts)))
 
 
+def test_groups_of_large_sets_are_bounded_by_their_size(spark, monkeypatch):
+    """50 sets of 1 MB, alike in their keys but not in fact: no group compared holds over the bound and one more set."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sets = [(1, 13, k, rng.integers(0, 1 << 62, 1 << 17).astype(np.uint64).tobytes()) for k in range(50)]
+    table = spark.createDataFrame(sets, "root long, parts int, node long, found binary").repartition(10)
+    seen, plain = [], N.compared
+
+    def counted(rows, limit):
+        seen.append(rows.groupBy("root", "block", "chunk").agg(N.F.sum(N.F.octet_length("found")).alias("b")).agg(N.F.max("b")).first()[0])
+        return plain(rows, limit)
+
+    monkeypatch.setattr(N, "compared", counted)
+    assert N._spanning(table, 0.8, 500, 128, shingles=1 << 19).count() == 0
+    assert len(seen) >= 3 and max(seen) <= 20 << 20  # blocks and chunks of 4 MB on the mean, as a hash deals them
+
+
 def test_one_row_of_each_group_stays(spark):
     long = " ".join(f"w{i % 977}" for i in range(60000))
     rows = [(3, None), (2, ""), (5, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (4, "another text of that id"), (None, "lone words here"), (None, "lone words here"), (None, "a b c d e f"), (9, long), (10, long + " end")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id _id", "text _h", "1 node", "2 bands")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id _id", "text _h", "1 node", "2 bands", "3 `x.y`")
     got = N.keep_first(df)
     assert got.columns == df.columns
     kept = sorted((r.doc_id is None, r.doc_id, r.text) for r in got.collect())
