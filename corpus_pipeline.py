@@ -32,8 +32,9 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that at least SITES sources share are taken out. All documents stay, and n_chars follows the text."""
-    found = line_dedup.strip(docs, SITES)
-    return found.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    counts = line_dedup.free_name("counts", docs.columns)
+    found = line_dedup.strip(docs, SITES, counts=counts)
+    return found.withColumn("n_chars", F.when(F.col(counts)["removed"] > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(counts)
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
