@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.functions.hashing import hamming
+from storyloom.operators.hamming import blocks_of, pairs
 from storyloom.sources.shared import cut, drop
 
 
@@ -28,92 +27,22 @@ def new_only(batch: DataFrame, stored: DataFrame, key: str, order: list[Column])
     return first_by(batch, [key], order).join(stored.select(key), key, "left_anti")
 
 
-def _blocks(n: int) -> list[tuple[int, int]]:
-    size, more = divmod(64, n)
-    out, at = [], 0
-    for i in range(n):
-        width = size + (i < more)
-        out.append((at, width))
-        at += width
-    return out
-
+def near_pairs(hashes: DataFrame, distance: int = 3) -> DataFrame:
+    """``a, b, distance`` of the different 64-bit hashes ``h`` (distinct, as longs) that differ in at most that many bits."""
+    held = hashes.select("h")
+    return pairs(held, held, distance, same=True).select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
 
-def near_pairs(hashes: DataFrame, distance: int = 3, extra: int = 2) -> DataFrame:
-    """``a, b, distance`` of the different 64-bit hashes ``h`` (distinct, as longs) that differ in at most that many bits.
 
-    With distance + extra blocks of bits, two such hashes agree in at least ``extra`` of them: there is a table for each
-    choice of that many blocks, keyed by their bits (26 at distance 3). A pair is taken from the first table that has it,
-    so that none comes twice. More blocks make longer keys, for more rows.
-    """
-    blocks = _blocks(distance + extra)
-    bits = lambda h, k: F.shiftrightunsigned(h, blocks[k][0]).bitwiseAND(F.lit((1 << blocks[k][1]) - 1))
-    choices = list(combinations(range(len(blocks)), extra))
-
-    def keyed(h: Column) -> Column:
-        return F.array(*[F.struct(F.lit(i).alias("t"), F.concat_ws(".", *[bits(h, k) for k in c]).alias("key")) for i, c in enumerate(choices)])
-
-    rows = hashes.select("h", F.explode(keyed(F.col("h"))).alias("_e")).select("h", "_e.*")
-    left, right = rows.select(F.col("h").alias("a"), "t", "key"), rows.select(F.col("h").alias("b"), "t", "key")
-    same = [bits(F.col("a"), k) == bits(F.col("b"), k) for k in range(len(blocks))]
-    first = F.lit(0)
-    for i, c in reversed(list(enumerate(choices))):
-        both = same[c[0]]
-        for k in c[1:]:
-            both = both & same[k]
-        first = F.when(both, i).otherwise(first)
-    near = left.join(right, ["t", "key"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= distance) & (F.col("t") == first))
-    return near.select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
-
-
-#: Nodes or links that one task decides by the plain scan.
+#: Nodes that one task decides by the plain scan.
 LOCAL = 200_000
 
 
-def _greedy(links: pd.DataFrame) -> pd.DataFrame:
-    """The scan over all of a graph's nodes: links (u, v, ru, rv) with u before v."""
-    order = pd.concat([links[["u", "ru"]].set_axis(["node", "rank"], axis=1), links[["v", "rv"]].set_axis(["node", "rank"], axis=1)]).drop_duplicates("node").sort_values("rank")
-    before = links.groupby("v")["u"].agg(list).to_dict()
-    taken: set = set()
-    for node in order["node"]:
-        if not any(u in taken for u in before.get(node, ())):
-            taken.add(node)
-    return pd.DataFrame({"node": order["node"], "_mark": [n in taken for n in order["node"]]})
-
-
-def first_independent(nodes: DataFrame, edges: DataFrame, local: int = LOCAL) -> DataFrame:
-    """The nodes that a scan in order accepts: those without an edge to an accepted node before them.
-
-    ``nodes`` is (node, rank), ``edges`` is (u, v) once per pair. In each round every undecided node without an undecided
-    node before it is accepted, and its neighbours fall. As soon as ``local`` edges at most are left, one task scans what
-    they join, so that a long chain of nodes takes no more rounds. The result is the scan's. Returns (node, accepted).
-    """
-    ranks = nodes.select(F.col("node").alias("_n"), F.col("rank").alias("_r"))
-    both = edges.select("u", "v").union(edges.select("v", "u"))
-    live = cut(both.join(ranks.toDF("u", "ru"), "u").join(ranks.toDF("v", "rv"), "v").filter("ru < rv").select("u", "v", "ru", "rv"), "edges")
-    state = cut(nodes.select("node", F.lit(None).cast("boolean").alias("accepted")).filter("node is not null"), "nodes")
-    kind = nodes.schema["node"].dataType.simpleString()
-    while (left := live.count()) > local:
-        taken = state.filter("accepted is null").select("node").join(live.select(F.col("v").alias("node")).distinct(), "node", "left_anti")
-        fallen = live.join(taken.select(F.col("node").alias("u")), "u", "left_semi").select(F.col("v").alias("node")).distinct()
-        marks = cut(taken.withColumn("_mark", F.lit(True)).union(fallen.withColumn("_mark", F.lit(False))), "marks")
-        new_state = cut(state.join(marks, "node", "left").select("node", F.coalesce("accepted", "_mark").alias("accepted")), "nodes")
-        gone = marks.select("node")
-        new_live = cut(live.join(gone.toDF("u"), "u", "left_anti").join(gone.toDF("v"), "v", "left_anti"), "edges")
-        for old in (state, live, marks):
-            drop(old)
-        state, live = new_state, new_live
-    if left:
-        marks = live.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda pdf: _greedy(pdf), f"node {kind}, _mark boolean")  # ``local`` edges
-        state = state.join(cut(marks, "marks"), "node", "left").select("node", F.coalesce("accepted", "_mark").alias("accepted"))
-    return state.select("node", F.coalesce("accepted", F.lit(True)).alias("accepted"))
-
-
 class Scanner:
     """The plain scan: takes a hash and a URL in order, unless a taken hash is near or the URL was taken."""
 
     def __init__(self, distance: int) -> None:
         self.distance, self.bands, self.urls = distance, [{} for _ in range(distance + 1)], set()
-        self.blocks = _blocks(distance + 1)
+        self.blocks = blocks_of(distance + 1)
 
     def take(self, h: int, url: str | None) -> bool:
         keys = [h >> at & ((1 << width) - 1) for at, width in self.blocks]  # a near hash agrees in one of these blocks
@@ -128,42 +57,51 @@ class Scanner:
 
 
 def scan(nodes: DataFrame, distance: int = 3, local: int = LOCAL) -> DataFrame:
-    """``node, taken``: a scan by rank over (node, h, url, rank), which takes a node if no taken one has its URL or a hash
-    within the distance. A null URL is like no other.
-
-    Each hash goes to the keys of its blocks of bits, and each URL is a key. A round takes every undecided node that is the
-    first of all its keys; then all that share a key with a taken node and conflict with it fall. So no pairs are formed
-    within a key, however many nodes it has. What is left is scanned by one task once it is ``local`` nodes at most.
+    """``node, taken``: a scan by (rank, node) over (node, h, url, rank), which takes a node if no taken one has its URL or a
+    hash within the distance. A null URL is like no other; hashes aren't null.
+
+    The graph of conflicts is made once: pairs of different hashes within the distance. Nodes of one hash, or of one URL,
+    conflict with each other, and are held back by the first undecided one of them without any pairs. A round takes every
+    node that no undecided conflicting node stands before, and what conflicts with a taken node falls. So the rounds are
+    as many as the longest chain of conflicts in the order of the scan, whatever else shares a block of bits; they end when
+    ``local`` nodes at most are left, which one task scans.
     """
-    blocks = _blocks(distance + 2)
-    bits = lambda k: F.shiftrightunsigned("h", blocks[k][0]).bitwiseAND(F.lit((1 << blocks[k][1]) - 1))
-    keys = [F.concat_ws(".", F.lit(str(i)), *[bits(k).cast("string") for k in c]) for i, c in enumerate(combinations(range(len(blocks)), 2))]
-    url_key = F.when(F.col("url").isNotNull(), F.concat(F.lit("u"), F.col("url")))
     left = cut(nodes.select("node", F.col("h").cast("long").alias("h"), F.col("url").cast("string").alias("url"), "rank"), "undecided")
-    kinds = {f.name: f.dataType.simpleString() for f in left.schema}
-    decided: list[DataFrame] = []
+    kind = left.schema["node"].dataType.simpleString()
+    taken_all: list[DataFrame] = []
+    edges = None
     while left.count() > local:
-        spread = left.select("*", F.explode(F.array_compact(F.array(*keys, url_key))).alias("key"))
-        first = cut(spread.groupBy("key").agg(F.min(F.struct("rank", "node", "h", "url")).alias("f")), "first")
-        own = cut(spread.join(first.select("key", F.col("f.node").alias("first")), "key").groupBy("node").agg(F.min((F.col("node") == F.col("first")).cast("int")).alias("all")).filter("all = 1").select("node"), "taken")
-        taken = first.select("key", "f.*").join(own, "node").select("key", F.col("node").alias("_n"), F.col("h").alias("_h"), F.col("url").alias("_u"))
-        conflict = (hamming(F.col("h"), F.col("_h")) <= distance) | F.coalesce(F.col("url") == F.col("_u"), F.lit(False))
-        fallen = cut(spread.join(taken, "key").filter((F.col("node") != F.col("_n")) & conflict).select("node").distinct(), "fallen")
-        decided.append(cut(own.withColumn("taken", F.lit(True)).union(fallen.withColumn("taken", F.lit(False))), "decided"))
-        rest = cut(left.join(decided[-1].select("node"), "node", "left_anti"), "undecided")
-        for old in (left, first, own, fallen):
+        if edges is None:
+            found = pairs(left.select("h").distinct(), left.select("h").distinct(), distance, same=True)
+            edges = cut(found.select("a", "b").union(found.select("b", "a")), "conflicts")
+        at = F.struct("rank", "node")
+        by_hash = cut(left.groupBy("h").agg(F.min(F.struct("rank", "node", "url")).alias("f")), "first")
+        by_url = left.filter("url is not null").groupBy("url").agg(F.min(at).alias("u"))
+        before = edges.join(by_hash.select(F.col("h").alias("b"), "f"), "b").groupBy("a").agg(F.min(F.struct("f.rank", "f.node")).alias("n"))
+        held = by_hash.select("h", F.col("f.node").alias("node"), F.col("f.url").alias("url"), F.struct("f.rank", "f.node").alias("at"))
+        free = held.join(before.withColumnRenamed("a", "h"), "h", "left").filter(F.col("n").isNull() | (F.col("at") < F.col("n")))
+        free = free.join(by_url, "url", "left").filter(F.col("u").isNull() | (F.col("at") == F.col("u")))
+        taken = cut(free.select("node", "h", "url"), "taken")
+        taken_all.append(taken)
+        gone = cut(taken.select("h").union(edges.join(taken.select(F.col("h").alias("b")), "b").select("a")).distinct(), "gone")
+        urls = taken.filter("url is not null").select("url")
+        rest = cut(left.join(gone, "h", "left_anti").join(urls, "url", "left_anti"), "undecided")
+        fewer = cut(edges.join(gone.toDF("a"), "a", "left_anti").join(gone.toDF("b"), "b", "left_anti"), "conflicts")
+        for old in (by_hash, gone, edges):
             drop(old)
-        left = rest
+        if len(taken_all) > 1:
+            drop(left)
+        left, edges = rest, fewer
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         scanner = Scanner(distance)
-        pdf = pdf.sort_values("rank")
+        pdf = pdf.sort_values(["rank", "node"])
         return pd.DataFrame({"node": pdf["node"], "taken": [scanner.take(h & (1 << 64) - 1, u) for h, u in zip(pdf["h"].tolist(), pdf["url"], strict=True)]})
 
-    out = left.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda pdf: finish(pdf), f"node {kinds['node']}, taken boolean")  # ``local`` nodes
-    for d in decided:
-        out = out.unionByName(d)
-    return out
+    last = left.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda pdf: finish(pdf), f"node {kind}, taken boolean").filter("taken").select("node")  # ``local`` nodes
+    for t in taken_all:
+        last = last.unionByName(t.select("node"))
+    return nodes.select("node").join(last.withColumn("taken", F.lit(True)), "node", "left").select("node", F.coalesce("taken", F.lit(False)).alias("taken"))
 
 
 def near_filter(rows: DataFrame, distance: int = 3, local: int = LOCAL) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import dates, hashing, text, url
-from storyloom.functions.hashing import hamming
-from storyloom.operators.dedup import _blocks, scan, top_by
+from storyloom.operators.dedup import scan, top_by
+from storyloom.operators.hamming import pairs
 from storyloom.operators.validate import valid_entry
 from storyloom.sources.shared import cut
 
@@ -61,15 +61,8 @@ def normalise(entries: DataFrame, now: Column, fallback: Column | None = None) -
 
 
 def near_stored(hashes: DataFrame, stored: DataFrame, distance: int = 3) -> DataFrame:
-    """The hashes ``h`` (distinct) that are within the distance of a stored one: joined by equal blocks of bits."""
-    blocks = _blocks(distance + 1)  # one of them is equal
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        bits = [F.concat_ws(".", F.lit(str(i)), F.shiftrightunsigned("h", at).bitwiseAND(F.lit((1 << width) - 1)).cast("string")) for i, (at, width) in enumerate(blocks)]
-        return df.select(F.col("h").alias(name), F.explode(F.array(*bits)).alias("key"))
-
-    pairs = keyed(hashes, "h").join(keyed(stored.select("h").distinct(), "s"), "key")
-    return pairs.filter(hamming(F.col("h"), F.col("s")) <= distance).select("h").distinct()
+    """The hashes ``h`` (distinct) that are within the distance of a stored one."""
+    return pairs(hashes.select("h"), stored.select("h").distinct(), distance).select(F.col("a").alias("h")).distinct()
 
 
 def run(entries: DataFrame, stored: DataFrame, recent: DataFrame, distance: int = 3) -> DataFrame:
@@ -96,14 +89,8 @@ def run(entries: DataFrame, stored: DataFrame, recent: DataFrame, distance: int
 
 def near_first(hashes: DataFrame, taken: DataFrame, distance: int) -> DataFrame:
     """``h, first``: the lowest rank of the taken rows (h, rank) within the distance of each hash."""
-    blocks = _blocks(distance + 1)
-
-    def keyed(df: DataFrame) -> DataFrame:
-        bits = [F.concat_ws(".", F.lit(str(i)), F.shiftrightunsigned("h", at).bitwiseAND(F.lit((1 << width) - 1)).cast("string")) for i, (at, width) in enumerate(blocks)]
-        return df.withColumn("key", F.explode(F.array(*bits)))
-
-    pairs = keyed(hashes.select("h")).join(keyed(taken.select("h", "rank")).toDF("s", "rank", "key"), "key")
-    return pairs.filter(hamming(F.col("h"), F.col("s")) <= distance).groupBy("h").agg(F.min("rank").alias("first"))
+    side = taken.groupBy("h").agg(F.min("rank").alias("rank"))
+    return pairs(hashes.select("h"), side, distance).groupBy(F.col("a").alias("h")).agg(F.min("rank").alias("first"))
 
 
 def counters(outcomes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyloom.functions import dates, text
-from storyloom.operators import cluster, dedup, ingest, stores
+from storyloom.operators import cluster, dedup, hamming, ingest, stores
 from storyloom.operators.dedup import Scanner
 from storyloom.sources import shared
 
@@ -79,14 +79,62 @@ def test_scan_in_rounds_is_the_plain_scan(spark, local):
     assert {r.node: r.taken for r in dedup.scan(df, 3, local).collect()} == want
 
 
-@pytest.mark.parametrize("local", [20, 10**6])
-def test_a_chain_of_500_settles(spark, local):
-    """Each node is linked with the next: every second one is taken. With local edges for 20, rounds do the rest."""
-    n = 500 if local > 100 else 40
-    nodes = spark.createDataFrame([(i, i) for i in range(n)], "node long, rank long")
-    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "u long, v long")
-    got = {r.node: r.accepted for r in dedup.first_independent(nodes, edges, local).collect()}
-    assert got == {i: i % 2 == 0 for i in range(n)}
+def counted(monkeypatch):
+    """How many rounds a scan takes: each writes one table of what it takes."""
+    plain, rounds = dedup.cut, []
+
+    def cut(df, name):
+        rounds.append(name)
+        return plain(df, name)
+
+    monkeypatch.setattr(dedup, "cut", cut)
+    return rounds
+
+
+def test_accepted_hashes_of_one_key_take_few_rounds(spark, monkeypatch):
+    """10,000 hashes that agree in 26 bits, none near another but for some pairs: what shares a key alone doesn't wait."""
+    rng = random.Random(6)
+    h: list[int] = []
+    while len(h) < 10_000:
+        h.append(rng.getrandbits(38) << 26 | 0x2AAAAAA)
+    h += [x ^ 1 << 40 for x in h[:50]]
+    rng.shuffle(h)
+    h = list(dict.fromkeys(h))
+    rounds = counted(monkeypatch)
+    df = spark.createDataFrame([(i, signed(x), None, i) for i, x in enumerate(h)], "node long, h long, url string, rank long")
+    got = {r.node: r.taken for r in dedup.scan(df, 3, local=2).collect()}
+    scanner = Scanner(3)
+    assert got == {i: scanner.take(x, None) for i, x in enumerate(h)}
+    assert rounds.count("taken") < 10
+
+
+def test_rounds_follow_chains_of_conflicts(spark, monkeypatch):
+    """One URL for many, one hash for many, and a chain of 30 in which each conflicts with the next."""
+    chain = [(1 << 2 * i) - 1 for i in range(31)]
+    rows = [(x, None) for x in chain] + [(0xF0F0F0F0F0F0F0F0 ^ (i * 0x0101010101010101), "one") for i in range(1, 40)] + [(0x5A5A5A5A5A5A5A5A, f"u{i}") for i in range(40)]
+    rounds = counted(monkeypatch)
+    df = spark.createDataFrame([(i, signed(x & (1 << 64) - 1), u, i) for i, (x, u) in enumerate(rows)], "node long, h long, url string, rank long")
+    got = {r.node: r.taken for r in dedup.scan(df, 3, local=0).collect()}
+    scanner = Scanner(3)
+    assert got == {i: scanner.take(x & (1 << 64) - 1, u) for i, (x, u) in enumerate(rows)}
+    assert rounds.count("taken") <= 17
+
+
+@pytest.mark.parametrize(("crowd", "chunk"), [(1 << 22, 1 << 14), (50, 1 << 14), (50, 7), (0, 1)])
+def test_near_pairs_of_crowded_keys(spark, crowd, chunk, monkeypatch):
+    """Split keys and chunks find the pairs that all pairs do, each once."""
+    rng = random.Random(8)
+    h = sorted({signed(x) for x in hashes(rng, 120, 5)} | {signed(rng.getrandbits(20) << 30 | 5) for _ in range(60)})
+    other = sorted({signed(rng.choice(h) & (1 << 64) - 1 ^ 1 << rng.randrange(64)) for _ in range(60)} | {0, -1})
+    if crowd == 50:
+        monkeypatch.setattr(hamming, "SMALL", 3)  # the fullest keys apart from the others
+    one = spark.createDataFrame([(x,) for x in h], "h long")
+    two = spark.createDataFrame([(x, i) for i, x in enumerate(other)], "h long, place int")
+    d = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    got = sorted((r.a, r.b) for r in hamming.pairs(one, one, 3, same=True, crowd=crowd, chunk=chunk).collect())
+    assert got == [(a, b) for i, a in enumerate(h) for b in h[i + 1 :] if d(a, b) <= 3]
+    got = sorted((r.a, r.b, r.place) for r in hamming.pairs(one, two, 2, crowd=crowd, chunk=chunk).collect())
+    assert got == sorted((a, b, i) for a in h for i, b in enumerate(other) if d(a, b) <= 2)
 
 
 def plain_leaders(vectors, existing, limit):
