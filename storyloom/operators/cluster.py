@@ -1,9 +1,7 @@
-"""Vector similarity in blocks, and leader clustering."""
+"""Vector similarity in blocks, and the rows of clusters."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,18 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.functions.vectors import unit
-from storyloom.sources.shared import cut, drop
+from storyloom.operators.leaders import leader_clusters, unit_rows
+
+__all__ = ["active_clusters", "cluster_rows", "leader_clusters", "running_mean", "scan_group", "top_similar"]
 
 #: Vectors in a block: a task compares two blocks at a time.
 BLOCK = 2048
 
 
-def _unit(v: pd.Series) -> np.ndarray:
-    x = np.stack(v.to_numpy()).astype(np.float64)
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-
-
 def _blocked(vectors: DataFrame, size: int) -> tuple[DataFrame, int]:
     n = max(1, -(-vectors.count() // size))
     return vectors.select("id", "v").withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
@@ -39,7 +33,7 @@ def top_similar(queries: DataFrame, vectors: DataFrame, k: int, size: int = BLOC
         q, r = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("id")
         out = []
         if len(q) and len(r):
-            s = np.round(_unit(q["v"]) @ _unit(r["v"]).T, 9)
+            s = np.round(unit_rows(q["v"]) @ unit_rows(r["v"]).T, 9)
             ids = r["id"].to_numpy()
             for row, own in zip(s, q["id"], strict=True):
                 if exclude_self:
@@ -53,22 +47,10 @@ def top_similar(queries: DataFrame, vectors: DataFrame, k: int, size: int = BLOC
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _scan_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """The leaders of a few vectors scanned by rank, none of which joins an earlier leader."""
-    pdf = pdf.sort_values("rank")
-    x = _unit(pdf["v"])
-    near = np.round(x @ x.T, 9) >= threshold
-    leads: list[int] = []
-    for i in range(len(x)):
-        if not near[i, leads].any():
-            leads.append(i)
-    return pdf.iloc[leads][["id", "rank", "v"]]
-
-
 def scan_group(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """``id, leader, similarity`` of a few vectors (id, rank, v) scanned by rank."""
     pdf = pdf.sort_values("rank")
-    x, ids = _unit(pdf["v"]), pdf["id"].to_numpy()
+    x, ids = unit_rows(pdf["v"]), pdf["id"].to_numpy()
     near = np.round(x @ x.T, 9)
     leads: list[int] = []
     leader, similarity = ids.copy(), np.zeros(len(x))
@@ -81,56 +63,6 @@ def scan_group(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "leader": leader, "similarity": similarity})
 
 
-def leader_clusters(vectors: DataFrame, threshold: float, existing: DataFrame | None = None, size: int = BLOCK) -> DataFrame:
-    """``id, leader, similarity, new``: a scan of (id, v, rank; without rank, by id) by rank, in which a vector joins the best cluster so far.
-
-    The clusters are the ``existing`` ones (id, v), if any, and the vectors before it that lead one. The best has the
-    highest cosine, which must reach the threshold; among equals existing ones come first, then the earliest. A vector that
-    joins none leads its own cluster, ``new`` and with a similarity of 0.
-
-    Each round scans the first ``size`` undecided vectors in one task, and compares all others with the leaders found
-    there, ``size`` at most; the best of each vector is kept. So no pairs are written, and rounds go on until all is decided.
-    """
-    rows = vectors.select("id", "v", F.col("rank" if "rank" in vectors.columns else "id").alias("rank"))
-    if existing is None:
-        started = rows.withColumns({"s": F.lit(None).cast("double"), "l": F.lit(None).cast("long"), "place": F.lit(None).cast("long"), "lead": F.lit(False)})
-    else:
-        best = top_similar(rows.select("id", "v"), existing, 1, size, exclude_self=False).filter(F.col("similarity") >= threshold)
-        told = best.select(F.col("query").alias("id"), F.col("similarity").alias("s"), F.col("id").alias("l"), F.lit(-1).cast("long").alias("place"))
-        started = rows.join(told, "id", "left").select("id", "v", "rank", "s", "l", "place", F.lit(False).alias("lead"))
-    state = cut(started, "state")
-    schema = state.schema
-    while True:
-        head = state.filter("s is null and not lead").orderBy("rank").limit(size).groupBy(F.lit(0).alias("_all"))
-        found = head.applyInPandas(lambda pdf: _scan_block(pdf[["id", "rank", "v"]], threshold), rows.select("id", "rank", "v").schema).toPandas()  # ``size`` vectors at most
-        if found.empty:
-            break
-        ids, ranks, leaders = found["id"].to_numpy(), found["rank"].to_numpy(), _unit(found["v"])
-
-        def compare(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, ranks: np.ndarray = ranks, leaders: np.ndarray = leaders) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    s = np.round(_unit(pdf["v"]) @ leaders.T, 9)
-                    later = pdf["rank"].to_numpy()[:, None] > ranks[None, :]
-                    s = np.where(later, s, -9.0)  # leaders are in the order of their ranks: the first of equals counts
-                    at = s.argmax(axis=1)
-                    top = s[np.arange(len(s)), at]
-                    old = pdf["s"].astype(float).fillna(-9.0).to_numpy()
-                    own = np.isin(pdf["id"].to_numpy(), ids)
-                    better = (top >= threshold) & (top > old) & ~own & ~pdf["lead"].to_numpy()
-                    pdf["s"] = np.where(better, top, np.where(old > -9, old, np.nan))
-                    pdf["l"] = pd.array(np.where(better, ids[at], pdf["l"].fillna(0).astype("int64")), dtype="Int64").copy()
-                    pdf.loc[~better & (old <= -9), "l"] = pd.NA
-                    pdf["lead"] = pdf["lead"].to_numpy() | own
-                yield pdf
-
-        after = cut(state.mapInPandas(compare, schema), "state")
-        drop(state)
-        state = after
-    seed = F.col("lead")
-    return state.select("id", F.when(seed, F.col("id")).otherwise(F.col("l")).alias("leader"), F.when(seed, 0.0).otherwise(F.col("s")).alias("similarity"), seed.alias("new"))
-
-
 def cluster_rows(members: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
     """``cluster_id, items_count, first_seen, last_seen, domains, domains_count`` after a run.
 

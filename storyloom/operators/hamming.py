@@ -46,7 +46,9 @@ def _joined(h: Column, blocks: list[tuple[int, int]]) -> Column:
     return out
 
 
-class _Tables:
+class Tables:
+    """The tables for a distance, and the keys of a hash in them."""
+
     def __init__(self, distance: int) -> None:
         self.distance = distance
         self.blocks = blocks_of(distance + 2)
@@ -113,7 +115,7 @@ def pairs(left: DataFrame, right: DataFrame, distance: int = 3, same: bool = Fal
 
     Each side has distinct hashes, without nulls. With ``same`` both sides are one set, and each pair comes once, a below b.
     """
-    tables = _Tables(distance)
+    tables = Tables(distance)
     more_l, more_r = ([c for c in df.columns if c != "h"] for df in (left, right))
     l1, r1 = tables.keyed(left, more_l), tables.keyed(right, more_r)
     full = _crowded(l1, r1, crowd)

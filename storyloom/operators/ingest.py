@@ -76,6 +76,12 @@ def run(entries: DataFrame, stored: DataFrame, recent: DataFrame, distance: int
     near = near_stored(rows.select("h").distinct(), recent, distance).withColumn("_near", F.lit(True))
     known = stored.select("url_sha1").distinct().withColumn("_known", F.lit(True))
     seen = cut(rows.join(near, "h", "left").join(known, "url_sha1", "left"), "seen")
+    return decide(seen, distance)
+
+
+def decide(seen: DataFrame, distance: int = 3) -> DataFrame:
+    """``item_id, outcome`` of the written rows (item_id, rank, h, url_sha1, _near, _known), of which it is known whether a
+    stored hash is near and whether the URL is stored (else null): the others are scanned among themselves."""
     free = seen.filter("_near is null and _known is null")
     # entries of equal hash and URL share their first one's fate
     nodes = cut(free.groupBy("h", "url_sha1").agg(F.min("rank").alias("rank"), F.min_by("item_id", "rank").alias("node")), "nodes")

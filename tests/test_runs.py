@@ -152,20 +152,52 @@ def plain_leaders(vectors, existing, limit):
     return out
 
 
-@pytest.mark.parametrize("size", [3, 2048])
+@pytest.mark.parametrize(("head", "group", "part"), [(3, 8192, 99), (4096, 8192, 99), (5, 2, 7)])
 @pytest.mark.parametrize("old", [0, 4])
-def test_leaders_are_those_of_the_scan(spark, size, old):
+def test_leaders_are_those_of_the_scan(spark, head, group, part, old):
     rng = np.random.default_rng(2)
     v = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
     existing = [(100 + k, [float(x) for x in rng.normal(size=4)]) for k in range(old)]
     order = list(rng.permutation(60))
     df = spark.createDataFrame([(i, x, int(order[i])) for i, x in v], "id long, v array<double>, rank long")
     stored = spark.createDataFrame(existing, "id long, v array<double>") if old else None
-    got = {r.id: (r.leader, round(r.similarity, 6), r.new) for r in cluster.leader_clusters(df, 0.7, stored, size).collect()}
+    got = {r.id: (r.leader, round(r.similarity, 6), r.new) for r in cluster.leader_clusters(df, 0.7, stored, head, group, part).collect()}
     want = plain_leaders(sorted(v, key=lambda r: order[r[0]]), existing, 0.7)
     assert got == {i: (a, round(s, 6), n) for i, (a, s, n) in want.items()}
 
 
+@pytest.mark.parametrize("group", [8192, 40])
+def test_few_pairs_are_compared_on_clustered_vectors(spark, group):
+    """50 tight clusters, each with some leaders: a vector meets those of its own, not a tenth of all pairs."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(50, 32))
+    x = centres[rng.integers(0, 50, 1500)] + 0.12 * rng.normal(size=(1500, 32))
+    v = [(i, [float(c) for c in row]) for i, row in enumerate(x)] + [(1500, [0.0] * 32), (1501, [0.0] * 32)]
+    told = {}
+    got = {r.id: (r.leader, round(r.similarity, 6), r.new) for r in cluster.leader_clusters(spark.createDataFrame(v, "id long, v array<double>").repartition(4), 0.985, head=40, group=group, told=told).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    leads, want = [], {}
+    for i in range(1500):
+        s = np.round(unit[leads] @ unit[i], 9)
+        k = int(s.argmax()) if len(s) else 0
+        if len(s) and s[k] >= 0.985:
+            want[i] = (leads[k], round(float(s[k]), 6), False)
+        else:
+            want[i] = (i, 0.0, True)
+            leads.append(i)
+    assert got == want | {i: (i, 0.0, True) for i in (1500, 1501)}
+    assert told["leaders"] == len(leads) + 2 > 150
+    assert told["met"] < 0.1 * 1502 * told["leaders"]
+
+
+@pytest.mark.parametrize("threshold", [0.0, -0.2, 1.0])
+def test_leaders_at_odd_thresholds(spark, threshold):
+    v = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [-1.0, 0.1])]
+    got = {r.id: r.leader for r in cluster.leader_clusters(spark.createDataFrame(v, "id long, v array<double>"), threshold).collect()}
+    assert got == {0.0: {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}, -0.2: {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}, 1.0: {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}}[threshold]
+    assert cluster.leader_clusters(spark.createDataFrame(v, "id long, v array<double>").limit(0), threshold).count() == 0
+
+
 def test_seed_domains_count_twice_and_stored_clusters_go_on(spark):
     t = datetime(2024, 1, 1)
     rows = [(1, 10, t, "a.org", True), (1, 11, t, "a.org", False), (1, 12, t, "unknown", False), (2, 13, t, "b.org", False)]
@@ -216,24 +248,6 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     assert not spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
 
 
-def test_a_stream_keeps_what_the_scan_keeps_over_batches(spark, tmp_path):
-    """Two files, two batches: the second meets the hashes that the first one kept."""
-    from storyloom.streaming import near as streaming
-
-    rng = random.Random(8)
-    h = hashes(rng, 60, 8)
-    rows = [(i, i, signed(x), f"u{i}") for i, x in enumerate(h)]
-    for k in range(2):
-        spark.createDataFrame(rows[k * 30 : k * 30 + 30], "item_id long, rank long, h long, url_sha1 string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("item_id long, rank long, h long, url_sha1 string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    streaming.keep_new(stream, f"{tmp_path}/out")
-    got = {r.item_id for r in spark.read.parquet(f"{tmp_path}/out/kept/0", f"{tmp_path}/out/kept/1").collect()}
-    first = {r.item_id for r in spark.read.parquet(f"{tmp_path}/out/kept/0").collect()}
-    order = [*range(30), *range(30, 60)] if min(first) < 30 else [*range(30, 60), *range(30)]
-    want = plain_run([(i, h[i], f"u{i}") for i in order], [], [])
-    assert got == {i for i, o in want.items() if o == "inserted"}
-
-
 def test_topics_of_their_own_clusters(spark):
     from storyloom.operators import topics
 
