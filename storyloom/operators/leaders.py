@@ -49,7 +49,8 @@ def reach_of(threshold: float) -> float:
 
 
 def spread_out(x: np.ndarray, k: int) -> np.ndarray:
-    """Up to k rows, each the farthest from those before it."""
+    """Up to k rows, each the farthest from those before it; one of any if none has a length."""
+    x = x[x.any(axis=1)] if x.any() else x[:1]
     kept = [0]
     closest = x @ x[0]
     while len(kept) < min(k, len(x)):
