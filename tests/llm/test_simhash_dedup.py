@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyspark.sql.types as T
 import pytest
@@ -103,3 +105,17 @@ def test_a_heavy_fingerprint_is_split(spark):
     assert "BroadcastHashJoin" in plan and "Union" in plan
     got = {r.doc_id: r.component_id for r in found.collect()}
     assert len(got) == len(rows) and all(got[i] == (0 if i % 3 == 0 else i) for i in got)
+
+
+@pytest.mark.parametrize("local", [0, 40, 10**6])
+def test_components_in_rounds_or_in_one_task(spark, local):
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(50)]
+    root = {x: x for pair in links if pair[0] != pair[1] for x in pair}
+    for _ in range(400):
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in S.components(spark.createDataFrame(links * 2, "a long, b long").repartition(3), local).collect()}
+    assert got == root
+    assert S.components(spark.createDataFrame([], "a long, b long"), local).count() == 0
