@@ -207,8 +207,8 @@ def leader_clusters(vectors: DataFrame, threshold: float, existing: DataFrame |
     """``id, leader, similarity, new``: a scan of (id, v, rank; without rank, by id) by rank, in which a vector joins the best cluster so far.
 
     The clusters are the ``existing`` ones (id, v), if any, and the vectors before it that lead one. The best has the
-    highest cosine (to nine digits), which must reach the threshold; among equals existing ones come first, then the
-    earliest. A vector that joins none leads its own cluster, ``new`` and with a similarity of 0. Ids are unique; a vector
+    highest cosine (to nine digits), which must reach the threshold; among equals existing ones come first (by their
+    own rank, if they have one, and id), then the earliest. A vector that joins none leads its own cluster, ``new`` and with a similarity of 0. Ids are unique; a vector
     of no length is like no other above a threshold of zero. ``told`` gets the number of leaders, rounds and compared pairs.
     """
     rank = F.col("rank" if "rank" in vectors.columns else "id").cast("long")
@@ -221,7 +221,8 @@ def leader_clusters(vectors: DataFrame, threshold: float, existing: DataFrame |
     none = base.sparkSession.createDataFrame([], NONE)
     old = none
     if existing is not None:
-        stored = existing.select("id", F.lit(-(1 << 62)).alias("place"), F.col("v").cast("array<double>").alias("v"))
+        order = F.col("rank").cast("long") if "rank" in existing.columns else F.lit(0)
+        stored = existing.select("id", (F.lit(-(1 << 62)) + order).alias("place"), F.col("v").cast("array<double>").alias("v"))
         old = cut(best_leaders(base, stored, pivots, threshold, group, part), "joined")
     left = base.join(old.filter("s > -9").select("id"), "id", "left_anti") if existing is not None else base
     found: list[DataFrame] = []

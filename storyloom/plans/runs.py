@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.functions import dates, hashing, text, url
 from storyloom.operators import cluster, ingest, score, select, stores, topics
 from storyloom.plans.ingest import _NORMAL
+from storyloom.plans import scoring
 from storyloom.plans.items import ITEMS, NOW, items, now, table
 from storyloom.plans.scoring import FIVE, TAU, TOTAL, _rounded, history, metrics
 from storyloom.plans.selection import PICKS, TOPIC_HITS, TOPICS, _topic_table, mapped
-from storyloom.sources.shared import cut
-from storyloom.streaming import near
+from storyloom.sources.shared import cut, shared_dir
+from storyloom.streaming import near, state
+from storyloom.streaming.arrivals import in_parts
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -97,6 +101,51 @@ def stream_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near.drain_near(spark, d)
 
 
+# ---- states of streams
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/storyloom/{name}-{uuid.uuid4().hex}"
+
+
+@query("""WITH h AS (SELECT user_id % 50 AS cluster_id, date_trunc('day', ts) AS run_ts, count(*) AS n FROM events GROUP BY ALL),
+    w AS (SELECT *, count(*) OVER p AS k, avg(n) OVER p AS mean, stddev_pop(n) OVER p AS sd, least(30, row_number() OVER (PARTITION BY cluster_id ORDER BY run_ts)) AS remembered FROM h
+        WINDOW p AS (PARTITION BY cluster_id ORDER BY run_ts ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
+    SELECT cluster_id, epoch_us(run_ts) AS run_us, n, round(CASE WHEN k < 7 THEN CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END ELSE 1 / (1 + exp(-(n - mean) / CASE WHEN sd = 0 THEN 1 ELSE sd END)) END, 6) AS trend, remembered FROM w""")
+def stream_history(spark: SparkSession, d: str) -> DataFrame:
+    """Daily counts that arrive in three parts: the trend of each against what the stream remembers."""
+    at = _place(spark, "history")
+    third = F.floor((F.dayofmonth("run_ts") - 1) / 11)
+    for stream in in_parts(history(spark, d).withColumn("part", third), "part", f"{at}/in"):
+        found = state.drain(state.trends(stream), at)
+    return found.select("cluster_id", "run_us", "n", F.round("trend", 6).alias("trend"), "remembered")
+
+
+_RUNS = "r AS (SELECT user_id % 50 || '.' || event_type AS topic_key, epoch_us(ts) // 1000 AS run_ms, 60 * (1 + user_id % 50) AS cadence, user_id % 2 = 0 AS enabled FROM events)"
+
+
+@query(f"""WITH {_RUNS}, n AS (SELECT *, lead(run_ms) OVER (PARTITION BY topic_key ORDER BY run_ms) AS next_ms, max(run_ms) OVER () AS now_ms FROM r)
+    SELECT topic_key, run_ms, run_ms + cadence * 60000 AS due_ms FROM n WHERE enabled AND run_ms + cadence * 60000 <= coalesce(next_ms, now_ms)""")
+def stream_cadence(spark: SparkSession, d: str) -> DataFrame:
+    """Events as runs of their user's and type's topic: every time at which a topic fell due before it ran again."""
+    at = _place(spark, "cadence")
+    e = table(spark, d, "events").select(F.concat_ws(".", F.col("user_id") % 50, "event_type").alias("topic_key"), F.col("ts").cast("timestamp_ntz").alias("ts"), (60 * (1 + F.col("user_id") % 50)).alias("cadence_minutes"), (F.col("user_id") % 2 == 0).alias("enabled"))
+    for stream in in_parts(e.withColumn("part", F.floor((F.dayofmonth("ts") - 1) / 11)), "part", f"{at}/in"):
+        found = state.drain(state.due_times(stream), at)
+    return found
+
+
+@query(scoring.LEADERS)
+def stream_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors that arrive in four parts, each against the clusters that the parts before it left: those of one run."""
+    at = _place(spark, "clusters")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("vec_id").alias("rank"), (now() + F.make_dt_interval(secs=F.col("vec_id"))).alias("ts"))
+    n = e.agg(F.max("id")).first()[0] or 0
+    for stream in in_parts(e.withColumn("part", F.floor(4 * F.col("id") / (n + 1))), "part", f"{at}/in"):
+        found = state.cluster_stream(stream, at, 0.3, hours=10**6)
+    return found.select("id", "leader", F.round("similarity", 6).alias("similarity"))
+
+
 _STYLES = ["%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%d %H:%M:%S"]
 
 

@@ -176,16 +176,37 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@query("""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+LEADERS = """WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
     p AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.3),
     n AS (SELECT v AS id, list(u) AS near FROM p GROUP BY 1),
     o AS (SELECT list([{'id': e.vec_id, 'near': coalesce(n.near, []::BIGINT[])}] ORDER BY e.vec_id) AS l FROM e LEFT JOIN n ON n.id = e.vec_id),
     k AS (SELECT list_transform(list_reduce(l, lambda a, b: CASE WHEN len(list_filter(a, lambda x: list_contains(b[1].near, x.id))) = 0 THEN list_concat(a, b) ELSE a END), lambda x: x.id) AS leaders FROM o),
     b AS (SELECT p.v AS id, max({'s': p.s, 'l': -p.u}) AS best FROM p WHERE list_contains((SELECT leaders FROM k), p.u) GROUP BY 1)
-    SELECT e.vec_id AS id, CASE WHEN list_contains((SELECT leaders FROM k), e.vec_id) THEN e.vec_id ELSE -b.best.l END AS leader, CASE WHEN list_contains((SELECT leaders FROM k), e.vec_id) THEN 0.0 ELSE round(b.best.s, 6) END AS similarity FROM e LEFT JOIN b ON b.id = e.vec_id""")
+    SELECT e.vec_id AS id, CASE WHEN list_contains((SELECT leaders FROM k), e.vec_id) THEN e.vec_id ELSE -b.best.l END AS leader, CASE WHEN list_contains((SELECT leaders FROM k), e.vec_id) THEN 0.0 ELSE round(b.best.s, 6) END AS similarity FROM e LEFT JOIN b ON b.id = e.vec_id"""
+
+
+@query(LEADERS)
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Leaders in the order of their numbers, at a cosine of 0.3."""
     from storyloom.operators.cluster import leader_clusters as run
 
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("vec_id").alias("rank"))
     return run(v, 0.3).select("id", "leader", F.round("similarity", 6).alias("similarity"))
+
+
+MEANS = """WITH e AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
+    l AS (SELECT list({'done': [{'id': vec_id, 'leader': vec_id, 's': 0.0::DOUBLE, 'new': true}], 'open': [{'l': vec_id, 'c': v, 'n': 1::BIGINT}]} ORDER BY vec_id) AS l FROM e),
+    f AS (SELECT list_reduce(l, lambda a, b: list_transform([list_transform(a.open, lambda x: round(list_dot_product(x.c, b.open[1].c), 9))], lambda s: CASE WHEN list_max(s) >= 0.3
+        THEN {'done': list_concat(a.done, [{'id': b.done[1].id, 'leader': a.open[list_position(s, list_max(s))].l, 's': list_max(s), 'new': false}]),
+              'open': list_transform(a.open, lambda x, i: CASE WHEN i = list_position(s, list_max(s)) THEN list_transform([list_transform(x.c, lambda c, j: (c * x.n + b.open[1].c[j]) / (x.n + 1))], lambda m: {'l': x.l, 'c': list_transform(m, lambda y: y / sqrt(list_dot_product(m, m))), 'n': x.n + 1})[1] ELSE x END)}
+        ELSE {'done': list_concat(a.done, b.done), 'open': list_concat(a.open, b.open)} END)[1]) AS f FROM l)
+    SELECT o.id, o.leader, round(o.s, 6) AS similarity, o.new FROM (SELECT unnest(f.done) AS o FROM f)"""
+
+
+@query(MEANS)
+def mean_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters by running means in the order of their numbers, at a cosine of 0.3."""
+    from storyloom.operators.means import mean_clusters as run
+
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return run(v, 0.3).select("id", "leader", F.round("similarity", 6).alias("similarity"), "new")

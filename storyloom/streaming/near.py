@@ -13,7 +13,6 @@ folder, and a restarted stream goes on from its checkpoint.
 
 from __future__ import annotations
 
-import contextlib
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -28,11 +27,12 @@ from storyloom.functions import hashing, text
 from storyloom.operators import ingest
 from storyloom.operators.hamming import Tables
 from storyloom.sources.shared import cut, drop, shared_dir
+from storyloom.streaming.arrivals import in_parts
+from storyloom.streaming.state import rocksdb
 
 #: What a stream of entries has, and what is written of each.
 ENTRIES = "item_id long, rank long, h long, url_sha1 string, ts timestamp_ntz"
 OUTCOMES = f"{ENTRIES}, outcome string"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NEVER = -(1 << 62)
 HOUR = 3_600_000_000
 #: Buckets of keys, and slots of time in a window.
@@ -110,18 +110,6 @@ def _asked(entries: DataFrame, asks: bool, distance: int, buckets: int) -> DataF
     return hashes.unionByName(urls).withColumns({"asks": F.lit(asks), "bucket": F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")})
 
 
-@contextlib.contextmanager
-def _state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
-    """A query that starts here keeps its state so; the session's own setting comes back."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKS)
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def start(stream: DataFrame, at: str, window_hours: int = 24, url_hours: int = 30 * 24, distance: int = 3, buckets: int = BUCKETS, slots: int = SLOTS, trigger: str = "0 seconds"):  # noqa: ANN201
     """Start a stream of ENTRIES (h isn't null, item_id is unique); ``at``/outcomes gets the outcome of each.
 
@@ -157,7 +145,7 @@ def start(stream: DataFrame, at: str, window_hours: int = 24, url_hours: int = 3
         drop(answers)
 
     spark.createDataFrame([], "at long").write.mode("ignore").parquet(f"{at}/clock/batch=-1")
-    with _state_in_rocksdb(spark):
+    with rocksdb(spark):
         return told.writeStream.foreachBatch(batch).option("checkpointLocation", f"{at}/state").trigger(processingTime=trigger).start()
 
 
@@ -185,11 +173,7 @@ def drain_near(spark: SparkSession, sf_dir: str, hours: int = 12) -> DataFrame:
     address = F.coalesce("url", F.concat(F.lit("http://x.org/"), F.col("doc_id") % 700))
     rows = docs.join(events, "doc_id").join(pages, "doc_id", "left").select(F.col("doc_id").alias("item_id"), F.col("doc_id").alias("rank"), h.alias("h"), address.alias("url_sha1"), "ts")
     part = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (hours * HOUR)).cast("long")
-    held = cut(rows.withColumn("part", part), "arrivals")
     at = f"{shared_dir(spark)}/storyloom/near-{uuid.uuid4().hex}"
-    spark.createDataFrame([], ENTRIES).write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(ENTRIES).parquet(f"{at}/in")
-    for (k,) in held.select("part").distinct().orderBy("part").collect():  # half days
-        held.filter(F.col("part") == k).drop("part").write.mode("append").parquet(f"{at}/in")
-        drain(stream, at)
+    for stream in in_parts(rows.withColumn("part", part), "part", f"{at}/in"):  # half days
+        drain(stream, at, buckets=32)  # a small table
     return outcomes(spark, at).select("item_id", "outcome")

@@ -8,6 +8,7 @@ import pytest
 from test_runs import hashes, near, signed
 
 from storyloom.streaming import near as streaming
+from storyloom.streaming import state
 
 START = datetime(2024, 1, 1)
 
@@ -82,7 +83,7 @@ def test_a_restarted_stream_and_a_repeated_batch(spark, tmp_path):
         p.unlink(missing_ok=True)
     again = streaming.drain(spark.readStream.schema(streaming.ENTRIES).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", buckets=3)
     assert got_of(again) == want
-    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != streaming.ROCKS
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != state.ROCKS
 
 
 def test_rows_without_time_or_url(spark, tmp_path):
