@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from storyloom.functions import dates, hashing, text, url
@@ -99,10 +99,23 @@ def near_first(hashes: DataFrame, taken: DataFrame, distance: int) -> DataFrame:
     return pairs(hashes.select("h"), side, distance).groupBy(F.col("a").alias("h")).agg(F.min("rank").alias("first"))
 
 
+def _counts() -> list[Column]:
+    count = lambda k: F.count_if(F.col("outcome") == k)
+    return [F.count("*").alias("items_total"), count("inserted").alias("items_inserted"), count("duplicated").alias("items_duplicated"), count("filtered").alias("items_simhash_filtered")]
+
+
 def counters(outcomes: DataFrame) -> DataFrame:
     """One row of a run's counters."""
-    count = lambda k: F.count_if(F.col("outcome") == k)
-    return outcomes.agg(F.count("*").alias("items_total"), count("inserted").alias("items_inserted"), count("duplicated").alias("items_duplicated"), count("filtered").alias("items_simhash_filtered"))
+    return outcomes.agg(*_counts())
+
+
+def written_outcomes(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The outcomes as a written table, and the run's counters, which are observed while it is written: no second scan."""
+    seen = Observation()
+    table = cut(outcomes.observe(seen, *_counts()), "outcomes")
+    told = seen.get
+    names = [f"items_{k}" for k in ("total", "inserted", "duplicated", "simhash_filtered")]
+    return table, outcomes.sparkSession.createDataFrame([tuple(int(told[n]) for n in names)], ", ".join(f"{n} long" for n in names))
 
 
 # ---- sources: fetches (source_id, status, etag, last_modified), where a status of 0 is a network error

@@ -24,6 +24,20 @@ _PHRASE = re.compile(r'"([^"]+)"')
 _NEAR = re.compile(r"(\w+)\s+NEAR/(\d+)\s+(\w+)", re.IGNORECASE)
 
 
+@dataclass(frozen=True)
+class Atom:
+    """What a query is made of: a ``phrase`` or ``term`` of some words, or two words ``near`` each other."""
+
+    kind: str
+    words: str
+    distance: int = 0
+    other: str = ""
+
+
+#: A query: an atom, "true", "false", or ("and" | "or", queries).
+Query = Any
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)``, with the value evaluated once however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -34,61 +48,62 @@ def phrase(words: str) -> Matcher:
     return lambda text: F.contains(F.lower(text), F.lit(words.lower()))
 
 
+def term_pattern(word: str) -> str:
+    return r"(?iU)\b" + re.sub(r"([^\w\s])", r"\\\1", word) + r"\b"
+
+
 def term(word: str) -> Matcher:
     """A word with boundaries on both sides, in any case."""
-    pattern = r"(?iU)\b" + re.sub(r"([^\w\s])", r"\\\1", word) + r"\b"
-    return lambda text: text.rlike(pattern)
+    return lambda text: text.rlike(term_pattern(word))
 
 
-def near(a: str, n: int, b: str) -> Matcher:
-    """Two words at most n apart among the words between spaces; an s at the end of one doesn't count."""
+def alike(w: str) -> list[str]:
+    """A word, with and without an s at its end."""
+    w = w.lower()
+    return [w, w + "s", *([w[:-1]] if w.endswith("s") else [])]
 
-    def alike(w: str) -> list[str]:
-        w = w.lower()
-        return [w, w + "s", *([w[:-1]] if w.endswith("s") else [])]
 
-    def places(words: Column, w: str) -> Column:
-        return F.filter(F.transform(words, lambda t, i: F.when(t.isin(alike(w)), i).otherwise(-1)), lambda i: i >= 0)
+def near_columns(text: Column, a: Column, n: Column, b: Column) -> Column:
+    """Whether two of the words between spaces, one of a and one of b, are at most n apart."""
+    places = lambda words, some: F.filter(F.transform(words, lambda t, i: F.when(F.array_contains(some, t), i).otherwise(-1)), lambda i: i >= 0)
 
     def close(words: Column) -> Column:
         return _let(places(words, a), lambda at: _let(places(words, b), lambda to: F.exists(at, lambda i: F.exists(to, lambda j: F.abs(i - j) <= n))))
 
-    def match(text: Column) -> Column:
-        return _let(F.split(F.trim(F.lower(text)), r"(?U)\s+"), close)
+    return _let(F.split(F.trim(F.lower(text)), r"(?U)\s+"), close)
 
-    return match
 
+def near(a: str, n: int, b: str) -> Matcher:
+    """Two words at most n apart among the words between spaces; an s at the end of one doesn't count."""
+    return lambda text: near_columns(text, F.array(*map(F.lit, alike(a))), F.lit(n), F.array(*map(F.lit, alike(b))))
 
-def _plain(query: str) -> Matcher:
-    phrases = [phrase(p) for p in _PHRASE.findall(query)]
+
+def _plain(query: str) -> Query:
+    phrases = [Atom("phrase", p) for p in _PHRASE.findall(query)]
     rest = _PHRASE.sub(" \0 ", query)
-    nears = [near(a, int(n), b) for a, n, b in _NEAR.findall(rest)]
+    nears = [Atom("near", a, int(n), b) for a, n, b in _NEAR.findall(rest)]
     rest = _NEAR.sub(" \0 ", rest)
+    if not phrases and not nears and not rest.strip():
+        return "false"
     parts = re.split(r"\s+(AND|OR)\s+", rest.strip(), flags=re.IGNORECASE)
 
-    def operand(part: str) -> Matcher | None:
+    def operand(part: str) -> Query:
         part = part.strip()
         if part.replace("\0", "").strip() == "":
-            return None  # a phrase, a NEAR term or nothing: true
-        return term(re.sub(r"\s+", " ", part.replace("\0", " ")).strip())
-
-    def match(text: Column) -> Column:
-        if not phrases and not nears and not rest.strip():
-            return F.lit(False)
-        out = (operand(parts[0]) or (lambda _: F.lit(True)))(text)
-        for op, part in zip(parts[1::2], parts[2::2], strict=True):
-            value = (operand(part) or (lambda _: F.lit(True)))(text)
-            out = (out & value) if op.upper() == "AND" else (out | value)
-        return reduce(lambda x, m: x & m(text), [*phrases, *nears], F.lit(True)) & out
+            return "true"  # a phrase, a NEAR term or nothing
+        return Atom("term", re.sub(r"\s+", " ", part.replace("\0", " ")).strip())
 
-    return match
+    out = operand(parts[0])
+    for op, part in zip(parts[1::2], parts[2::2], strict=True):
+        out = (op.lower(), [out, operand(part)])
+    return ("and", [*phrases, *nears, out])
 
 
-def _boolean(query: str) -> Matcher:
+def _boolean(query: str) -> Query:
     found = re.findall(r'"[^"]+"|\(|\)|\w+\s+NEAR/\d+\s+\w+|[^\s()"]+', query, flags=re.IGNORECASE)
     at = 0
 
-    def operand() -> Matcher:
+    def operand() -> Query:
         nonlocal at
         token = found[at] if at < len(found) else ")"
         at += 1
@@ -97,36 +112,49 @@ def _boolean(query: str) -> Matcher:
             at += 1
             return inner
         if token.startswith('"'):
-            return phrase(token.strip('"'))
+            return Atom("phrase", token.strip('"'))
         if m := _NEAR.fullmatch(token):
-            return near(m[1], int(m[2]), m[3])
+            return Atom("near", m[1], int(m[2]), m[3])
         words = [token]
         while at < len(found) and found[at].upper() not in ("AND", "OR", "(", ")") and not found[at].startswith('"') and not _NEAR.fullmatch(found[at]):
             words.append(found[at])
             at += 1
-        return term(" ".join(words))
+        return Atom("term", " ".join(words))
 
-    def chain(op: str, part: Callable[[], Matcher], join: Callable[[Column, Column], Column]) -> Matcher:
+    def chain(op: str, part: Callable[[], Query]) -> Query:
         nonlocal at
         parts = [part()]
         while at < len(found) and found[at].upper() == op:
             at += 1
             parts.append(part())
-        return lambda text: reduce(join, [p(text) for p in parts])
+        return parts[0] if len(parts) == 1 else (op.lower(), parts)
+
+    def both() -> Query:
+        return chain("AND", operand)
+
+    def either() -> Query:
+        return chain("OR", both)
+
+    return either() if found else "false"
+
 
-    def both() -> Matcher:
-        return chain("AND", operand, lambda a, b: a & b)
+def parse(query: str, semantics: str = "plain") -> Query:
+    return {"plain": _plain, "boolean": _boolean}[semantics](query)
 
-    def either() -> Matcher:
-        return chain("OR", both, lambda a, b: a | b)
 
-    return either() if found else lambda _: F.lit(False)
+def _column(query: Query, text: Column) -> Column:
+    if isinstance(query, Atom):
+        make = {"phrase": lambda: phrase(query.words), "term": lambda: term(query.words), "near": lambda: near(query.words, query.distance, query.other)}
+        return make[query.kind]()(text)
+    if isinstance(query, str):
+        return F.lit(query == "true")
+    return reduce((lambda a, b: a & b) if query[0] == "and" else (lambda a, b: a | b), [_column(q, text) for q in query[1]])
 
 
 def compile_query(query: str, semantics: str = "plain") -> Matcher:
     """A function from a text column to a boolean column, false for a missing text."""
-    inner = {"plain": _plain, "boolean": _boolean}[semantics](query)
-    return lambda text: F.coalesce((text != "") & inner(text), F.lit(False))
+    tree = parse(query, semantics)
+    return lambda text: F.coalesce((text != "") & _column(tree, text), F.lit(False))
 
 
 @dataclass

@@ -36,10 +36,12 @@ def run_ingest(entries: DataFrame, stored: DataFrame, recent: DataFrame, now: Co
     run.stage("rejects", lambda: normal.filter("not valid"))
     order = F.concat(F.date_format("published_at", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("entry_id").cast("string"), 20, "0"))
     ranked = normal.filter("valid").select(F.col("entry_id").alias("item_id"), order.alias("rank"), "h", "url_sha1")
-    outcomes = run.stage("outcomes", lambda: ingest.run(ranked, stored, recent))
+    began = time.monotonic()
+    outcomes, counted = ingest.written_outcomes(ingest.run(ranked, stored, recent))
+    run.tables["outcomes"], run.seconds["outcomes"] = outcomes, time.monotonic() - began
     new = outcomes.filter("outcome = 'inserted'").select(F.col("item_id").alias("entry_id"))
     run.stage("inserted", lambda: normal.join(new, "entry_id", "left_semi"))
-    run.stage("counters", lambda: ingest.counters(outcomes))
+    run.stage("counters", lambda: counted)
     return run
 
 

@@ -75,7 +75,8 @@ def ingest_run(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {RUN} SELECT count(*) AS items_total, count(*) FILTER (WHERE outcome = 'inserted') AS items_inserted, count(*) FILTER (WHERE outcome = 'duplicated') AS items_duplicated, count(*) FILTER (WHERE outcome = 'filtered') AS items_simhash_filtered FROM outcomes")
 def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.counters(_outcomes(spark, d))
+    """The counters of a run, observed while its outcomes are written."""
+    return ingest.written_outcomes(_outcomes(spark, d))[1]
 
 
 @query(f"WITH {RUN} SELECT doc_id AS item_id, near FROM mark")
@@ -87,17 +88,17 @@ def near_dup_window(spark: SparkSession, d: str) -> DataFrame:
     return new.join(hits, "h", "left").select("item_id", F.coalesce("near", F.lit(False)).alias("near"))
 
 
-_HALF_DAYS = f"""{_hashed(_BOTH)}, e AS (SELECT h.doc_id, h.h, coalesce(p.url, 'http://x.org/' || (h.doc_id % 700)) AS u, ev.ts, epoch_us(ev.ts) // 43200000000 AS b FROM hashes h JOIN events ev ON ev.event_id = h.doc_id LEFT JOIN pages p ON p.page_id = h.doc_id),
+_STRETCHES = f"""{_hashed(_BOTH)}, e AS (SELECT h.doc_id, h.h, coalesce(p.url, 'http://x.org/' || (h.doc_id % 700)) AS u, ev.ts, epoch_us(ev.ts) // 64800000000 AS b FROM hashes h JOIN events ev ON ev.event_id = h.doc_id LEFT JOIN pages p ON p.page_id = h.doc_id),
     n AS (SELECT b, max(max(ts)) OVER (ORDER BY b) AS now FROM e GROUP BY b),
     l AS (SELECT list([{{'i': doc_id, 'h': h, 'u': u, 'b': e.b, 'ts': ts, 'now': now}}] ORDER BY e.b, doc_id) AS l FROM e JOIN n ON n.b = e.b),
     k AS (SELECT list_reduce(l, lambda a, y: CASE WHEN len(list_filter(a, lambda x: ({_NEAR.format('x.h', 'y[1].h')} AND (x.b = y[1].b OR x.ts >= y[1].now - INTERVAL 24 HOUR)) OR (x.u = y[1].u AND (x.b = y[1].b OR x.ts >= y[1].now - INTERVAL 30 DAY)))) = 0 THEN list_concat(a, y) ELSE a END) AS kept FROM l),
     kept AS (SELECT s.i, s.h, s.b, s.ts FROM (SELECT unnest(kept) AS s FROM k))"""
 
 
-@query(f"""WITH {_HALF_DAYS} SELECT e.doc_id AS item_id, CASE WHEN EXISTS (SELECT 1 FROM kept WHERE kept.i = e.doc_id) THEN 'inserted'
+@query(f"""WITH {_STRETCHES} SELECT e.doc_id AS item_id, CASE WHEN EXISTS (SELECT 1 FROM kept WHERE kept.i = e.doc_id) THEN 'inserted'
     WHEN EXISTS (SELECT 1 FROM kept WHERE {_NEAR.format('kept.h', 'e.h')} AND ((kept.b = e.b AND kept.i < e.doc_id) OR (kept.b < e.b AND kept.ts >= n.now - INTERVAL 24 HOUR))) THEN 'filtered' ELSE 'duplicated' END AS outcome FROM e JOIN n ON n.b = e.b""")
 def stream_near_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that arrive by half days, each batch against what the earlier ones inserted within 24 hours."""
+    """Documents that arrive in stretches of 18 hours, each batch against what the earlier ones inserted within 24 hours."""
     return near.drain_near(spark, d)
 
 

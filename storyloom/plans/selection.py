@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.functions import dates, text, url
-from storyloom.operators import select, stores, topics, validate
+from storyloom.operators import topic_index, select, stores, topics, validate
 from storyloom.operators.topics import Topic
 from storyloom.plans.items import ITEMS, NOW, items, now, table
 from storyloom.plans.scoring import FIVE, metrics
@@ -94,6 +94,13 @@ def topic_match(spark: SparkSession, d: str) -> DataFrame:
     return topics.match_topics(items(spark, d), TOPICS, cap=False)
 
 
+@query(f"WITH {ITEMS}, {TOPIC_HITS} SELECT item_id, topic_key, score::DOUBLE AS score FROM hits")
+def topic_match_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same items by an index of the topics' terms, among a thousand topics that share their words and take nothing."""
+    others = [Topic(f"t{i}", f"t{i}", queries=[f'the AND "no {i} such" AND of', f"in NEAR/1 zzz{i}"]) for i in range(1000)]
+    return topic_index.match_topics(items(spark, d), [*TOPICS, *others], cap=False)
+
+
 @query(f"WITH {ITEMS}, {TOPIC_HITS} SELECT item_id, topic_key, score::DOUBLE AS score, rank FROM hits WHERE rank <= cap")
 def topic_topk(spark: SparkSession, d: str) -> DataFrame:
     """Of each topic as many items as it may post."""

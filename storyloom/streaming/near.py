@@ -163,8 +163,8 @@ def outcomes(spark: SparkSession, at: str) -> DataFrame:
     return spark.read.schema(f"{OUTCOMES}, batch long").parquet(f"{at}/outcomes")
 
 
-def drain_near(spark: SparkSession, sf_dir: str, hours: int = 12) -> DataFrame:
-    """Documents at the time of the event of their number, in half days that arrive one after another: their outcomes."""
+def drain_near(spark: SparkSession, sf_dir: str, hours: int = 18) -> DataFrame:
+    """Documents at the time of the event of their number, in stretches of 18 hours that arrive one after another: their outcomes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp_ntz").alias("ts"))
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), "url")
@@ -174,6 +174,6 @@ def drain_near(spark: SparkSession, sf_dir: str, hours: int = 12) -> DataFrame:
     rows = docs.join(events, "doc_id").join(pages, "doc_id", "left").select(F.col("doc_id").alias("item_id"), F.col("doc_id").alias("rank"), h.alias("h"), address.alias("url_sha1"), "ts")
     part = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (hours * HOUR)).cast("long")
     at = f"{shared_dir(spark)}/storyloom/near-{uuid.uuid4().hex}"
-    for stream in in_parts(rows.withColumn("part", part), "part", f"{at}/in"):  # half days
+    for stream in in_parts(rows.withColumn("part", part), "part", f"{at}/in"):  # stretches
         drain(stream, at, buckets=32)  # a small table
     return outcomes(spark, at).select("item_id", "outcome")

@@ -153,7 +153,7 @@ def cluster_stream(vectors: DataFrame, at: str, threshold: float, hours: int = 7
 
     A micro-batch reads the version of the clusters that the batch before it wrote, clusters by rank against those seen
     first within ``hours`` before its latest time, and writes the next version once: a batch that is run again reads and
-    writes the same. Versions older than the last two are deleted. ``rank`` grows from batch to batch, and ties of existing
+    writes the same. Versions before the last two are deleted. ``rank`` grows from batch to batch, and ties of existing
     clusters go to the one of lowest rank, so that several batches give what one gives.
     """
     spark = vectors.sparkSession
@@ -173,7 +173,7 @@ def cluster_stream(vectors: DataFrame, at: str, threshold: float, hours: int = 7
         after = active.unionByName(opened).join(sums, "cluster_id", "left").select("cluster_id", "place", "v", "first_seen", F.greatest("last_seen", "_last").alias("last_seen"), (F.col("items_count") + F.coalesce("_n", F.lit(0))).alias("items_count"))
         found.write.mode("overwrite").parquet(f"{at}/members/batch={number}")
         after.write.mode("overwrite").parquet(version(number))
-        old = spark._jvm.org.apache.hadoop.fs.Path(version(number - 3))
+        old = spark._jvm.org.apache.hadoop.fs.Path(version(number - 2))
         old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
         for t in (held, found):
             drop(t)
