@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from storyloom.functions.language import Profiles
+
 # Spanish words that are no keywords.
 STOPWORDS = (
     "el la de que y a en un es se no te lo le da su por son con para al del los las una como "
@@ -166,10 +168,13 @@ def _hits(words: Column, mine: list[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(mine)))
 
 
-def detect_language(title: Column, summary: Column, fallback: Column) -> Column:
-    """The language of title and summary; the fallback where they are under 10 characters, or 20 when cleaned."""
+def detect_language(title: Column, summary: Column, fallback: Column, profiles: Profiles | None = None) -> Column:
+    """The language of title and summary, by profiles where some were learned, else by frequent words; the fallback where
+    they are under 10 characters, or 20 when cleaned."""
     whole = F.trim(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit(""))))
-    return F.when(F.length(whole) < 10, fallback).otherwise(guess_language(whole, fallback))
+    if profiles is None:
+        return F.when(F.length(whole) < 10, fallback).otherwise(guess_language(whole, fallback))
+    return F.when((F.length(whole) < 10) | (F.length(squeeze(whole)) < 20), fallback).otherwise(profiles.guess(whole, fallback))
 
 
 def hard_slug(ascii_text: Column, most: int = 80) -> Column:

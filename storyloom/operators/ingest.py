@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from storyloom.functions import dates, hashing, text, url
+from storyloom.functions.language import Profiles
 from storyloom.operators.dedup import scan, top_by
 from storyloom.operators.hamming import pairs
 from storyloom.operators.validate import valid_entry
@@ -38,7 +39,7 @@ def parse_or_now(value: Column, now: Column) -> Column:
     return F.coalesce(dates.from_micros(dates.parse(value)), now)
 
 
-def normalise(entries: DataFrame, now: Column, fallback: Column | None = None) -> DataFrame:
+def normalise(entries: DataFrame, now: Column, fallback: Column | None = None, profiles: Profiles | None = None) -> DataFrame:
     """The entries with ``title, url, summary, lang, published_at, fetched_at, url_sha1, h, valid`` beside ``entry_id``.
 
     ``h`` is the SimHash of title and summary. Every entry keeps its row: those that aren't valid are the rejects.
@@ -51,7 +52,7 @@ def normalise(entries: DataFrame, now: Column, fallback: Column | None = None) -
         "title",
         "url",
         "summary",
-        text.detect_language(F.col("title"), F.col("summary"), F.col("_lang")).alias("lang"),
+        text.detect_language(F.col("title"), F.col("summary"), F.col("_lang"), profiles).alias("lang"),
         parse_or_now(F.col("_p"), now).alias("published_at"),
         now.alias("fetched_at"),
         url.sha1(F.col("url")).alias("url_sha1"),

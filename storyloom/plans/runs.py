@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.functions import dates, hashing, text, url
+from storyloom.functions import dates, hashing, language, text, url
 from storyloom.operators import cluster, ingest, score, select, stores, topics
 from storyloom.plans.ingest import _NORMAL
 from storyloom.plans import scoring
 from storyloom.plans.items import ITEMS, NOW, items, now, table
 from storyloom.plans.scoring import FIVE, TAU, TOTAL, _rounded, history, metrics
 from storyloom.plans.selection import PICKS, TOPIC_HITS, TOPICS, _topic_table, mapped
+from storyloom.sources import fetched
 from storyloom.sources.shared import cut, shared_dir
 from storyloom.streaming import near, state
 from storyloom.streaming.arrivals import in_parts
@@ -147,6 +148,44 @@ def stream_clusters(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "leader", F.round("similarity", 6).alias("similarity"))
 
 
+_LETTERS = r"' ' || trim(regexp_replace(lower(coalesce(string_split(text, chr(10))[1], '')), '[^\p{L}]+', ' ', 'g')) || ' '"
+_HELD = "(doc_id * 7919) % 1000 < 300"
+
+
+@query(f"""WITH t AS (SELECT doc_id, lang, list_transform(string_split({_LETTERS}, ''), lambda c: unicode(c)) AS c FROM documents),
+    g AS (SELECT doc_id, lang, list_transform(range(1, greatest(1, len(c) - 1)), lambda i: (c[i] * 7919 + c[i + 1] * 131 + c[i + 2]) % 4099) AS b, len(list_filter(c, lambda x: x <> 32)) AS letters FROM t),
+    u AS (SELECT doc_id, lang, unnest(b) AS b FROM g), n AS (SELECT lang, b, count(*) AS n FROM u WHERE lang IS NOT NULL AND NOT ({_HELD}) GROUP BY ALL),
+    l AS (SELECT lang, sum(n) + 4099 * 0.5 AS total FROM n GROUP BY 1),
+    s AS (SELECT u.doc_id, l.lang, sum(ln((coalesce(n.n, 0) + 0.5) / l.total)) AS score FROM u CROSS JOIN l LEFT JOIN n ON n.lang = l.lang AND n.b = u.b GROUP BY ALL),
+    r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, lang) AS k FROM s)
+    SELECT g.doc_id, CASE WHEN g.letters < 3 THEN 'und' ELSE r.lang END AS lang, {_HELD.replace('doc_id', 'g.doc_id')} AS held_out FROM g LEFT JOIN r ON r.doc_id = g.doc_id AND r.k = 1""")
+def language_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every title by profiles learned from seven tenths of them."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.get(F.split("text", "\n"), F.lit(0)).alias("title"))
+    held = (F.col("doc_id") * 7919) % 1000 < 300
+    profiles = language.learn(docs.filter(~held), "title")
+    return docs.select("doc_id", profiles.guess(F.col("title"), F.lit("und")).alias("lang"), held.alias("held_out"))
+
+
+_FETCHED = "r AS (SELECT event_id, user_id % 50 AS source_id, CASE event_id % 5 WHEN 0 THEN 304 WHEN 1 THEN 503 ELSE 200 END AS status, CASE WHEN event_id % 7 <> 0 THEN 'e' || (event_id // 400) END AS etag FROM events)"
+
+
+@query(f"""WITH {_FETCHED}, k AS (SELECT *, last_value(CASE WHEN status = 200 THEN etag END IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM r)
+    SELECT event_id, source_id, coalesce(etag, known) AS etag FROM k WHERE status = 200 AND (etag IS NULL OR known IS NULL OR etag <> known)""")
+def stream_feeds(spark: SparkSession, d: str) -> DataFrame:
+    """Events as responses to conditional fetches, in two parts with a restart between: those that bring a new body."""
+    at = _place(spark, "feeds")
+    k = F.col("event_id")
+    e = table(spark, d, "events").select(k, (F.col("user_id") % 50).alias("source_id"), F.when(k % 5 == 0, 304).when(k % 5 == 1, 503).otherwise(200).alias("status"), F.when(k % 7 != 0, F.concat(F.lit("e"), F.floor(k / 400))).alias("etag"), F.concat(F.lit("body/"), k).alias("body_path"))
+    half = F.lit((e.agg(F.max("event_id")).first()[0] or 0) // 2)
+    for n, part in enumerate((k <= half, k > half)):
+        e.filter(part).repartitionByRange(4, "event_id").sortWithinPartitions("event_id").drop("event_id").write.json(f"{at}/in/{n}")
+        running = fetched.read_stream(spark, f"{at}/in").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        running.awaitTermination()
+    found = spark.read.schema(fetched.SCHEMA).parquet(f"{at}/out")
+    return found.select(F.substring_index("body_path", "/", -1).cast("long").alias("event_id"), "source_id", "etag")
+
+
 _STYLES = ["%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%d %H:%M:%S"]
 
 
