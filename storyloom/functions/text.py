@@ -147,6 +147,21 @@ def keyword_tokens(text: Column, least: int = 3) -> Column:
     return F.filter(found, lambda w: (F.length(w) >= least) & ~w.isin(STOPWORDS))
 
 
+def top_words(found: Column, most: int) -> Column:
+    """``array<struct<word, n>>``: the most frequent of a row's words, the first to come first among equals.
+
+    The words are sorted with their places, and a word's number is the length of its run: nothing leaves the row."""
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    placed = F.sort_array(F.transform(found, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+
+    def runs(rows: Column) -> Column:
+        starts = F.filter(F.transform(rows, lambda r, k: F.when((k == 0) | (r["w"] != F.get(rows, k - 1)["w"]), k).otherwise(-1)), lambda k: k >= 0)
+        return let(starts, lambda at: F.transform(at, lambda k, j: F.struct((k - F.coalesce(F.get(at, j + 1), F.size(rows))).alias("m"), F.get(rows, k)["i"].alias("i"), F.get(rows, k)["w"].alias("w"))))
+
+    best = F.slice(F.sort_array(let(placed, runs)), 1, most)
+    return F.transform(best, lambda x: F.struct(x["w"].alias("word"), (-x["m"]).cast("long").alias("n")))
+
+
 # Frequent words of four languages, for guessing a short text's.
 GUESS = {
     "de": "der die und das nicht ist mit von ein eine zu den für auf im".split(),

@@ -12,9 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from storyloom.functions.text import STOPWORDS, keyword_tokens, shorten, squeeze, strip_tags
+from storyloom.functions.text import STOPWORDS, keyword_tokens, shorten, squeeze, strip_tags, top_words
 from storyloom.functions.url import authority
 from storyloom.operators.validate import ANALYSIS, CLICKBAIT, INTRO, checked_numbers, dates, quotes, seo, sentence_length, words
 
@@ -94,26 +93,16 @@ def claim_findings() -> tuple[Column, Column]:
 # ---- words by frequency
 
 
-def top_words(rows: DataFrame, key: str, found: str, most: int) -> DataFrame:
-    """``key, top``: the most frequent of a list of words, as (word, n), the first to come first among equals."""
-    counts = rows.select(key, F.posexplode(found).alias("_p", "word")).groupBy(key, "word").agg(F.count("*").alias("n"), F.min("_p").alias("_p"))
-    ranked = counts.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "_p"))).filter(F.col("_k") <= most)
-    listed = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_k", "word", "n"))).alias("_l"))  # at most ``most`` entries
-    return listed.select(key, F.transform("_l", lambda x: F.struct(x["word"].alias("word"), x["n"].alias("n"))).alias("top"))
-
-
 def with_keywords(articles: DataFrame, key: str) -> DataFrame:
     """The articles with ``keywords`` (ten of the whole text) and ``repeated`` (of the five most frequent words of title,
     lead and description those that come more than three times and aren't stop words)."""
     headed = F.array_join(F.transform("sections", lambda s: F.concat_ws(" ", s["heading"], strip_tags(s["content"]))), " ")
     whole = F.concat_ws(" ", "title", "lead", "meta", headed)
     told = squeeze(F.lower(F.concat_ws(" ", "title", "lead", "meta")))
-    lists = articles.select(key, keyword_tokens(whole).alias("_all"), F.array_remove(F.split(told, " "), "").alias("_told"))
-    found = top_words(lists, key, "_all", 10).select(key, F.transform("top", lambda x: x["word"]).alias("keywords"))
-    often = top_words(lists, key, "_told", 5).select(key, F.transform(F.filter("top", lambda x: (x["n"] > 3) & ~x["word"].isin(STOPWORDS)), lambda x: x["word"]).alias("repeated"))
+    often = F.filter(top_words(F.array_remove(F.split(told, " "), ""), 5), lambda x: (x["n"] > 3) & ~x["word"].isin(STOPWORDS))
     none = F.array().cast("array<string>")
-    joined = articles.join(found, key, "left").join(often, key, "left")
-    return joined.withColumns({"keywords": F.coalesce("keywords", none), "repeated": F.coalesce("repeated", none)})
+    names = lambda top: F.coalesce(F.transform(top, lambda x: x["word"]), none)
+    return articles.withColumns({"keywords": names(top_words(keyword_tokens(whole), 10)), "repeated": names(often)})
 
 
 # ---- search rules and quality, of articles with keywords

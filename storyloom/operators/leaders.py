@@ -203,7 +203,7 @@ def best_leaders(base: DataFrame, found: DataFrame, pivots: np.ndarray, threshol
     return rows.groupBy("id").agg(best.alias("b"), F.sum("met").alias("met")).select("id", (-F.col("b.t")).alias("s"), "b.place", "b.leader", "met")
 
 
-def leader_clusters(vectors: DataFrame, threshold: float, existing: DataFrame | None = None, head: int = HEAD, group: int = GROUP, part: int = PART, told: dict | None = None) -> DataFrame:
+def leader_clusters(vectors: DataFrame, threshold: float, existing: DataFrame | None = None, size: int = HEAD, group: int = GROUP, part: int = PART, told: dict | None = None) -> DataFrame:
     """``id, leader, similarity, new``: a scan of (id, v, rank; without rank, by id) by rank, in which a vector joins the best cluster so far.
 
     The clusters are the ``existing`` ones (id, v), if any, and the vectors before it that lead one. The best has the
@@ -227,17 +227,17 @@ def leader_clusters(vectors: DataFrame, threshold: float, existing: DataFrame |
     left = base.join(old.filter("s > -9").select("id"), "id", "left_anti") if existing is not None else base
     found: list[DataFrame] = []
     while True:
-        first = left.orderBy("place", "id").limit(head).groupBy(F.lit(0).alias("_all"))
+        first = left.orderBy("place", "id").limit(size).groupBy(F.lit(0).alias("_all"))
 
         def scanned(pdf: pd.DataFrame) -> pd.DataFrame:
             return pdf.loc[scan_head(pdf["id"].to_numpy(np.int64), pdf["place"].to_numpy(np.int64), unit_rows(pdf["v"]), threshold), ["id", "place", "v"]]
 
-        new = cut(first.applyInPandas(scanned, "id long, place long, v array<double>"), "leaders")  # ``head`` vectors at most
+        new = cut(first.applyInPandas(scanned, "id long, place long, v array<double>"), "leaders")  # ``size`` vectors at most
         few = new.toPandas()
         if few.empty:
             drop(new)
             break
-        rounds, met = rounds + 1, met + head * len(few)  # what the scan compares at most
+        rounds, met = rounds + 1, met + size * len(few)  # what the scan compares at most
         found.append(new)
         leaders = Leaders(few["id"].to_numpy(np.int64), few["place"].to_numpy(np.int64), unit_rows(few["v"]), pivots, threshold)
 

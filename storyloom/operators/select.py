@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.functions.text import occurrences, shorten
-from storyloom.functions.vectors import cosine
 from storyloom.operators.dedup import top_by
+from storyloom.operators.leaders import unit_rows
+from storyloom.sources.shared import cut
 
-
-#: Picks of a run.
-PICKS = 20_000
+#: Picks in a block: two blocks are compared at a time.
+BLOCK = 1024
 
 
 def global_picks(metrics: DataFrame, k: int = 50) -> DataFrame:
@@ -34,30 +36,45 @@ def topic_picks(metrics: DataFrame, mapped: DataFrame, topics: DataFrame) -> Dat
     return kept.select("cluster_id", F.col("composite").alias("score_total"), "adjusted", F.lit("topic").alias("kind"), "topic_key", "priority", "rank")
 
 
-def _first_wins(a: str, b: str) -> Column:
-    """Of two overlapping picks: topics beat global ones, then priority, then adjusted score; the second wins a draw."""
-    p, q = F.coalesce(f"{a}.priority", F.lit(1.0)), F.coalesce(f"{b}.priority", F.lit(1.0))
-    more = F.col(f"{a}.adjusted") > F.col(f"{b}.adjusted")
-    both = (F.col(f"{a}.kind") == "topic") & (F.col(f"{b}.kind") == "topic")
-    return F.when(both, F.when(p != q, p > q).otherwise(more)).when(F.col(f"{a}.kind") != F.col(f"{b}.kind"), F.col(f"{a}.kind") == "topic").otherwise(more)
+def _losers(a: pd.DataFrame, b: pd.DataFrame, limit: float, within: bool) -> list[pd.DataFrame]:
+    """The rows of either that overlap with one of the other and lose: topics beat global picks, then priority, then the
+    adjusted score decides; the one that stands later wins a draw."""
+    x, y = unit_rows(a["centroid"]), unit_rows(b["centroid"])
+    same = a["cluster_id"].to_numpy()[:, None] == b["cluster_id"].to_numpy()[None, :]
+    near = same | (x @ y.T >= limit)
+    earlier = a["place"].to_numpy()[:, None] < b["place"].to_numpy()[None, :]
+    near &= earlier if within else True
+    column = lambda name: (a[name].to_numpy()[:, None], b[name].to_numpy()[None, :])
+    (topic_a, topic_b), (p, q), (s, t) = column("is_topic"), column("priority"), column("adjusted")
+    more = np.where(earlier, s > t, s >= t)
+    first = np.where(topic_a != topic_b, topic_a, np.where(topic_a & topic_b & (p != q), p > q, more))
+    return [a[(near & ~first).any(axis=1)], b[(near & first).any(axis=0)]]
 
 
-def without_overlap(picks: DataFrame, centroids: DataFrame, limit: float = 0.9) -> DataFrame:
+def without_overlap(picks: DataFrame, centroids: DataFrame, limit: float = 0.9, size: int = BLOCK) -> DataFrame:
     """The picks that lose to no other of cosine ``limit`` or more, global ones first, then topics by key, each by rank.
 
-    A pick that loses still beats others. Picks are bounded by the caps of their topics: PICKS at most are compared pair by
-    pair.
+    A pick that loses still beats others. Picks are compared in pairs of blocks, each of which tells its losers alone; a
+    pick without a centroid overlaps with none.
     """
-    if picks.limit(PICKS + 1).count() > PICKS:
-        raise ValueError(f"over {PICKS} picks: lower the caps of the topics")
-    order = Window.orderBy(F.when(F.col("kind") == "global", 0).otherwise(1), F.coalesce("topic_key", F.lit("")), "rank")
-    placed = picks.join(centroids, "cluster_id", "left").withColumn("pos", F.row_number().over(order))
-    # one key for all: the picks of a run are some hundreds
-    a, b = placed.withColumn("one", F.lit(1)).alias("a"), placed.withColumn("one", F.lit(1)).alias("b")
-    similarity = F.when(F.col("a.cluster_id") == F.col("b.cluster_id"), 1.0).otherwise(cosine(F.col("a.centroid"), F.col("b.centroid")))
-    near = a.join(b, F.col("a.one") == F.col("b.one")).filter((F.col("a.pos") < F.col("b.pos")) & F.col("a.centroid").isNotNull() & F.col("b.centroid").isNotNull() & (similarity >= limit))
-    losers = near.select(F.when(_first_wins("a", "b"), F.col("b.pos")).otherwise(F.col("a.pos")).alias("pos")).distinct()
-    return placed.join(losers, "pos", "left_anti").select(*picks.columns)
+    key = ["kind", "topic_key", "cluster_id"]
+    held = cut(picks.join(centroids.select("cluster_id", F.col("centroid").cast("array<double>").alias("centroid")), "cluster_id").filter("centroid is not null"), "picks")
+    n = max(1, -(-held.count() // size))
+    block = F.pmod(F.xxhash64("kind", "topic_key", "cluster_id"), F.lit(n)).cast("int")
+    told = held.select(*key, "rank", "adjusted", "centroid", (F.col("kind") == "topic").alias("is_topic"), F.coalesce("priority", F.lit(1.0)).alias("priority"), block.alias("own"))
+    met = told.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["is_topic", "topic_key", "rank", "cluster_id"], na_position="first").assign(place=range(len(pdf)))
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        a, b = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
+        found = _losers(a, b, limit, i == j) if len(a) and len(b) else [a.iloc[:0]]
+        return pd.concat(found)[key].drop_duplicates()
+
+    kinds = ", ".join(f"{c} {t}" for c, t in held.select(key).dtypes)
+    losers = met.groupBy("i", "j").applyInPandas(compared, kinds).distinct()
+    on = [picks[c].eqNullSafe(losers[c]) for c in key]
+    return picks.join(losers, on, "left_anti")
 
 
 def freshness_boost() -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.operators.dedup import first_by
+from storyloom.sources.shared import cut
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str, changed: list[str], defaults: dict[str, Column] | None = None) -> DataFrame:
@@ -47,6 +48,16 @@ def retain(stored: DataFrame, now: Column, days: int = 30) -> DataFrame:
     return stored.filter(F.col("fetched_at") >= now - F.expr(f"interval {days} days"))
 
 
+def delete_old(stored: DataFrame, now: Column, days: int = 30) -> tuple[DataFrame, int]:
+    """The rows at most ``days`` old as a written table, and how many others there were, counted as that is written.
+
+    A row without a time goes with the old ones."""
+    seen = Observation()
+    old = F.coalesce(F.col("fetched_at") < now - F.expr(f"interval {days} days"), F.lit(True))
+    table = cut(retain(stored.observe(seen, F.count_if(old).alias("deleted")), now, days), "retained")
+    return table, int(seen.get["deleted"])
+
+
 def history(counts: DataFrame, now: Column, most: int = 30, days: int = 30) -> DataFrame:
     """Of (cluster_id, run_ts, n) the last ``most`` of each cluster that aren't older than ``days``."""
     young = counts.filter(F.col("run_ts") >= now - F.expr(f"interval {days} days"))

@@ -155,9 +155,8 @@ _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
     SELECT doc_id, w AS keyword, n, rank FROM r WHERE rank <= 10""")
 def keywords_topn(spark: SparkSession, d: str) -> DataFrame:
     """The ten most frequent words of every text, whole, the first to come first among equals."""
-    found = table(spark, d, "documents").select("doc_id", F.posexplode(text.keyword_tokens(text.clean(F.col("text")))).alias("p", "keyword"))
-    counts = found.groupBy("doc_id", "keyword").agg(F.count("*").alias("n"), F.min("p").alias("p"))
-    return dedup.top_by(counts, ["doc_id"], [F.desc("n"), F.col("p")], 10, "rank").select("doc_id", "keyword", "n", "rank")
+    found = table(spark, d, "documents").select("doc_id", F.posexplode(text.top_words(text.keyword_tokens(text.clean(F.col("text"))), 10)).alias("p", "top"))
+    return found.select("doc_id", F.col("top.word").alias("keyword"), F.col("top.n").alias("n"), (F.col("p") + 1).alias("rank"))
 
 
 _TITLE = "string_split(text, chr(10))[1]"

@@ -356,8 +356,8 @@ def text_composition(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_hashed('text')} SELECT doc_id, coalesce(nullif(ltrim(lower(to_hex(h)), '0'), ''), '0') AS simhash FROM hashes")
 def simhash_short(spark: SparkSession, d: str) -> DataFrame:
-    """Fingerprints without leading zeros."""
-    return table(spark, d, "documents").select("doc_id", hashing.short_hex(hashing.simhash64(F.col("text"))).alias("simhash"))
+    """Fingerprints of cleaned texts, without leading zeros."""
+    return table(spark, d, "documents").select("doc_id", hashing.short_hex(hashing.simhash64(text.clean(F.col("text")))).alias("simhash"))
 
 
 @query(r"SELECT doc_id, left(trim(regexp_replace(lower(replace(strip_accents(string_split(text, chr(10))[1]), 'ß', '')), '[^a-z0-9]+', '-', 'g'), '-'), 80) AS slug FROM documents")

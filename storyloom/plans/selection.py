@@ -256,6 +256,14 @@ def retention_delete(spark: SparkSession, d: str) -> DataFrame:
     return stores.retain(items(spark, d), now(), 30).select("item_id", dates.micros(F.col("fetched_at")).alias("fetched_us"))
 
 
+@query(f"WITH e AS (SELECT ts >= {NOW} - INTERVAL 20 DAY AS young FROM events) SELECT count(*) FILTER (WHERE young) AS kept, count(*) FILTER (WHERE NOT young) AS deleted FROM e")
+def retention_count(spark: SparkSession, d: str) -> DataFrame:
+    """How many events a deletion leaves and takes."""
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("fetched_at"))
+    kept, deleted = stores.delete_old(e, now(), 20)
+    return kept.agg(F.count("*").alias("kept")).withColumn("deleted", F.lit(deleted).cast("long"))
+
+
 # ---- validation
 
 _WORDS = r"list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), lambda x: x <> ''))"

@@ -174,7 +174,7 @@ def test_few_pairs_are_compared_on_clustered_vectors(spark, group):
     x = centres[rng.integers(0, 50, 1500)] + 0.12 * rng.normal(size=(1500, 32))
     v = [(i, [float(c) for c in row]) for i, row in enumerate(x)] + [(1500, [0.0] * 32), (1501, [0.0] * 32)]
     told = {}
-    got = {r.id: (r.leader, round(r.similarity, 6), r.new) for r in cluster.leader_clusters(spark.createDataFrame(v, "id long, v array<double>").repartition(4), 0.985, head=40, group=group, told=told).collect()}
+    got = {r.id: (r.leader, round(r.similarity, 6), r.new) for r in cluster.leader_clusters(spark.createDataFrame(v, "id long, v array<double>").repartition(4), 0.985, size=40, group=group, told=told).collect()}
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     leads, want = [], {}
     for i in range(1500):
