@@ -4,12 +4,13 @@ A paragraph is a run of lines that are no blank ones. Notices stand alone, withi
 both its lines and the paragraph as a whole are classified. Features are hashed words and word pairs (lower case), shared
 out over all n-grams. A multinomial logistic regression has a class for each licence family and one for other text; it is
 trained on the templates, their sentences, and random parts of both, against a bounded sample of the corpus's own lines. A
-temperature, fitted on parts that were held out, calibrates its probabilities.
+temperature, fitted on whole templates that were held out, calibrates its probabilities; then those are learned too.
 
 A line (or else a paragraph) is a licence text if other text is less likely than not. Its neighbours within the paragraph
 join it as long as most of their word pairs occur in the templates of its family; the lines joined are classified again as
 one text. Its family counts if it reaches ``sure`` and enough of its word pairs occur in a template of that family, or the
-other way round; else it is ``unknown``. A text of which no word pair occurs in any template is none.
+other way round; else it is ``unknown``. A family is out of the question where the text has a word that decides for another
+licence (affero, say), or names another version. A text of which no word pair occurs in any template is none.
 """
 
 from __future__ import annotations
@@ -56,12 +57,21 @@ TEMPLATES = {
     ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     ],
+    "agpl-3.0": [
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
     "gpl-2.0": [
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
         "SPDX-License-Identifier: GPL-2.0-only",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
@@ -118,6 +128,8 @@ TEMPLATES = {
         "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
     ],
 }
+# Words that make another licence of a text that is otherwise like one of these.
+DECIDING = "affero lesser sharealike noncommercial noderivatives noderivs sa nc nd isc mit apache mozilla eclipse boost artistic zlib".split()
 FAMILIES = sorted(TEMPLATES)
 BITS, SCALE = 15, 12.0
 #: The share of a line's word pairs that must occur in a family's templates for the line to join its neighbour's notice.
@@ -164,16 +176,18 @@ def _parts(rng: random.Random, text: str) -> str:
     return " ".join(w for w in words[at : at + n] if rng.random() > 0.05)
 
 
-def _sentences(rng: random.Random) -> list[tuple[str, int]]:
-    """(text, family) of the templates: sentences, runs of neighbouring ones, and parts of both."""
+def _sentences(rng: random.Random) -> list[tuple[str, int, bool]]:
+    """(text, family, held out) of the templates: sentences, runs of neighbouring ones, and parts of both.
+
+    A template is held out with all its parts: every fourth one of a family."""
     out = []
     for i, family in enumerate(FAMILIES):
         known = TEMPLATES[family]
-        for t in known:
-            out += [(t if k == 0 else _parts(rng, t), i) for k in range(24)]
+        for j, t in enumerate(known):
+            out += [(t if k == 0 else _parts(rng, t), i, j % 4 == 3) for k in range(24)]
         for _ in range(24):
-            a = rng.randrange(len(known))
-            out.append((_parts(rng, " ".join(known[a : a + rng.randint(2, 4)])), i))
+            a, n = rng.randrange(len(known)), rng.randint(2, 4)
+            out.append((_parts(rng, " ".join(known[a : a + n])), i, any(j % 4 == 3 for j in range(a, min(a + n, len(known))))))
     return out
 
 
@@ -192,24 +206,30 @@ def fit(docs: DataFrame, seed: int = 1, rounds: int = 6, id_col: str = "doc_id",
     rng = random.Random(seed)
     rng.shuffle(others)
     others = others[:OTHERS] or ["other text"]
-    texts = [(t, i, k % 4 == 3) for k, (t, i) in enumerate(_sentences(rng))]
-    texts += [(t, len(FAMILIES), k % 4 == 3) for k, t in enumerate(others)]
+    texts = _sentences(rng) + [(t, len(FAMILIES), k % 4 == 3) for k, t in enumerate(others)]
     rng.shuffle(texts)
     rows = _matrix([t for t, _, _ in texts])
-    w, bias, g2 = np.zeros((1 << BITS, len(FAMILIES) + 1)), np.zeros(len(FAMILIES) + 1), np.full((1 << BITS, 1), 1e-3)
-    for _ in range(rounds):
-        for (at, v), (_, label, held) in zip(rows, texts, strict=True):
-            if held:
-                continue
-            d = _softmax(v @ w[at] + bias)
-            d[label] -= 1
-            grad = v[:, None] * d
-            g2[at] += (grad * grad).sum(axis=1, keepdims=True)
-            w[at] -= 0.5 * grad / np.sqrt(g2[at])
-            bias -= 0.02 * d
-    z = np.array([v @ w[at] + bias for (at, v), (_, _, held) in zip(rows, texts, strict=True) if held])
-    y = np.array([label for _, label, held in texts if held])
+
+    def trained(keep: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        w, bias, g2 = np.zeros((1 << BITS, len(FAMILIES) + 1)), np.zeros(len(FAMILIES) + 1), np.full((1 << BITS, 1), 1e-3)
+        for _ in range(rounds):
+            for k in keep:
+                at, v = rows[k]
+                d = _softmax(v @ w[at] + bias)
+                d[texts[k][1]] -= 1
+                grad = v[:, None] * d
+                g2[at] += (grad * grad).sum(axis=1, keepdims=True)
+                w[at] -= 0.5 * grad / np.sqrt(g2[at])
+                bias -= 0.02 * d
+        return w, bias
+
+    # the temperature comes from templates that the model has not seen; then all of them are learned
+    held = [k for k, x in enumerate(texts) if x[2]]
+    w, bias = trained([k for k, x in enumerate(texts) if not x[2]])
+    z = np.array([rows[k][1] @ w[rows[k][0]] + bias for k in held]).reshape(-1, len(FAMILIES) + 1)
+    y = np.array([texts[k][1] for k in held], np.int64)
     loss = {t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)}
+    w, bias = trained(list(range(len(texts))))
     return Model(w.astype(np.float32), bias.astype(np.float32), min(loss, key=loss.get))
 
 
@@ -235,6 +255,23 @@ def similarity(text: str, family: str) -> float:
     return best
 
 
+_VERSION = re.compile(r"(?:version|\bv\.?|license[,)]?|gpl|mpl)[\s-]*(\d+(?:\.\d+)*)", re.IGNORECASE)
+
+
+def _versions(text: str) -> set[str]:
+    return {v.removesuffix(".0") for v in _VERSION.findall(text)}
+
+
+def contradicted(text: str, family: str) -> bool:
+    """Whether a text cannot be of a family however alike it is: it has a deciding word that no template of the family has,
+    or names versions of which none is the family's."""
+    words = set(re.findall(r"[^\W_]+", text.lower()))
+    known = {w for t in TEMPLATES[family] for w in re.findall(r"[^\W_]+", t.lower())}
+    own = re.search(r"-(\d+(?:\.\d+)*)$", family)
+    told = _versions(text)
+    return any(w in words and w not in known for w in DECIDING) or bool(own and told and own[1].removesuffix(".0") not in told)
+
+
 HITS = "doc_id long, paragraph int, lines int, text string, family string, probability double, similarity double"
 
 
@@ -257,7 +294,7 @@ def _probabilities(data: np.ndarray, part: np.ndarray, model: Model) -> tuple[np
     return at[starts], _softmax(z)
 
 
-def scan(docs: DataFrame, model: Model, sure: float = 0.5, alike: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: Model, sure: float = 0.3, alike: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, paragraph, lines, text, family, probability, similarity`` of the licence texts.
 
     ``paragraph`` is the number of its first line, from 0, and ``lines`` how many it has; ``family`` is ``unknown`` where no
@@ -297,8 +334,9 @@ def scan(docs: DataFrame, model: Model, sure: float = 0.5, alike: float = 0.6, i
                 p = classify([text], model)[0]
                 if p[last] >= 0.5:
                     continue
-            family = int(p[:last].argmax())
-            like = similarity(text, FAMILIES[family])
+            may = np.array([not contradicted(text, f) for f in FAMILIES])
+            family = int(np.where(may, p[:last], -1.0).argmax()) if may.any() else int(p[:last].argmax())
+            like = similarity(text, FAMILIES[family]) if may[family] else 0.0
             if not _pairs(text) & anywhere:
                 continue  # no two words of it are those of any template
             yield lo, hi - lo, text, FAMILIES[family] if p[family] >= sure and like >= alike else "unknown", float(p[family]), like
