@@ -26,6 +26,8 @@ COMMON = {
 CLASSES = ("lower", "space", "upper", "digit", "punctuation", "other")
 #: Limits of the distances, and the words that a text must have to be judged by each.
 CHAR_LIMIT, WORD_LIMIT, CHAR_LEAST, WORD_LEAST = 0.27, 0.33, 50, 100
+#: Languages whose references are broadcast: some MB.
+LANGUAGES = 10_000
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -74,11 +76,14 @@ def _common(found: Column, lang: Column) -> Column:
 
     def of(language: str) -> Column:
         mine = COMMON[language]
-        few = F.filter(F.transform(found, bare), lambda w: w.isin(mine))
-        # the words as one string, each between spaces of its own: counting one is a search in that string
-        joined = lambda some: F.concat(F.lit(" "), F.array_join(some, "  "), F.lit(" "))
-        times = lambda line, m: F.floor((F.length(line) - F.length(F.replace(line, F.lit(f" {m} "), F.lit("")))) / (len(m) + 2)).cast("int")
-        return _let(few, lambda some: _let(joined(some), lambda line: F.array(*[times(line, m) for m in mine], F.size(found) - F.size(some))))
+        k = len(mine)
+        # the words' places in the list (0: not in it), and every place once more, in order: a place's number is how far its
+        # first one stands from that of the next place, less the one that was added
+        places = F.transform(found, lambda w: F.array_position(F.array(*map(F.lit, mine)), bare(w)).cast("int"))
+        ordered = F.sort_array(F.concat(places, F.sequence(F.lit(0), F.lit(k + 1))))
+        at = lambda line, i: F.array_position(line, i).cast("int")
+        count = lambda line, i: at(line, i + 1) - at(line, i) - 1
+        return _let(ordered, lambda line: F.concat(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: count(line, i)), F.array(count(line, F.lit(0)))))
 
     return reduce(lambda out, k: out.when(lang == k, of(k)), list(COMMON)[1:], F.when(lang == next(iter(COMMON)), of(next(iter(COMMON)))))
 
@@ -119,22 +124,25 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def references(found: DataFrame) -> DataFrame:
-    """Mean shares of the documents of each known language that pass the base rules: a row for each language of COMMON at most."""
-    some = found.filter(~F.col("base_failed") & F.col("common").isNotNull()).select("lang", _shares(F.col("chars")).alias("p"), _shares(F.col("common")).alias("w"))
+    """Mean shares of the documents of each language that pass the base rules; of common words for the languages of COMMON."""
+    some = found.filter(~F.col("base_failed") & F.col("lang").isNotNull()).select("lang", _shares(F.col("chars")).alias("p"), _shares(F.col("common")).alias("w"))
     longest = max(map(len, COMMON.values())) + 1
     means = some.groupBy("lang").agg(*[F.avg(F.get("p", F.lit(i))).alias(f"p{i}") for i in range(len(CLASSES))], *[F.avg(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(longest)])
-    return means.select("lang", F.array(*[f"p{i}" for i in range(len(CLASSES))]).alias("ref_chars"), F.array_compact(F.array(*[f"w{i}" for i in range(longest)])).alias("ref_common"))
+    listed = F.array_compact(F.array(*[f"w{i}" for i in range(longest)]))
+    return means.select("lang", F.array(*[f"p{i}" for i in range(len(CLASSES))]).alias("ref_chars"), F.when(F.size(listed) > 0, listed).alias("ref_common"))
 
 
 def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``doc_id, n_words``, the base counts, ``base_failed, char_distance, word_distance, kept``.
 
-    Null and empty texts have no words and fail the base rules. A document whose language is null or has no reference,
-    or which is too short, has null distances and is kept if it passes the base rules. Equal rows get equal results, a
+    Null and empty texts have no words and fail the base rules. A document whose language is null, or which is
+    too short, has null distances and is kept if it passes the base rules; in a language without a list of common words it
+    is judged by its character classes alone. Equal rows get equal results, a
     null doc_id stays null, an empty table gives no rows, columns other than the three named ones are not read.
     """
     found = cut(features(docs, id_col, text_col, lang_col), "features")
-    joined = found.join(F.broadcast(references(found)), "lang", "left")
+    usual = cut(references(found), "references")
+    joined = found.join(F.broadcast(usual) if usual.count() <= LANGUAGES else usual, "lang", "left")
     chars = F.when(F.col("n_words") >= CHAR_LEAST, js_distance(_shares(F.col("chars")), F.col("ref_chars")))
     common = F.when(F.col("n_words") >= WORD_LEAST, js_distance(_shares(F.col("common")), F.col("ref_common")))
     out = joined.withColumn("char_distance", chars).withColumn("word_distance", common)

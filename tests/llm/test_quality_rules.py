@@ -69,7 +69,8 @@ def test_distances_against_plain_python(spark):
     for i, _, lang in rows[:61]:
         assert abs(got[i].char_distance - js(shares[i][0], mean[lang][0])) < 1e-9
         assert abs(got[i].word_distance - js(shares[i][1], mean[lang][1])) < 1e-9
-    assert got[61].char_distance is None and got[61].kept == (not got[61].base_failed)
+    # the one document of a language without a word list is like itself, by its character classes alone
+    assert got[61].char_distance == 0.0 and got[61].word_distance is None and got[61].kept == (not got[61].base_failed)
     assert not got[60].kept
 
 
@@ -92,3 +93,14 @@ def test_bad_documents_that_pass_the_base_rules(spark):
     rows = [r for r in Q.judge(spark.read.parquet(f"{d}/documents.parquet")).collect() if not r.base_failed and r.doc_id in labels]
     bad, good = ([r.kept for r in rows if labels[r.doc_id] == q] for q in (0, 1))
     assert sum(good) >= 0.99 * len(good) and len(bad) > 20 and sum(bad) <= 0.25 * len(bad)
+
+
+def test_languages_without_a_word_list_are_judged_by_characters(spark):
+    rng = random.Random(2)
+    good = [" ".join(rng.choice(["la", "città", "nuova", "strada", "Roma,", "sempre.", "che", "vento"]) + rng.choice(["", "a", "i"]) for _ in range(90)) for _ in range(40)]
+    bad = [" ".join("".join(rng.choice("@^~=_/\\{}") for _ in range(rng.randint(2, 9))) for _ in range(90)) for _ in range(3)]
+    rows = [(i, t, "it") for i, t in enumerate([*good, *bad])] + [(99, bad[0], None)]
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i in range(40)) and all(got[i].word_distance is None for i in range(43))
+    assert not any(got[i].base_failed or got[i].kept for i in range(40, 43))
+    assert got[99].char_distance is None and got[99].kept
