@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.functions import dates
 from storyloom.operators import ingest, score, select, topics
 from storyloom.operators.topics import Topic
 from storyloom.sources.shared import cut
@@ -28,10 +29,17 @@ class Run:
         return self.tables[name]
 
 
-def run_ingest(entries: DataFrame, stored: DataFrame, recent: DataFrame, now: Column) -> Run:
+def within(rows: DataFrame, now: Column, window_hours: int | None) -> DataFrame:
+    """The rows fetched within the window; all without one."""
+    return rows if window_hours is None else rows.filter(dates.recent(F.col("fetched_at"), now, window_hours))
+
+
+def run_ingest(entries: DataFrame, stored: DataFrame, recent: DataFrame, now: Column, window_hours: int | None = None) -> Run:
     """Normalise entries (with entry_id), reject the invalid ones, and insert what is new: ``normal, rejects, outcomes,
-    inserted, counters``."""
+    inserted, counters``. With a window only recent rows fetched within it (by ``fetched_at``) filter near texts; a stored
+    URL counts however old it is."""
     run = Run()
+    recent = within(recent, now, window_hours)
     normal = run.stage("normal", lambda: ingest.normalise(entries, now))
     run.stage("rejects", lambda: normal.filter("not valid"))
     order = F.concat(F.date_format("published_at", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("entry_id").cast("string"), 20, "0"))
@@ -45,17 +53,19 @@ def run_ingest(entries: DataFrame, stored: DataFrame, recent: DataFrame, now: Co
     return run
 
 
-def run_trending(items: DataFrame, now: Column, k: int = 50) -> Run:
-    """Score the clusters of items and pick the k best: ``metrics, picks``."""
+def run_trending(items: DataFrame, now: Column, k: int = 50, window_hours: int | None = None) -> Run:
+    """Score the clusters of the items of the window and pick the k best: ``metrics, picks``."""
     run = Run()
+    items = within(items, now, window_hours)
     scored = run.stage("metrics", lambda: score.five_factors(items, now))
     run.stage("picks", lambda: select.global_picks(scored, k))
     return run
 
 
-def run_topics(items: DataFrame, conf: list[Topic], last_runs: DataFrame, now: Column) -> Run:
-    """The due topics: ``runs, metrics, picks`` (by priority, within the caps of the topics)."""
+def run_topics(items: DataFrame, conf: list[Topic], last_runs: DataFrame, now: Column, window_hours: int | None = None) -> Run:
+    """The due topics on the items of the window: ``runs, metrics, picks`` (by priority, within the caps of the topics)."""
     run = Run()
+    items = within(items, now, window_hours)
     told = run.stage("runs", lambda: topics.run_topics(items, conf, last_runs, now))
     scored = run.stage("metrics", lambda: score.five_factors(items, now))
     mapped = told.select("topic_key", F.explode("clusters_updated").alias("cluster_id"))
@@ -64,8 +74,9 @@ def run_topics(items: DataFrame, conf: list[Topic], last_runs: DataFrame, now: C
     return run
 
 
-def run_all(items: DataFrame, conf: list[Topic], last_runs: DataFrame, centroids: DataFrame, now: Column, k: int = 50) -> Run:
+def run_all(items: DataFrame, conf: list[Topic], last_runs: DataFrame, centroids: DataFrame, now: Column, k: int = 50, window_hours: int | None = None) -> Run:
     """Global and topic picks without overlap: ``picks, stats, checks`` beside the tables of both jobs."""
+    items = within(items, now, window_hours)
     trending, topical = run_trending(items, now, k), run_topics(items, conf, last_runs, now)
     run = Run(topical.tables | trending.tables, {f"topics.{n}": s for n, s in topical.seconds.items()} | {f"trending.{n}": s for n, s in trending.seconds.items()})
     both = trending.tables["picks"].unionByName(topical.tables["picks"])

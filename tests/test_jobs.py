@@ -27,6 +27,18 @@ def test_ingest_job(spark):
     assert again.tables["counters"].first().items_inserted == 0
 
 
+def test_jobs_within_a_window(spark):
+    """Near texts outside the window don't filter; clusters are scored on the window's items."""
+    entries = spark.createDataFrame([(1, "a long title of some words", "http://a/1", "body"), (2, "quite another title here", "http://a/2", "text")], "entry_id long, title string, link string, summary string")
+    normal = jobs.run_ingest(entries, none := spark.createDataFrame([], "h long, url_sha1 string"), none, now()).tables["normal"]
+    old = normal.filter("entry_id = 1").select("h", (now() - F.expr("interval 30 hours")).alias("fetched_at"))
+    told = lambda hours: {r.item_id: r.outcome for r in jobs.run_ingest(entries, none, old, now(), hours).tables["outcomes"].collect()}
+    assert told(48) == told(None) == {1: "filtered", 2: "inserted"} and told(24) == {1: "inserted", 2: "inserted"}
+    held = items(spark, DIR)
+    some = held.filter(F.col("fetched_at") >= now() - F.expr("interval 720 hours"))
+    assert jobs.run_trending(held, now(), 5, 720).tables["metrics"].count() == some.select("cluster_id").distinct().count() > 0
+
+
 def test_trending_and_topics_together(spark, tmp_path):
     last = spark.createDataFrame([("sea", None)], "topic_key string, last_run timestamp_ntz")
     centroids = table(spark, DIR, "embeddings").select(F.col("vec_id").alias("cluster_id"), F.col("embedding").alias("centroid"))
