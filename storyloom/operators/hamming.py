@@ -118,7 +118,6 @@ def pairs(left: DataFrame, right: DataFrame, distance: int = 3, same: bool = Fal
     tables = Tables(distance)
     more_l, more_r = ([c for c in df.columns if c != "h"] for df in (left, right))
     l1, r1 = tables.keyed(left, more_l), tables.keyed(right, more_r)
-    full = _crowded(l1, r1, crowd)
     a, b = F.col("a"), F.col("b")
     near = hamming(a, b) <= distance
     if same:
@@ -131,6 +130,10 @@ def pairs(left: DataFrame, right: DataFrame, distance: int = 3, same: bool = Fal
         p, q = sides(x, y, [])
         return p.join(q, "key").filter(near & (F.col("t") == tables.first_table(a, b))).select("a", "b", *more_l, *more_r)
 
+    n = left.count()
+    if n * (n if same else right.count()) <= crowd:
+        return plain(l1, r1)  # no key can be crowded
+    full = _crowded(l1, r1, crowd)
     if full.limit(1).count() == 0:
         return plain(l1, r1)
     out = plain(_meet(l1, full, "left_anti"), _meet(r1, full, "left_anti"))

@@ -13,6 +13,15 @@ from storyloom.streaming import state
 START = datetime(2024, 1, 1)
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """A state's partition is a Python worker of its own in every batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def plain(batches, window, url_window):
     """Batches of (item, h, url, time) one after another."""
     kept, out, now = [], {}, datetime.min

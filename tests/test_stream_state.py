@@ -15,6 +15,15 @@ from storyloom.streaming.arrivals import in_parts
 START = datetime(2024, 1, 1)
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """A state's partition is a Python worker of its own in every batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_history_over_restarts(spark, tmp_path):
     """Runs over 60 days in three parts, each from the checkpoint: old counts leave, and 12 stay at most."""
     rng = random.Random(1)
