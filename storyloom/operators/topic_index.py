@@ -2,21 +2,23 @@
 
 Every query is a set of clauses, each a set of atoms that must hold (queries have no negation). An item's words are looked
 up in the index of all atoms' words, and its text is searched for all phrases at once, so that only the atoms that may
-hold are tried, each by the expression that the plain match uses. What holds is joined with the clauses. The plan has
-the same size for any number of topics, and the work follows the hits. Topics are configuration: their tables are
-broadcast.
+hold are tried, each by the expression that the plain match uses. A clause is looked up by one of its atoms, the one that
+the fewest clauses have, and its other atoms are looked for among those that hold. All of this happens within an item's
+row, so that nothing is shuffled but an item's topics where they are ranked, and equal items stay apart. The plan has the
+same size for any number of topics, and the work follows the hits. Topics are configuration: they go to all tasks.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import product
 
 import ahocorasick
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.operators.dedup import top_by
@@ -24,6 +26,8 @@ from storyloom.operators.topics import Atom, Query, Topic, alike, compile_query,
 
 #: Clauses that a query may have; one with more is tried as an expression of its own.
 CLAUSES = 256
+#: Items that are looked at together.
+STEP = 1000
 _RUN = re.compile(r"\w+")
 
 
@@ -66,6 +70,19 @@ def keys_of(atom: Atom) -> tuple[list[str], list[str]]:
     return [], []
 
 
+_ATOM = pa.struct({"atom": pa.int32(), "kind": pa.string(), "pattern": pa.string(), "some": pa.list_(pa.string()), "distance": pa.int32(), "others": pa.list_(pa.string())})
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, STEP) for b in batches for i in range(0, b.num_rows, STEP))
+
+
+def _lists(places: list[list[int]], table: pa.Array) -> pa.Array:
+    """The table's rows at each list of places."""
+    ends = np.cumsum([0, *map(len, places)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), table.take(pa.array([n for ns in places for n in ns], pa.int32())))
+
+
 def match_topics(items: DataFrame, topics: list[Topic], semantics: str = "plain", cap: bool = True) -> DataFrame:
     """``item_id, topic_key, score, rank`` as :func:`topics.match_topics` gives them, for any number of topics.
 
@@ -73,17 +90,15 @@ def match_topics(items: DataFrame, topics: list[Topic], semantics: str = "plain"
     spark = items.sparkSession
     on = [t for t in topics if t.enabled]
     atoms: dict[Atom, int] = {}
-    rows, wide = [], []  # (clause, atom, atoms of the clause, query), and queries of too many clauses
-    queries = []
+    found, wide = [], []  # (atoms of a clause, query), and queries of too many clauses
+    topic_of = []
     for k, t in enumerate(on):
         for q in t.queries:
-            found = clauses(parse(q, semantics))
-            if found is None:
-                wide.append((len(queries), q))
-            for c in found or ():
-                number = len(rows)
-                rows += [(number, atoms.setdefault(a, len(atoms)), len(c), len(queries)) for a in c]
-            queries.append((len(queries), k))
+            each = clauses(parse(q, semantics))
+            if each is None:
+                wide.append((len(topic_of), q))
+            found += [(frozenset(atoms.setdefault(a, len(atoms)) for a in c), len(topic_of)) for c in each or ()]
+            topic_of.append(k)
     words, phrases = defaultdict(list), defaultdict(list)
     always = []
     for a, n in atoms.items():
@@ -93,16 +108,24 @@ def match_topics(items: DataFrame, topics: list[Topic], semantics: str = "plain"
             first, also = keys_of(a)
             for key in first:
                 (words[key].append((n, frozenset(also))) if key else always.append(n))
-
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shared = Counter(n for c, _ in found for n in c)
+    by_atom, free = defaultdict(list), [q for c, q in found if not c]
+    for c, q in found:
+        if c:
+            key = min(c, key=lambda n: (shared[n], n))
+            by_atom[key].append((c - {key}, q))
+    told = [{"atom": n, "kind": a.kind, "pattern": a.words.lower() if a.kind == "phrase" else term_pattern(a.words) if a.kind == "term" else "", "some": alike(a.words), "distance": a.distance, "others": alike(a.other) if a.other else []} for a, n in atoms.items()]
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = ahocorasick.Automaton()
         for p, ns in phrases.items():
             automaton.add_word(p, ns)
         if phrases:
             automaton.make_automaton()
-        for pdf in batches:
+        table = pa.array(told, _ATOM)
+        for part in _steps(batches):
             out = []
-            for text, low in zip(pdf["text"], pdf["low"], strict=True):
+            for text, low in zip(part.column("text").to_pylist(), part.column("low").to_pylist(), strict=True):
                 hit = set(always)
                 own = set(_RUN.findall(folded(text)))
                 for w in words.keys() & own:
@@ -111,31 +134,41 @@ def match_topics(items: DataFrame, topics: list[Topic], semantics: str = "plain"
                     for _, ns in automaton.iter(low):
                         hit.update(ns)
                 out.append(sorted(hit))
-            yield pdf.assign(atoms=out).drop(columns="low")
-
-    text = match_text()
+            yield pa.record_batch([part.column(c) for c in ("text", *own_columns)] + [_lists(out, table)], ["text", *own_columns, "atoms"])
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _steps(batches):
+            at, topic, n = [], [], []
+            for i, (have, more) in enumerate(zip(part.column("atoms").to_pylist(), part.column("wide").to_pylist(), strict=True)):
+                holds = set(have)
+                queries = {q for a in holds & by_atom.keys() for rest, q in by_atom[a] if rest <= holds}.union(free, more)
+                for k, times in Counter(topic_of[q] for q in queries).items():
+                    at.append(i)
+                    topic.append(k)
+                    n.append(times)
+            rows = part.select(own_columns).take(pa.array(at, pa.int32()))
+            yield pa.record_batch([*rows.columns, pa.array(topic, pa.int32()), pa.array(n, pa.int64())], [*own_columns, "topic", "n"])
+
+    text, t = match_text(), F.col("text")
     held = items.select("item_id", text.alias("text"), F.lower(text).alias("low"), F.lower("lang").alias("lang"), F.coalesce("domain", F.lit("")).alias("domain"), (F.coalesce(F.col("url"), F.lit("")) == "").alias("no_url")).filter("text <> ''")
-    kind = dict(held.dtypes)["item_id"]
-    tried = held.mapInPandas(candidates, f"item_id {kind}, text string, lang string, domain string, no_url boolean, atoms array<int>").withColumn("atom", F.explode("atoms")).drop("atoms")
-    told = [(n, a.kind, a.words.lower() if a.kind == "phrase" else term_pattern(a.words) if a.kind == "term" else "", alike(a.words), a.distance, alike(a.other) if a.other else []) for a, n in atoms.items()]
-    table = spark.createDataFrame(told, "atom int, kind string, pattern string, some array<string>, distance int, others array<string>")
-    t = F.col("text")
-    holds = F.when(F.col("kind") == "phrase", F.contains(F.lower(t), F.col("pattern"))).when(F.col("kind") == "term", F.rlike(t, F.col("pattern"))).otherwise(near_columns(t, F.col("some"), F.col("distance"), F.col("others")))
-    true = tried.join(F.broadcast(table), "atom").filter(holds).select("item_id", "lang", "domain", "no_url", "atom")
-    of_clause = spark.createDataFrame(rows, "clause int, atom int, atoms int, query int")
-    full = true.join(F.broadcast(of_clause), "atom").groupBy("item_id", "lang", "domain", "no_url", "query", "clause", "atoms").agg(F.count_distinct("atom").alias("n")).filter("n = atoms")
-    hits = full.select("item_id", "lang", "domain", "no_url", "query").distinct()
-    if wide:
-        each = F.array(*[F.when(compile_query(q, semantics)(t), n) for n, q in wide])
-        hits = hits.unionByName(held.select("item_id", "lang", "domain", "no_url", F.explode(F.array_compact(each)).alias("query")))
+    own_columns = ["item_id", "lang", "domain", "no_url"]
+    own = f"item_id {dict(held.dtypes)['item_id']}, lang string, domain string, no_url boolean"
+
+    def holds(a: Column) -> Column:
+        is_term = F.when(a["kind"] == "term", F.rlike(t, a["pattern"])).otherwise(near_columns(t, a["some"], a["distance"], a["others"]))
+        return F.when(a["kind"] == "phrase", F.contains(F.lower(t), a["pattern"])).otherwise(is_term)
+
+    tried = held.mapInArrow(candidates, f"text string, {own}, atoms array<struct<atom: int, kind: string, pattern: string, some: array<string>, distance: int, others: array<string>>>")
+    each = F.array_compact(F.array(*[F.when(compile_query(q, semantics)(t), n) for n, q in wide])) if wide else F.array()
+    true = tried.select(*own_columns, F.transform(F.filter("atoms", holds), lambda a: a["atom"]).alias("atoms"), each.cast("array<int>").alias("wide"))
+    counted = true.mapInArrow(counts, f"{own}, topic int, n long")
     conf = [(k, x.key, len(x.queries), float(x.boost_factor), float(x.min_score), x.max_posts_per_run, [d.lower() for d in x.allow_domains], [v.lower() for v in ([x.lang] if isinstance(x.lang, str) else x.lang) if v]) for k, x in enumerate(on)]
     topic = spark.createDataFrame(conf, "topic int, topic_key string, queries int, boost double, least double, cap int, domains array<string>, langs array<string>")
-    counted = hits.join(F.broadcast(spark.createDataFrame(queries, "query int, topic int")), "query").groupBy("item_id", "lang", "domain", "no_url", "topic").agg(F.count("*").alias("n"))
     score = F.least(F.lit(1.0), F.col("n") / F.col("queries") * F.col("boost"))
     allowed = (F.size("domains") == 0) | F.col("no_url") | F.exists("domains", lambda d: F.contains(F.col("domain"), d))
     spoken = (F.size("langs") == 0) | F.coalesce(F.array_contains("langs", F.col("lang")), F.lit(False))
-    found = counted.join(F.broadcast(topic), "topic").filter(allowed & spoken).withColumn("score", score).filter("score >= least and score > 0")
+    hits = counted.join(F.broadcast(topic), "topic").filter(allowed & spoken).withColumn("score", score).filter("score >= least and score > 0")
     if not cap:
-        return found.select("item_id", "topic_key", "score")
+        return hits.select("item_id", "topic_key", "score")
     most = max((x.max_posts_per_run for x in on), default=0)
-    return top_by(found, ["topic"], [F.desc("score"), F.col("item_id")], most, "rank").filter(F.col("rank") <= F.col("cap")).select("item_id", "topic_key", "score", "rank")
+    return top_by(hits, ["topic"], [F.desc("score"), F.col("item_id")], most, "rank").filter(F.col("rank") <= F.col("cap")).select("item_id", "topic_key", "score", "rank")
