@@ -3,8 +3,10 @@
 A pattern cuts each text into pieces. The distinct pieces of a stretch of documents become arrays of byte tokens, and
 higher-order functions fold the ranked merges over them: a step finds the pair of least rank, joins it, and looks up the
 two pairs that are new. Ranks come from a literal: a table of all pairs of tokens whose bytes together are a
-token, addressed by a perfect hash, so that a lookup is two array accesses. (One large Spark map would be scanned
-from its start at every lookup.) Decoding maps ids to binary pieces by a literal array and joins their bytes.
+token, its rows (one for each left token) laid over one another so that their cells don't meet, so that a lookup is a few
+array accesses. (One large Spark map would be scanned from its start at every lookup.) The least pair carries its place:
+``array_position``, interpreted, leaves its loop by an exception, which took most of the time of a fold that used it.
+Decoding maps ids to pieces by a literal array and joins their bytes.
 
 Words that many documents share would be folded again by every task. So the words that a bounded sample of documents
 shows twice or more, ``COMMON`` at most, are folded first and go to all tasks with their ids. The sample decides only
@@ -46,47 +48,44 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-#: The prime that joins two tokens to a key, the buckets of keys, and the cells, with primes to scatter them.
-JOIN, BUCKETS, CELLS, PRIMES = 1_000_003, 32_749, 262_144, (262_139, 262_133, 262_127, 262_121, 262_111)
+#: A cell of a fold: the token in the bits below PLACE, its place in the array from there on, and from RANK on the rank of
+#: the token with the next one. A pair that makes no token has bits from NO_PAIR on instead.
+PLACE, RANK, NO_PAIR = 16, 26, 42
 
 
 @lru_cache(4)
-def pair_table(path: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """A perfect hash of the pairs of tokens whose bytes together are a token: hash and displace.
+def pair_table(path: str) -> tuple[list[int], list[int], list[int], int]:
+    """Ranks of the pairs of tokens whose bytes together are a token: shift, cells, owner, and the token that ends a word.
 
-    With key = a * JOIN + b, the pair (a, b) makes token t if cell (key % prime + shift[key % BUCKETS]) % CELLS is
-    key * 65536 + t. Buckets are placed from the fullest on, each at the first shift where its cells are free.
+    ``cells[shift[a] + b] ^ owner[a]`` is ``rank << RANK | a`` where (a, b) makes a token of that rank, and at least
+    ``1 << NO_PAIR`` elsewhere. Rows are placed from the fullest on, each at the first shift where its cells are free.
     """
     found = ranks(path)
-    keys, made = [], []
+    rows: dict[int, list[tuple[int, int]]] = {}
     for token, rank in found.items():
         for cut in range(1, len(token)):
             if (a := found.get(token[:cut])) is not None and (b := found.get(token[cut:])) is not None:
-                keys.append(a * JOIN + b)
-                made.append(rank)
-    if len(keys) > CELLS // 2 or max(found.values()) >= 65535:
-        raise ValueError("a vocabulary this large needs more cells")
-    for prime in PRIMES:
-        rows: dict[int, list[int]] = {}
-        for i, key in enumerate(keys):
-            rows.setdefault(key % BUCKETS, []).append(i)
-        if any(len({keys[i] % prime for i in row}) < len(row) for row in rows.values()):
-            continue
-        shift, cells = [0] * BUCKETS, [-1] * CELLS
-        for bucket, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
-            at = [keys[i] % prime for i in row]
-            d = next(d for d in range(CELLS) if all(cells[(h + d) % CELLS] < 0 for h in at))
-            shift[bucket] = d
-            for i, h in zip(row, at, strict=True):
-                cells[(h + d) % CELLS] = keys[i] * 65536 + made[i]
-        return np.array(shift), np.array(cells), prime
-    raise ValueError("no prime scatters the pairs")
+                rows.setdefault(a, []).append((b, rank))
+    end = max(found.values()) + 1
+    if end > 65535:
+        raise ValueError("a vocabulary this large needs wider cells")
+    shift, placed, used = [0] * (end + 1), {}, 0  # used: a bit for each cell
+    for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        met = mask = 0
+        for b, _ in row:
+            met |= used >> b
+            mask |= 1 << b
+        shift[a] = d = (~met & (met + 1)).bit_length() - 1
+        used |= mask << d
+        placed |= {d + b: (a + 1) << NO_PAIR | rank << RANK for b, rank in row}
+    cells = [placed.get(i, 0) for i in range(max(shift) + end + 1)]
+    return shift, cells, [(a + 1) << NO_PAIR | a for a in range(end + 1)], end
 
 
 @lru_cache(4)
 def _pair_literal(path: str) -> str:
-    shift, cells, _ = pair_table(path)
-    return json.dumps({"s": shift.tolist(), "c": cells.tolist()}, separators=(",", ":"))
+    shift, cells, owner, _ = pair_table(path)
+    return json.dumps({"s": shift, "c": cells, "o": owner}, separators=(",", ":"))
 
 
 @lru_cache(4)
@@ -99,41 +98,53 @@ def _token_literal(path: str) -> str:
 
 
 def _let(value: Column, body) -> Column:  # noqa: ANN001
-    """``body(value)``, with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body(value)``, with ``value`` evaluated once: what an aggregate over nothing does at its end."""
+    return F.aggregate(F.array(), value, lambda v, _: v, body)
 
 
 def fold(starts: Column, path: str) -> Column:
     """Merge each array of tokens (at first those of a word's bytes) by rank: array<array<int>> to the same.
 
-    An array of one token, or whose first one is negative, stays as it is.
+    An array of one token, or whose first one is negative, stays as it is. Others have at most ``LONG`` tokens.
     """
-    prime = pair_table(path)[2]
-    literal = F.from_json(F.lit(_pair_literal(path)), "s array<int>, c array<bigint>")
-    none, last = F.lit(NONE << 16), F.lit(65535)
+    no_token = pair_table(path)[3]
+    literal = F.from_json(F.lit(_pair_literal(path)), "s array<int>, c array<bigint>, o array<bigint>")
+
+    def long(value: int) -> Column:
+        return F.lit(value).cast("long")
+
+    def token(cell: Column) -> Column:
+        return cell.bitwiseAND(long((1 << PLACE) - 1))
 
     def one(start: Column, table: Column) -> Column:
-        # A state holds a cell for each token, rank << 16 | token, where the rank is that of the token with the next one,
-        # between two ends that have no rank. A rank is also the token that the pair makes.
-        def cell(a: Column, b: Column) -> Column:
-            key = a * F.lit(JOIN).cast("long") + b
-            found = F.get(table["c"], ((key % prime + F.get(table["s"], (key % BUCKETS).cast("int"))) % CELLS).cast("int"))
-            return F.when(F.shiftright(found, 16) == key, F.shiftleft(found.bitwiseAND(last), 16)).otherwise(none) + a
+        # A state holds a cell for each token, between two ends whose pairs have no rank. A rank is also the token that the
+        # pair makes. Of equal ranks, the least cell is the leftmost.
+        def cell(a: Column, b: Column, place: Column) -> Column:
+            pair = table["c"][table["s"][a] + b].bitwiseXOR(table["o"][a])
+            return pair.bitwiseOR(F.shiftleft(place.cast("long"), PLACE))
 
         def joined(cells: Column, least: Column) -> Column:
-            new = F.shiftright(least, 16)
+            new = F.shiftright(least, RANK)
+
+            def around(at: Column, before: Column) -> Column:
+                def kept(right: Column, i: Column) -> Column:
+                    return (
+                        F.when(i < before, cells[i])
+                        .when(i > at, right - long(1 << PLACE))
+                        .when(i == at, cell(new, token(cells[at + 2]), at))
+                        .otherwise(cell(token(cells[before]), new, before))
+                    )
 
-            def at_place(at: Column) -> Column:
-                around = F.array(cell(F.get(cells, at - 2).bitwiseAND(last), new), cell(new, F.get(cells, at + 1).bitwiseAND(last)))
-                return F.concat(F.slice(cells, F.lit(1), at - 2), around, F.slice(cells, at + 2, F.size(cells)))
+                return F.transform(F.slice(cells, F.lit(2), F.size(cells) - 1), kept)
 
-            return F.when(least < none, _let(F.array_position(cells, least).cast("int"), at_place)).otherwise(cells)
+            at = F.shiftright(least, PLACE).bitwiseAND(long((1 << RANK - PLACE) - 1)).cast("int")
+            return F.when(least < long(1 << NO_PAIR), _let(at, lambda at: _let(at - 1, lambda before: around(at, before)))).otherwise(cells)
 
-        ends = F.array(none + last)
-        tokens = F.transform(start, lambda t, i: cell(t, F.coalesce(F.get(start, i + 1), F.lit(65535))))
+        ends = F.array(long((no_token + 1) << NO_PAIR | no_token))
+        tokens = F.transform(start, lambda t, i: cell(t, F.coalesce(F.get(start, i + 1), F.lit(no_token)), i + 1))
         merges = F.sequence(F.lit(2), F.size(start))
         end = F.aggregate(merges, F.concat(ends, tokens, ends), lambda cells, _: _let(F.array_min(cells), lambda least: joined(cells, least)))
-        kept = F.transform(F.filter(end, lambda c: c.bitwiseAND(last) < last), lambda c: c.bitwiseAND(last).cast("int"))
+        kept = F.transform(F.filter(end, lambda c: token(c) < long(no_token)), lambda c: token(c).cast("int"))
         return F.when((F.size(start) < 2) | (F.get(start, F.lit(0)) < 0), start).otherwise(kept)
 
     return _let(literal, lambda table: F.transform(starts, lambda w: one(w, table)))
@@ -302,5 +313,5 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 def decode(ids: Column, path: str) -> Column:
     """The bytes of an array of ids: binary pieces, one after another. (Spark joins strings alone, by their bytes as they are.)"""
-    table = F.from_json(F.lit(_token_literal(path)), "array<binary>")
-    return _let(table, lambda tokens: F.array_join(F.transform(ids, lambda i: F.get(tokens, i).cast("string")), "")).cast("binary")
+    table = F.from_json(F.lit(_token_literal(path)), "array<binary>").cast("array<string>")  # a constant, cast once
+    return _let(table, lambda tokens: F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), "")).cast("binary")
